@@ -6,9 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash
-
-QUERIES = [simhash.op6_simhash_near_dedup]
+from . import embedding_dedup, pii, secret_scan, simhash
+
+QUERIES = [
+    secret_scan.op2_secret_scan,
+    simhash.op6_simhash_near_dedup,
+    embedding_dedup.op7_embedding_near_dedup,
+    pii.op10_pii,
+]
 SQL: dict[str, str] = {}
 
 
