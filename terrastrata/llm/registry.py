@@ -6,15 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embedding_dedup, pii, secret_scan, simhash
+from . import chat_template, embedding_dedup, line_dedup, mixing, pii, secret_scan, simhash, toxicity
 
 QUERIES = [
     secret_scan.op2_secret_scan,
+    mixing.op3_source_mixing,
+    toxicity.op5_toxicity,
     simhash.op6_simhash_near_dedup,
     embedding_dedup.op7_embedding_near_dedup,
+    line_dedup.op8_line_dedup,
+    chat_template.op9_chat_formatting,
     pii.op10_pii,
 ]
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op8_line_dedup": line_dedup.SQL}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
