@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_template, embedding_dedup, line_dedup, mixing, pii, secret_scan, simhash, toxicity
+from . import chat_template, embedding_dedup, line_dedup, mixing, pieces, pii, secret_scan, simhash, toxicity
 
 QUERIES = [
     secret_scan.op2_secret_scan,
     mixing.op3_source_mixing,
+    pieces.op4_sentencepiece,
     toxicity.op5_toxicity,
     simhash.op6_simhash_near_dedup,
     embedding_dedup.op7_embedding_near_dedup,
