@@ -15,31 +15,32 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import cut
+
 LINES = 3
+MOST_BROADCAST = 32_000_000  # bytes of places
 
 
 def lines_of(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
-def window_keys(text: Column, lines: int = LINES) -> Column:
-    """array<struct<pos, k1, k2>> of the windows with anything in them."""
-    one = F.transform(lines_of(text), lambda x: F.struct(F.xxhash64(x).alias("a"), F.hash(x).alias("b"), (F.trim(x) == "").alias("blank")))
-    starts = F.when(F.size(one) >= lines, F.sequence(F.lit(0), F.size(one) - lines)).otherwise(F.array().cast("array<int>"))
-
-    def window(i: Column) -> Column:
-        part = [F.get(one, i + k) for k in range(lines)]
-        blank = part[0]["blank"]
-        for p in part[1:]:
-            blank = blank & p["blank"]
-        return F.when(~blank, F.struct(i.alias("pos"), F.xxhash64(*(p["a"] for p in part)).alias("k1"), F.hash(*(p["b"] for p in part)).alias("k2")))
-
-    return F.array_compact(F.transform(starts, window))
+def windows_of(docs: DataFrame, keys: list[Column], lines: int = LINES) -> DataFrame:
+    """keys, pos, k1 and k2 of the windows with anything in them. Lines are hashed once, in a projection of their own."""
+    names = [f"__k{i}" for i in range(len(keys))]
+    hashed = docs.select(*(k.alias(n) for k, n in zip(keys, names, strict=True)), F.transform(lines_of(F.col("text")), lambda x: F.struct(F.xxhash64(x).alias("a"), F.hash(x).alias("b"), (F.trim(x) == "").alias("blank"))).alias("__one"))
+    rows = hashed.where(F.size("__one") >= lines).select(*names, F.size("__one").alias("__n"), F.posexplode(F.arrays_zip(F.col("__one").alias("w0"), *(F.slice("__one", k + 1, F.size("__one")).alias(f"w{k}") for k in range(1, lines)))).alias("pos", "w"))
+    part = [F.col(f"w.w{k}") for k in range(lines)]
+    some = ~part[0]["blank"]
+    for p in part[1:]:
+        some = some | ~p["blank"]
+    inside = rows.where((F.col("pos") <= F.col("__n") - lines) & some)
+    return inside.select(*names, "pos", F.xxhash64(*(p["a"] for p in part)).alias("k1"), F.hash(*(p["b"] for p in part)).alias("k2"))
 
 
 def repeated_lines(docs: DataFrame, lines: int = LINES) -> DataFrame:
     """(doc, th, covered): for documents with later occurrences, the sorted places of the lines that go. doc and th are doc_key() and text_key()."""
-    windows = docs.select(doc_key().alias("doc"), text_key().alias("th"), F.explode(window_keys(F.col("text"), lines)).alias("w")).select("doc", "th", "w.*")
+    windows = windows_of(docs, [doc_key(), text_key()], lines).withColumnsRenamed({"__k0": "doc", "__k1": "th"})
     at = F.struct("doc", "th", "pos")
     first = windows.groupBy("k1", "k2").agg(F.min(at).alias("first"), F.max(at).alias("last")).where("first <> last").select("k1", "k2", "first")
     same = (F.col("doc") == F.col("first.doc")) & (F.col("th") == F.col("first.th"))
@@ -60,7 +61,10 @@ def deduped(docs: DataFrame, lines: int = LINES) -> DataFrame:
     """docs with text as it stays, n_chars (if there is one) counted anew, and dropped_lines, an array of the places that went."""
     own = docs.columns
     keyed = docs.withColumns({"__doc": doc_key(), "__th": text_key()})
-    gone = repeated_lines(docs.select("doc_id", "text"), lines).withColumnsRenamed({"doc": "__doc", "th": "__th", "covered": "dropped_lines"})
+    gone = cut(repeated_lines(docs.select("doc_id", "text"), lines).withColumnsRenamed({"doc": "__doc", "th": "__th", "covered": "dropped_lines"}))
+    rows, places = gone.agg(F.count(F.lit(1)), F.sum(F.size("dropped_lines"))).first()
+    if 64 * rows + 4 * (places or 0) <= MOST_BROADCAST:
+        gone = F.broadcast(gone)  # else the texts are shuffled to it
     kept = F.array_join(F.filter(lines_of(F.col("text")), lambda x, i: ~F.array_contains("dropped_lines", i)), "\n")
     out = keyed.join(gone, ["__doc", "__th"], "left").withColumn("text", F.when(F.col("dropped_lines").isNull(), F.col("text")).otherwise(kept))
     if "n_chars" in own:

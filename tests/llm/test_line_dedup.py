@@ -39,7 +39,8 @@ def test_query_and_sql_equal_brute_force(spark, docs_of, saved):
     assert {x[0]: x[1:] for x in duckdb.sql(L.SQL).project(", ".join(cols)).fetchall()} == want
 
 
-def test_columns_repeats_and_no_rows(spark, docs_of, saved):
+def test_columns_repeats_and_no_rows(spark, docs_of, saved, monkeypatch):
+    monkeypatch.setattr(L, "MOST_BROADCAST", -1)
     passage = "p1\np2\np3"
     df = docs_of([passage, f"{passage}\nx", passage, f"{passage}\ny"], [1, 2, 1, None]).withColumnRenamed("fp", "covered")
     rows = sorted((x.doc_id or 0, x.text, x.n_chars) for x in L.deduped(df).collect())
