@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_template, embedding_dedup, line_dedup, mixing, pieces, pii, secret_scan, simhash, toxicity
+from . import chat_template, embedding_dedup, fingerprints, line_dedup, mixing, pieces, pii, secret_scan, simhash, toxicity
 
 QUERIES = [
+    fingerprints.op1_document_fingerprints,
     secret_scan.op2_secret_scan,
     mixing.op3_source_mixing,
     pieces.op4_sentencepiece,
