@@ -16,12 +16,13 @@ doc_id keep their row (component null). An empty table gives an empty result. Ex
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import connected_components, cut, map_rows
@@ -126,3 +127,209 @@ def near_components(docs: DataFrame, words: int = 3) -> DataFrame:
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return near_components(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+# --- similarity of word shingles -------------------------------------------------------------------------------------
+
+WORDS_64 = 8  # a long fingerprint's words of 64 bits
+BAND_BITS = 16
+GROUP = 16_384  # fingerprints that are compared in one place
+MIX = np.uint64(0x9E3779B97F4A7C15)
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def shingle_hashes(text: str | None, words: int, known: dict[bytes, int]) -> tuple[bytes, np.ndarray]:
+    """(a digest of the words, the distinct hashes of their shingles). Texts of fewer words are one shingle, empty ones none."""
+    w = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    key = hashlib.blake2b(b" ".join(w), digest_size=16).digest()
+    if not w:
+        return key, np.empty(0, dtype=np.uint64)
+    if len(known) > 500_000:
+        known.clear()
+    get = known.get
+    h = np.fromiter((get(x) or known.setdefault(x, xxhash.xxh64_intdigest(x)) for x in w), dtype=np.uint64, count=len(w))
+    k = min(words, len(w))
+    acc = h[: len(h) - k + 1].copy()
+    for i in range(1, k):
+        acc = mixed(acc * np.uint64(31) + h[i : len(h) - k + 1 + i])
+    return key, np.unique(acc)
+
+
+def long_print(hashes: np.ndarray) -> np.ndarray:
+    """SimHash of WORDS_64 words of 64 bits."""
+    if not len(hashes):
+        return np.zeros(WORDS_64, dtype="<u8")
+    return majority(mixed(hashes[:, None] + MIX * np.arange(1, WORDS_64 + 1, dtype=np.uint64)))
+
+
+def long_prints(docs: DataFrame, words: int) -> DataFrame:
+    """(doc_id, key, fp): key the same for equal word sequences, fp the long fingerprint's bytes."""
+
+    def make() -> Callable[[pa.RecordBatch], dict]:
+        known: dict[bytes, int] = {}
+
+        def f(batch: pa.RecordBatch) -> dict:
+            found = [shingle_hashes(t.as_py(), words, known) for t in batch.column(1)]
+            return {"doc_id": batch.column(0), "key": pa.array([k for k, _ in found], type=pa.binary()), "fp": pa.array([long_print(h).tobytes() for _, h in found], type=pa.binary())}
+
+        return f
+
+    return map_rows(docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null"), make, "doc_id long, key binary, fp binary")
+
+
+def limit_of(similarity: float, bits: int = WORDS_64 * 64, spread: float = 3.0) -> int:
+    """Differing bits that sets of the given Jaccard similarity and equal size stay within but for chance (three deviations)."""
+    p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    return int(bits * p + spread * np.sqrt(bits * p * (1 - p)))
+
+
+def differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits of each row of a and each of b."""
+    out = np.zeros((len(a), len(b)), dtype=np.int32)
+    for k in range(a.shape[1]):
+        out += np.bitwise_count(a[:, k, None] ^ b[None, :, k])
+    return out
+
+
+def nearest_forest(fps: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """Edges (i, j) of a spanning forest of the links of at most `most` bits, near ones first.
+
+    In large sets, rows within a third of the limit of a leader join it and aren't compared with each other, nor with the
+    rows of a leader so far off that no two of them can link. All other pairs are compared.
+    """
+    n, near = len(fps), most // 3
+    if n <= 64:
+        d = differing(fps, fps)
+        i, j = np.nonzero(d <= most)
+        links = [(d[i, j], i, j)]
+        if len(i) == n:
+            return []
+    else:
+        links, rest, groups = [], np.arange(n), []
+        idle = 0
+        while len(rest) and len(groups) < 256 and idle < 4:
+            d = differing(fps[rest[:1]], fps[rest])[0]
+            close = d <= near
+            idle = 0 if close.sum() > 8 else idle + 1
+            groups.append(rest[close])
+            links.append((d[close], np.full(close.sum(), rest[0]), rest[close]))
+            rest = rest[~close]
+        leaders = fps[[g[0] for g in groups]]
+        apart = differing(leaders, leaders)
+        asks = [(groups[i], groups[j]) for i in range(len(groups)) for j in range(i) if apart[i, j] <= most + 2 * near]
+        asks.append((rest, np.arange(n)))
+        for ask, of in asks:
+            step = max(1, 4_000_000 // max(1, len(of)))
+            for at in range(0, len(ask), step):
+                d = differing(fps[ask[at : at + step]], fps[of])
+                i, j = np.nonzero(d <= most)
+                if len(i):
+                    links.append((d[i, j], ask[at + i], of[j]))
+    d, i, j = (np.concatenate(x) for x in zip(*links, strict=True))
+    some = i != j
+    d, i, j = d[some], i[some], j[some]
+    parent = list(range(n))
+
+    def root(k: int) -> int:
+        while parent[k] != k:
+            parent[k] = parent[parent[k]]
+            k = parent[k]
+        return k
+
+    out: list[tuple[int, int]] = []
+    order = np.argsort(d, kind="stable")
+    for a, b in zip(i[order].tolist(), j[order].tolist(), strict=True):
+        x, y = root(a), root(b)
+        if x != y:
+            parent[x] = y
+            out.append((a, b))
+    return out
+
+
+def banded_edges(classes: DataFrame, most: int, group: int = GROUP) -> DataFrame:
+    """(a, b): likely links of classes (rep, fp) that agree in some band of BAND_BITS bits, one forest for each band and value. Where more than `group` agree, they are split and each two parts are compared."""
+    bands = WORDS_64 * 64 // BAND_BITS
+    band = F.explode(F.array(*(F.concat(F.lit(bytes([i])), F.substring("fp", i * BAND_BITS // 8 + 1, BAND_BITS // 8)) for i in range(bands))))
+    rows = classes.select("rep", "fp", band.alias("band"))
+    sizes = rows.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > group).select("band", F.ceil(F.col("n") / (group // 2)).alias("parts"))
+    own = F.pmod(F.xxhash64("rep"), F.col("parts"))
+    spread = rows.join(F.broadcast(sizes) if sizes.count() <= 10_000 else sizes, "band", "left").withColumn("parts", F.coalesce("parts", F.lit(1).cast("long")))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
+    units = spread.select("rep", "fp", "band", "parts", own.alias("own"), other.alias("other")).select("rep", "fp", F.xxhash64("band", F.least("own", "other"), F.greatest("own", "other")).alias("unit"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, reps, fps = None, [], []
+        out: list[tuple[int, int]] = []
+
+        def finish() -> None:
+            if len(reps) > 1:
+                x = np.frombuffer(b"".join(fps), dtype="<u8").reshape(-1, WORDS_64)
+                out.extend((max(reps[i], reps[j]), min(reps[i], reps[j])) for i, j in nearest_forest(x, most))
+            reps.clear()
+            fps.clear()
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64()) for c in zip(*out, strict=True)], names=["a", "b"])
+                out.clear()
+
+        for batch in batches:
+            for rep, fp, unit in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if unit != last:
+                    finish()
+                    last = unit
+                reps.append(rep)
+                fps.append(fp)
+            yield from flush()
+        finish()
+        yield from flush()
+
+    return units.repartition("unit").sortWithinPartitions("unit", "rep").mapInArrow(run, "a long, b long").distinct()
+
+
+def verified(docs: DataFrame, edges: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The edges whose texts' shingle sets have the similarity."""
+
+    def make() -> Callable[[pa.RecordBatch], dict]:
+        known: dict[bytes, int] = {}
+        return lambda batch: {"id": batch.column(0), "set": pa.array([shingle_hashes(t.as_py(), words, known)[1].view("<i8") for t in batch.column(1)], type=pa.list_(pa.int64()))}
+
+    ids = edges.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    n = ids.count()
+    texts = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(ids) if n <= MOST_BROADCAST else ids, "doc_id")
+    sets = map_rows(texts, make, "id long, set array<long>")
+    both = edges.join(sets.withColumnsRenamed({"id": "a", "set": "x"}), "a").join(sets.withColumnsRenamed({"id": "b", "set": "y"}), "b")
+    common = F.size(F.array_intersect("x", "y"))
+    return both.where(common >= similarity * (F.size("x") + F.size("y") - common)).select("a", "b").distinct()
+
+
+MOST_BROADCAST = 1_000_000  # ids, of 8 bytes each
+
+
+def similar_components(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, key, component_id) for documents with a doc_id: those whose sets of word shingles have the given Jaccard similarity link, found by bands of a SimHash of 512 bits and verified on the sets. Equal word sequences are one class."""
+    prints = cut(long_prints(docs, words))
+    classes = prints.groupBy("key").agg(F.min("doc_id").alias("rep"), F.min("fp").alias("fp"))
+    likely = cut(banded_edges(classes.select("rep", "fp"), limit_of(similarity)))
+    parts = connected_components(verified(docs, likely, words, similarity))
+    of_class = classes.select("key", "rep").join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("key", F.coalesce("component", "rep").alias("component_id"))
+    return prints.select("doc_id", "key").join(of_class, "key")
+
+
+def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """docs without near copies: of each component the document with the smallest doc_id stays, once. Rows without a doc_id stay."""
+    found = cut(similar_components(docs.select("doc_id", "text"), words, similarity))
+    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
+    n = gone.count()
+    out = docs.join(F.broadcast(gone) if n <= MOST_BROADCAST else gone, "doc_id", "left_anti")
+    repeated = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    if repeated.isEmpty():
+        return out.select(*docs.columns)
+    # Rows of one doc_id: the first by text stays where they belong together.
+    turn = F.row_number().over(Window.partitionBy(F.coalesce(F.col("doc_id"), F.xxhash64(F.monotonically_increasing_id()))).orderBy("text"))
+    return out.withColumn("__turn", turn).where((F.col("__turn") == 1) | F.col("doc_id").isNull()).select(*docs.columns)

@@ -72,3 +72,61 @@ def test_links_on_planted_bits(spark):
         for f in fps:
             part[f] = min(part[g] for g in fps if near(f, g))
     assert {f: parts.get(f, f) for f in fps} == part
+
+
+def components(n, pairs):
+    part = list(range(n))
+    for _ in range(n):
+        new = list(part)
+        for a, b in pairs:
+            new[a] = new[b] = min(new[a], new[b])
+        if new == part:
+            return part
+        part = new
+    return part
+
+
+def test_forest_spans_all_links():
+    r = np.random.default_rng(2)
+    for n in (2, 30, 64, 65, 400):
+        base = r.integers(0, 2**63, (max(1, n // 40), 8), dtype=np.uint64)
+        fps = base[r.integers(0, len(base), n)]
+        for _ in range(n * 30):
+            fps[r.integers(0, n), r.integers(0, 8)] ^= np.uint64(1) << np.uint64(r.integers(0, 63))
+        d = S.differing(fps, fps)
+        for most in (20, 60, 100):
+            want = components(n, [(i, j) for i in range(n) for j in range(i) if d[i, j] <= most])
+            got = S.nearest_forest(fps, most)
+            assert components(n, got) == want and all(d[i, j] <= most for i, j in got) and len(got) == n - len(set(want))
+
+
+def slow_similar(texts, k=5, least=0.8):
+    sets = []
+    for t in texts:
+        w = "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "").split()
+        sets.append({tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set())
+    return components(len(texts), [(i, j) for i in range(len(texts)) for j in range(i) if sets[i] == sets[j] or len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j])])
+
+
+def test_similar_components(spark, docs_of):
+    r = random.Random(8)
+    words = [f"w{i}" for i in range(3000)]
+    texts = [None, "", "  ", "a b", "A  b", "a b c d e"]
+    for _ in range(25):
+        base = [r.choice(words) for _ in range(r.randint(80, 400))]
+        for e in (0, 0.002, 0.005, 0.01, 0.015, 0.06):
+            texts.append(" ".join(r.choice(words) if r.random() < e else w for w in base))
+    want = slow_similar(texts)
+    df = docs_of(texts)
+    got = {x.doc_id: x.component_id for x in S.similar_components(df).collect()}
+    assert sum(got[i] != want[i] for i in range(len(texts))) <= 0.03 * len(texts) and sum(w != i for i, w in enumerate(want)) > 60
+    assert len({got[i] for i in range(3)}) == 1 and got[3] == got[4] == 3
+    left = S.one_of_each(df)
+    assert left.columns == df.columns and sorted(x.doc_id for x in left.collect()) == sorted(i for i, c in got.items() if i == c)
+
+
+def test_one_of_each_repeats_nulls_and_no_rows(spark, docs_of):
+    df = docs_of(["same text", "same text", "same text", "same text", "other"], [4, 4, None, None, 9])
+    assert sorted((x.doc_id or 0, x.text) for x in S.one_of_each(df).collect()) == [(0, "same text"), (0, "same text"), (4, "same text"), (9, "other")]
+    assert S.one_of_each(df.limit(0)).collect() == []
+    assert S.one_of_each(docs_of(["x " * 50_000, "x " * 50_000])).count() == 1
