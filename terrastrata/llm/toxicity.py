@@ -1,16 +1,17 @@
 """Toxicity: a learned lexicon, Levenshtein automata that catch its terms misspelled, and context windows that tell quotation from abuse.
 
 Fit, on labelled rows alone (at most FIT_ROWS, chosen by a hash of doc_id; the bound is a parameter):
-  1. Document counts of words among toxic and clean texts. Near copies share a text's smallest word-pair hash and weigh
-     one together, so that a group of copies doesn't make its rare words look toxic.
-  2. Terms that are clearly commoner in toxic texts, taken greedily while they explain toxic texts that earlier terms
-     don't explain twice.
+  1. Terms are words, stems (word*: anything that begins so) and stems of two different words of a text (word**). Those of
+     toxic texts are counted, then the same ones among clean texts. Near copies share a text's smallest word-pair hash and
+     weigh one together, so that a group of copies doesn't make its rare words look toxic.
+  2. Terms that are clearly commoner in toxic texts are taken greedily while they explain toxic texts that earlier terms
+     don't explain COVER times.
   3. A logistic regression on the features below.
 Score, for any text: each distinct word runs through the intersection of its Levenshtein automaton with the lexicon's trie
-(distance 0, or 1 for words of LONG letters and more; terms that differ from a common clean word don't match it). Hits are
+(distance 0, or 1 for words of LONG letters and more, unless the word is common in clean texts; stems match exactly). Hits are
 weighed by a window of WINDOW words around them: between quotation marks, or next to words of reporting, a hit counts as
-quoted. Features: plain, misspelled and quoted hits, hits that stand together, hits by length. Labels, lang, source and
-doc_id are never inputs of a score.
+quoted. Features: plain hits by term, misspelled and quoted hits, hits that stand together, hits by length. Labels, lang,
+source and doc_id are never inputs of a score.
 
 Null and empty texts score as texts without hits. Without labelled rows of both kinds every score is the share of toxic
 labels (0 if there are none). Equal texts score alike; an empty table gives an empty result; other columns are ignored.
@@ -26,6 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,8 +35,11 @@ from .common import cut, map_rows
 
 FIT_ROWS = 20_000
 LONG, WINDOW = 5, 8
-MOST_TERMS = 2_000  # candidate terms that come to the driver
-CACHE = 200_000
+SHORT, LONGEST = 4, 9  # letters of a stem
+RATIO = 4.0  # how much commoner a term is in toxic texts
+COVER = 4
+MOST_TERMS, MOST_CHOSEN = 20_000, 100  # candidates that come to the driver, the commonest in toxic texts; terms that are taken
+CACHE = 500_000
 WORD = re.compile(r"[^\W\d_]+(?:[*@$!][^\W\d_]+)*")
 QUOTES = re.compile(r"[\"“”„«»]")
 # Words of reporting, in the languages of the corpus. Fixed values.
@@ -82,7 +87,7 @@ class Trie:
 @dataclass(frozen=True)
 class Model:
     terms: tuple[str, ...]
-    common: frozenset[str]  # clean words that a term's misspelling may not be
+    common: frozenset[str]  # clean words, none of which is a term misspelled
     weights: tuple[float, ...]
     prior: float
 
@@ -91,41 +96,74 @@ class Scorer:
     """Features and scores of texts; made once a task."""
 
     def __init__(self, model: Model):
-        self.model, self.trie, self.seen = model, Trie(list(model.terms)), {}
-        self.lengths = {n + d for n in map(len, model.terms) for d in (-1, 0, 1)}
-
-    def hit(self, word: str) -> int:
-        """0: none, 1: a term, 2: a term misspelled."""
+        self.model = model
+        self.place = {t: i for i, t in enumerate(model.terms)}
+        words = [t for t in model.terms if not t.endswith("*")]
+        self.trie = Trie(words)
+        self.stems = tuple({t.rstrip("*") for t in model.terms if t.endswith("*")})
+        self.starts = {t[:SHORT] for t in self.stems}
+        self.seen: set[str] = set()  # stretches between white space that were looked at
+        self.hits: set[str] = set()  # those of them with a hit
+        self.kinds: dict[str, tuple[bool, tuple[str, ...]] | None] = {}
+        self.lengths = {n + d for n in map(len, words) for d in (-1, 0, 1)}
+        # One letter's difference leaves a term's first or its last two letters as they are.
+        self.heads, self.tails = {t[:2] for t in words}, {t[-2:] for t in words}
+
+    def kind(self, word: str) -> tuple[bool, tuple[str, ...]] | None:
+        """(whether misspelled, the term and stems that it stands for); None without any."""
+        low = word.lower()
+        like = len(low) in self.lengths and (low[:2] in self.heads or low[-2:] in self.tails)
+        if not like and low[:SHORT] not in self.starts:
+            return None
+        if low not in self.kinds:
+            found = self.trie.within(low, 1 if len(low) >= LONG and low not in self.model.common else 0) if like else None
+            stems = tuple(s for s in self.stems if len(low) > len(s) and low.startswith(s))
+            self.kinds[low] = (bool(found and found[1] and not stems), ((found[0],) if found else ()) + stems) if found or stems else None
+        return self.kinds[low]
+
+    def hit(self, stretch: str) -> bool:
+        return any(self.kind(w) for w in WORD.findall(stretch))
+
+    def features(self, text: str | None) -> list[float]:
+        text, n = text or "", len(self.model.terms)
+        stretches = set(text.split())
         if len(self.seen) > CACHE:
             self.seen.clear()
-        low = word.lower()
-        kind = 0
-        if len(low) in self.lengths and (found := self.trie.within(low, 1 if len(low) >= LONG and low not in self.model.common else 0)):
-            kind = 1 + (found[1] > 0 or low != found[0])
-        self.seen[word] = kind
-        return kind
-
-    def features(self, text: str | None) -> tuple[float, ...]:
-        text, seen = text or "", self.seen
-        words = WORD.findall(text)
-        kinds = {w: k for w in set(words) if (k := seen[w] if w in seen else self.hit(w))}
-        if not kinds:
-            return 0.0, 0.0, 0.0, 0.0, 0.0
+            self.hits.clear()
+            self.kinds.clear()
+        new = stretches - self.seen
+        self.seen |= new
+        self.hits.update(filter(self.hit, new))
+        if self.hits.isdisjoint(stretches):
+            return [0.0] * (n + 4)
         marks = [m.start() for m in QUOTES.finditer(text)]
-        count, at, close, last = [0, 0, 0], 0, 0, None
-        low = None
         places = [(m.start(), m[0]) for m in WORD.finditer(text)]
+        low = [x.lower() for _, x in places]
+        count, of_stem = [0] * (n + 4), defaultdict(set)
+        at, last = 0, None
         for i, (start, w) in enumerate(places):
-            if not (kind := kinds.get(w)):
+            if not (kind := self.kind(w)):
                 continue
             while at < len(marks) and marks[at] < start:
                 at += 1
-            low = low or [x.lower() for _, x in places]
-            quoted = at % 2 == 1 and at < len(marks) or any(x in REPORTING for x in low[max(0, i - WINDOW) : i + WINDOW])
-            count[2 if quoted else kind - 1] += 1
-            close += last is not None and i - last <= WINDOW
+            if at % 2 == 1 and at < len(marks) or any(x in REPORTING for x in low[max(0, i - WINDOW) : i + WINDOW]):
+                count[n + 1] += 1
+            elif kind[0]:
+                count[n] += 1
+            else:
+                for t in kind[1]:
+                    if t in self.place:
+                        count[self.place[t]] += 1
+                    if (stem := f"{t}*") in self.place:
+                        count[self.place[stem]] += 1
+                    if (pair := f"{t}**") in self.place:
+                        of_stem[pair].add(low[i])
+            count[n + 2] += last is not None and i - last <= WINDOW
+            count[n + 3] += 1
             last = i
-        return math.log1p(count[0]), math.log1p(count[1]), math.log1p(count[2]), math.log1p(close), 100 * sum(count) / (len(words) + 20)
+        for pair, words in of_stem.items():
+            count[self.place[pair]] = len(words) - 1
+        return [*map(math.log1p, count[: n + 3]), 100 * count[n + 3] / (len(places) + 20)]
 
     def score(self, text: str | None) -> float:
         if not self.model.weights:
@@ -134,37 +172,53 @@ class Scorer:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, rounds: int = 50) -> np.ndarray:
-    """Weights with the intercept first, by Newton's method."""
+def logistic(x: np.ndarray, y: np.ndarray, times: np.ndarray, ridge: float = 0.3, rounds: int = 100) -> np.ndarray:
+    """Weights with the intercept first, by Newton's method; each row counts a number of times."""
     x = np.hstack([np.ones((len(x), 1)), x])
     w, penalty = np.zeros(x.shape[1]), ridge * np.eye(x.shape[1])
     penalty[0, 0] = 1e-6
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p) + 1e-9)[:, None]).T @ x + penalty, x.T @ (y - p) - penalty @ w)
-        w = w + step
+        step = np.linalg.solve((x * (times * p * (1 - p) + 1e-9)[:, None]).T @ x + penalty, x.T @ (times * (y - p)) - penalty @ w)
+        w = w + step * min(1.0, 5.0 / max(1e-9, np.abs(step).max()))
         if np.abs(step).max() < 1e-8:
             break
     return w
 
 
-def chosen(docs: list[tuple[float, frozenset[str]]], counts: dict[str, tuple[float, float]], toxic: float, clean: float) -> list[str]:
-    """Terms taken greedily: docs are the toxic texts (weight, candidate terms in it); counts, by term, are weights among toxic and clean texts."""
-    ratio = {t: (a + 0.1) / (toxic + 0.2) / ((b + 0.1) / (clean + 0.2)) for t, (a, b) in counts.items()}
-    able = {t for t, r in ratio.items() if r >= 20}
+def tokens(text: str | None) -> set[str]:
+    """The candidate terms of a text: its words, their stems (stem*), and the stems of several of them (stem**)."""
+    words = {w.lower() for w in WORD.findall(text or "")}
+    out, stems = {w for w in words if len(w) <= 40}, set()
+    for w in words:
+        for n in range(SHORT, min(LONGEST, len(w) - 1) + 1):
+            stem = w[:n] + "*"
+            if stem in stems:
+                out.add(stem + "*")
+            stems.add(stem)
+    return out | stems
+
+
+def chosen(docs: list[tuple[float, list[str]]], ratio: dict[str, float], toxic: float) -> list[str]:
+    """Terms taken greedily by the weight of the toxic texts (weight, candidate terms in it) that they explain and by how much commoner they are there."""
     by_term: dict[str, list[int]] = defaultdict(list)
     for i, (_, terms) in enumerate(docs):
-        for t in terms & able:
+        for t in terms:
             by_term[t].append(i)
-    need, out = [2] * len(docs), []
-    while by_term:
+    need, out = [COVER] * len(docs), []
+    while by_term and len(out) < MOST_CHOSEN:
         gain = {t: sum(docs[i][0] for i in where if need[i]) for t, where in by_term.items()}
-        t = max(gain, key=lambda t: (gain[t], ratio[t], t))
-        if gain[t] < max(1.5, 0.02 * toxic):
+        worth = {t: g * min(math.log(ratio[t]), 6.0) for t, g in gain.items() if g >= max(1.5, 0.02 * toxic)}
+        if not worth:
             break
+        # Of equals a word before a stem, a longer one before a shorter.
+        t = max(worth, key=lambda t: (round(worth[t], 6), not t.endswith("*"), len(t), t))
         out.append(t)
         for i in by_term.pop(t):
             need[i] = max(0, need[i] - 1)
+        # What is part of a taken term, or holds it, explains nothing more.
+        bare = t.rstrip("*")
+        by_term = {x: w for x, w in by_term.items() if not (x.startswith(bare) or x.endswith("*") and bare.startswith(x.rstrip("*")))}
     return sorted(out)
 
 
@@ -183,62 +237,70 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = FIT_ROWS) -> Model:
     # At most most_rows rows of 12 bytes, so they may be broadcast.
     texts = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
 
-    def words(batch_of: pa.RecordBatch) -> dict:
-        out: dict[str, list] = {"toxic": [], "copies": [], "words": [], "text": []}
-        for text, toxic in zip(batch_of.column(1).to_pylist(), batch_of.column(2).to_pylist(), strict=True):
+    def copies(batch: pa.RecordBatch) -> dict:
+        out = []
+        for text in batch.column(1).to_pylist():
             w = [x.lower() for x in WORD.findall(text or "")]
-            out["toxic"].append(toxic)
-            out["copies"].append(min((pair_hash(a, b) for a, b in zip(w, w[1:], strict=False)), default=0))
-            out["words"].append(sorted({x for x in w if len(x) <= 40}))
-            out["text"].append(text)
-        return {"toxic": pa.array(out["toxic"], type=pa.int32()), "copies": pa.array(out["copies"], type=pa.int64()), "words": pa.array(out["words"], type=pa.list_(pa.string())), "text": pa.array(out["text"], type=pa.string())}
+            out.append(min((xxhash.xxh64_intdigest(f"{a} {b}") for a, b in zip(w, w[1:], strict=False)), default=0) >> 1)
+        return {"toxic": batch.column(2), "copies": pa.array(out, type=pa.int64()), "text": batch.column(1)}
 
-    rows = cut(map_rows(texts, lambda: words, "toxic int, copies long, words array<string>, text string"))
+    rows = cut(map_rows(texts, lambda: copies, "toxic int, copies long, text string"))
     group = rows.groupBy("copies", "toxic").agg((1 / F.count(F.lit(1))).alias("weight"))
-    weighed = rows.join(group, ["copies", "toxic"])
-    total = {r.toxic: r.w for r in group.groupBy("toxic").agg(F.sum("weight").alias("share"), F.count(F.lit(1)).cast("double").alias("w")).collect()}
+    weighed = cut(rows.join(group, ["copies", "toxic"]).select("toxic", "weight", "text"))
+    total = {r.toxic: r.w for r in weighed.groupBy("toxic").agg(F.sum("weight").alias("w")).collect()}
     toxic, clean = total.get(1, 0.0), total.get(0, 0.0)
     if not toxic or not clean:
         return Model((), frozenset(), (), 1.0 if toxic else 0.0)
-    by_word = weighed.select("toxic", "weight", F.explode("words").alias("word")).groupBy("word").agg(F.sum(F.when(F.col("toxic") == 1, F.col("weight")).otherwise(0.0)).alias("a"), F.sum(F.when(F.col("toxic") == 0, F.col("weight")).otherwise(0.0)).alias("b"))
-    by_word = cut(by_word.where("a >= 1.5 or b >= 3"))
-    best = by_word.where((F.col("a") >= 1.5) & (F.col("a") / toxic >= 10 * (F.col("b") + 0.1) / (clean + 0.2))).orderBy(F.desc("a"), "word").limit(MOST_TERMS)
-    counts = {r.word: (r.a, r.b) for r in best.collect()}
-    names = F.array(*map(F.lit, sorted(counts))) if counts else F.array().cast("array<string>")
-    held = weighed.where("toxic = 1").select("weight", F.array_intersect("words", names).alias("terms")).where(F.size("terms") > 0).collect()
-    terms = chosen(sorted(((r.weight, frozenset(r.terms)) for r in held), key=lambda x: (x[0], sorted(x[1]))), counts, toxic, clean)
-    near = frozenset(r.word for r in map_words(by_word.where("b >= 3").select("word"), terms).collect())
-    model = Model(tuple(terms), near - set(terms), (), toxic / (toxic + clean))
+
+    def of_toxic(batch: pa.RecordBatch) -> dict:
+        return {"weight": batch.column(1), "terms": pa.array([sorted(tokens(t)) for t in batch.column(2).to_pylist()], type=pa.list_(pa.string()))}
+
+    held = map_rows(weighed.where("toxic = 1"), lambda: of_toxic, "weight double, terms array<string>")
+    frequent = held.select("weight", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("weight").alias("a")).where(F.col("a") >= max(1.5, 0.02 * toxic))
+    first = {r.term: r.a for r in frequent.orderBy(F.desc("a"), "term").limit(MOST_TERMS).collect()}
+
+    def among(names: dict[str, float]) -> Callable[[], Callable[[pa.RecordBatch], dict]]:
+        def f(batch: pa.RecordBatch) -> dict:
+            return {"toxic": batch.column(0), "weight": batch.column(1), "terms": pa.array([sorted(x for x in tokens(t) if x in names) for t in batch.column(2).to_pylist()], type=pa.list_(pa.string()))}
+
+        return lambda: f
+
+    in_clean = map_rows(weighed.where("toxic = 0"), among(first), "toxic int, weight double, terms array<string>")
+    second = {r.term: r.b for r in in_clean.select("weight", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("weight").alias("b")).collect()}
+    ratio = {t: (a + 0.1) / (toxic + 0.2) / ((second.get(t, 0.0) + 0.1) / (clean + 0.2)) for t, a in first.items()}
+    ratio = {t: r for t, r in ratio.items() if r >= RATIO}
+    texts_of = [(r.weight, r.terms) for r in map_rows(weighed.where("toxic = 1"), among(ratio), "toxic int, weight double, terms array<string>").where(F.size("terms") > 0).collect()]
+    terms = chosen(sorted(texts_of), ratio, toxic)
+
+    # Clean words a letter away from a term are no misspellings of it.
+    near = map_words(weighed.where("toxic = 0"), terms).groupBy("word").agg(F.count(F.lit(1)).alias("n")).where("n >= 3")
+    model = Model(tuple(terms), frozenset(r.word for r in near.collect()), (), toxic / (toxic + clean))
 
     def measured() -> Callable[[pa.RecordBatch], dict]:
         scorer = Scorer(model)
-        return lambda batch: {"toxic": batch.column(0), "weight": batch.column(1), "x": pa.array([list(scorer.features(t)) for t in batch.column(2).to_pylist()], type=pa.list_(pa.float64()))}
+        return lambda batch: {"toxic": batch.column(0), "x": pa.array([scorer.features(t) for t in batch.column(2).to_pylist()], type=pa.list_(pa.float64()))}
 
-    features = map_rows(weighed.select("toxic", "weight", "text"), measured, "toxic int, weight double, x array<double>")
-    # Rows with equal features count together; so few distinct ones are left that the fit's input is small beside most_rows.
-    table = features.groupBy("toxic", "x").agg(F.count(F.lit(1)).alias("n")).orderBy("toxic", "x").collect()
-    x, y, k = np.array([r.x for r in table]), np.array([float(r.toxic) for r in table]), np.array([r.n for r in table])
-    weights = logistic(np.repeat(x, k, axis=0), np.repeat(y, k))
-    return Model(model.terms, model.common, tuple(map(float, weights)), model.prior)
+    # Rows with equal features count together; most have none.
+    table = map_rows(weighed, measured, "toxic int, x array<double>").groupBy("toxic", "x").agg(F.count(F.lit(1)).alias("n")).orderBy("toxic", "x").collect()
+    x, y, k = np.array([r.x for r in table]), np.array([float(r.toxic) for r in table]), np.array([float(r.n) for r in table])
+    return Model(model.terms, model.common, tuple(map(float, logistic(x, y, k))), model.prior)
 
 
-def pair_hash(a: str, b: str) -> int:
-    """A hash of two words that all processes agree on."""
-    h = 0xCBF29CE484222325
-    for c in (a + " " + b).encode():
-        h = (h ^ c) * 0x100000001B3 & 0xFFFFFFFFFFFFFFFF
-    h ^= h >> 29
-    return (h * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF) >> 1
+def map_words(texts: DataFrame, terms: list[str]) -> DataFrame:
+    """The words of each text (third column), once a text, that are a letter away from a term."""
 
+    def make() -> Callable[[pa.RecordBatch], dict]:
+        scorer = Scorer(Model(tuple(terms), frozenset(), (), 0.0))
 
-def map_words(words: DataFrame, terms: list[str]) -> DataFrame:
-    """The words that are within a letter of a term."""
+        def f(batch: pa.RecordBatch) -> dict:
+            out = []
+            for text in batch.column(2).to_pylist():
+                out += sorted({w.lower() for w in WORD.findall(text or "") if (k := scorer.kind(w)) and k[0]})
+            return {"word": pa.array(out, type=pa.string())}
 
-    def make() -> Callable[[pa.RecordBatch], dict]:
-        trie = Trie(terms)
-        return lambda batch: {"word": [w for w in batch.column(0).to_pylist() if trie.within(w, 1)]}
+        return f
 
-    return map_rows(words, make, "word string")
+    return map_rows(texts, make, "word string")
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:

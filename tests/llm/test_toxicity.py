@@ -59,9 +59,18 @@ def test_held_out_accuracy(spark, docs_of, saved, corpus):
 
 
 def test_quotation_counts_apart():
-    s = T.Scorer(T.Model(("scoundrel",), frozenset(), (-1.0, 3.0, 3.0, 0.0, 0.0, 0.0), 0.1))
+    s = T.Scorer(T.Model(("scoundrel", "vile*", "gnarl**"), frozenset(), (-1.0, 3.0, 3.0, 3.0, 3.0, 0.0, 0.0, 0.0), 0.1))
     assert s.score("you scoundrel") > 0.5 > s.score('he heard "you scoundrel" twice') and s.score("she wrote scoundrel there") < 0.5
-    assert s.features("")[0] == 0 and s.features("x" * 100_000)[0] == 0 and s.features("scoundrel")[0] > 0 and s.features("scoundrle")[1] == 0 and s.features("scoundrl")[1] > 0
+    assert not any(s.features("")) and not any(s.features("x" * 100_000))
+    assert s.features("scoundrel")[0] > 0 and not any(s.features("scoundrle")) and s.features("scoundrl")[3] > 0
+    assert s.features("vilest, viler")[1] > s.features("vilest")[1] > 0 and not any(s.features("vile"))
+    assert s.features("gnarly gnarls")[2] > 0 == s.features("gnarly gnarly")[2]
+
+
+def test_stems_are_learned():
+    assert T.tokens("Abcdef abcdxy") >= {"abcdef", "abcd*", "abcd**", "abcde*"} and "abcde**" not in T.tokens("Abcdef abcdxy")
+    docs = [(1.0, ["mean", "vile*", "viles*"])] * 5 + [(1.0, ["vile*"])] * 5
+    assert T.chosen(docs, {"mean": 50.0, "vile*": 50.0, "viles*": 50.0}, 10.0) == ["mean", "vile*"]
 
 
 def test_no_labels_and_no_rows(spark, docs_of, saved):
