@@ -4,9 +4,10 @@ A text is a lattice whose edges are the vocabulary's pieces; a character that st
 as byte pieces, so every text has a path and decoding gives it back exactly. Forward Viterbi scores are exact heuristics
 for a backward A-star search, which therefore yields segmentations in order of score without a wasted expansion.
 
-No piece holds a space after another character, and none holds a line break, so every path passes through the borders
-between words. The search runs within a stretch between borders (and its results are kept, since words recur); over a text
-the N best are the best choice everywhere but at the at most N - 1 stretches whose second choices cost least.
+No piece holds a space or a mark after a letter (or a space after any character), and none holds a line break, so every path
+passes through the borders after words. The search runs within a stretch between borders (and its results are kept, since
+words recur); over a text the N best are the best choice everywhere but at the at most N - 1 stretches whose second choices
+cost least. Which these are, the forward pass tells, which carries the two best scores of each position.
 
 Scores are integers (millionths), so that sums are exact: log probabilities of a unigram model as stored; for a merge
 model, whose stored numbers are ranks, those of a Zipf law over the ranks, -ln(rank + 2). Byte pieces cost as much as a
@@ -21,6 +22,7 @@ import hashlib
 import heapq
 import math
 import re
+from array import array
 from collections.abc import Callable, Iterator
 from itertools import product
 
@@ -32,9 +34,14 @@ from .common import map_rows
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BEST = 4
-CACHE = 300_000
-STRETCH = re.compile(r" *[^ \n]+|\n| +")
+CACHE = 500_000
+STRETCH = re.compile(r" *[^\W\d_²]++|\n| *(?:(?![ \n])[\W\d_²])++[^\W\d_²]*+| +")
 END = ""
+LOW, NEVER = -(1 << 62), 1 << 61
+
+
+#: What no piece may hold, for texts to be cut there: a letter (superscript two is none here) and then something else.
+CROSSING = re.compile(r"[^\W\d_²][\W\d_²]")
 
 
 class Pieces:
@@ -58,7 +65,7 @@ class Pieces:
                 self.byte_ids[value], self.bytes_of[i] = i, bytes([value])
         for rank, i in enumerate(plain):
             text = m.id_to_piece(i).replace("▁", " ")
-            if " " in text.lstrip(" ") or "\n" in text:
+            if " " in text.lstrip(" ") or "\n" in text or CROSSING.search(text):
                 raise ValueError(f"piece {i} crosses the border of a word")
             self.bytes_of[i] = text.encode()
             node = self.trie
@@ -69,8 +76,7 @@ class Pieces:
     def lattice(self, text: str) -> tuple[list[int], list[list[tuple[int, int, tuple[int, ...]]]]]:
         """Forward Viterbi scores by position, and by position the edges (start, score, ids) that end there."""
         n = len(text)
-        low = -(1 << 62)
-        best = [low] * (n + 1)
+        best = [LOW] * (n + 1)
         best[0] = 0
         edges: list[list] = [[] for _ in range(n + 1)]
         for i in range(n):
@@ -90,6 +96,42 @@ class Pieces:
                     best[i + 1] = here + s
         return best, edges
 
+    def two_best(self, text: str) -> tuple[list[int], int, int]:
+        """(ids of the best segmentation, its score, the second best's score) by one forward pass."""
+        n, trie, byte_ids = len(text), self.trie, self.byte_ids
+        best, second, back = [LOW] * (n + 1), [LOW] * (n + 1), [None] * (n + 1)
+        best[0] = 0
+        for i in range(n):
+            node, j, here, under, single = trie, i, best[i], second[i], False
+            while j < n and (node := node.get(text[j])) is not None:
+                j += 1
+                if (end := node.get(END)) is not None:
+                    if j == i + 1:
+                        single = True
+                    s = here + end[1]
+                    if s > best[j]:
+                        second[j] = max(best[j], under + end[1])
+                        best[j], back[j] = s, (i, end[0])
+                    elif s > second[j]:
+                        second[j] = s
+            if not single:
+                ids = [byte_ids[b] for b in text[i].encode()]
+                cost = len(ids) * self.byte_score
+                s, j = here + cost, i + 1
+                if s > best[j]:
+                    second[j] = max(best[j], under + cost)
+                    best[j], back[j] = s, (i, ids)
+                elif s > second[j]:
+                    second[j] = s
+        out, j = [], n
+        while j:
+            j, piece = back[j]
+            if piece.__class__ is list:
+                out += piece[::-1]
+            else:
+                out.append(piece)
+        return out[::-1], best[n], second[n]
+
     def segmentations(self, text: str) -> Iterator[tuple[int, tuple[int, ...]]]:
         """(score, ids) of all segmentations, the best first: backward A-star over the lattice."""
         best, edges = self.lattice(text)
@@ -116,15 +158,14 @@ class Encoder:
         self.pieces, self.best = pieces, best
         self.seen: dict[str, tuple[bytes, int, int]] = {}
         self.deep: dict[str, list[tuple[int, tuple[int, ...]]]] = {}
+        self.choices = [[c for c in product(range(best), repeat=k) if math.prod(x + 1 for x in c) <= best] for k in range(best)]
 
     def first(self, stretch: str) -> tuple[bytes, int, int]:
         """(ids of the best as packed integers, its score, what the second best costs more)."""
-        found = self.pieces.segmentations(stretch)
-        score, ids = next(found)
-        second = next(found, None) if self.best > 1 else None
+        ids, score, second = self.pieces.two_best(stretch)
         if len(self.seen) >= CACHE:
             self.seen.clear()
-        out = self.seen[stretch] = np.array(ids, dtype="<i4").tobytes(), score, score - second[0] if second else 1 << 62
+        out = self.seen[stretch] = array("i", ids).tobytes(), score, score - second if second > LOW // 2 else NEVER
         return out
 
     def several(self, stretch: str) -> list[tuple[int, tuple[int, ...]]]:
@@ -144,9 +185,11 @@ class Encoder:
         packed = [f[0] for f in found]
         ids = np.frombuffer(b"".join(packed), dtype="<i4")
         score, costs = sum([f[1] for f in found]), [f[2] for f in found]
-        where = sorted(k for k in heapq.nsmallest(self.best - 1, range(len(costs)), key=costs.__getitem__) if costs[k] < 1 << 62)
+        near = np.argsort(np.array(costs, dtype=np.int64), kind="stable")[: self.best - 1].tolist()
+        where = sorted(k for k in near if costs[k] < NEVER)
         lists = [self.several(stretches[k]) for k in where]
-        ways = heapq.nsmallest(self.best, ((sum(x[0][0] - x[c][0] for x, c in zip(lists, choice, strict=True)), choice) for choice in product(*(range(len(x)) for x in lists))))
+        # A choice with places c is no better than any of the (c + 1) * ... choices with places up to c.
+        ways = heapq.nsmallest(self.best, ((sum([x[0][0] - x[c][0] for x, c in zip(lists, choice, strict=True)]), choice) for choice in self.choices[len(where)] if all(c < len(x) for c, x in zip(choice, lists, strict=True))))
         starts = np.concatenate([[0], np.cumsum([len(p) >> 2 for p in packed])]) if where else []
         changes = [[(int(starts[k]), len(packed[k]) >> 2, x[c][1]) for k, x, c in zip(where, lists, choice, strict=True) if c] for _, choice in ways]
         return ids, [score - cost for cost, _ in ways], changes

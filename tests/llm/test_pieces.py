@@ -39,9 +39,20 @@ def test_search_yields_all_in_order(vocabulary):
         assert {i for _, i in got} == {i for _, i in every_way(vocabulary, t)}
 
 
+def test_two_best_equals_search(vocabulary):
+    r = random.Random(3)
+    for _ in range(300):
+        t = "".join(r.choice("abeinorst hé日²,") for _ in range(r.randint(1, 12)))
+        found = vocabulary.segmentations(t)
+        (score, _), second = next(found), next(found, None)
+        ids, best, after = vocabulary.two_best(t)
+        assert best == score and (after == second[0] if second else after < P.LOW // 2) and P.decode(vocabulary, ids) == t.removeprefix(" ")
+        assert "".join(P.STRETCH.findall(t)) == t
+
+
 def test_n_best_of_texts_equal_brute_force(vocabulary):
     e = P.Encoder(vocabulary, 6)
-    for t in ["an in", "the a b", "at\non it", "x  y", "", "é o"]:
+    for t in ["an in", "the a b", "at\non it", "x  y", "", "é o", "m², a", "a_b c2"]:
         ids, scores, changes = e.encode(t)
         ways = sorted(every_way(vocabulary, " " + t), key=lambda x: -x[0])
         assert scores == [s for s, _ in ways[:6]], t
@@ -54,7 +65,7 @@ def test_n_best_of_texts_equal_brute_force(vocabulary):
 
 def test_round_trip(vocabulary):
     r, e = random.Random(1), P.Encoder(vocabulary)
-    bits = ["the", "Zug", " ", "  ", "\n", "\t", "é", "日本", "😀", "▁", "\x00", "ß", "12", ".", "́", "\r\n"]
+    bits = ["the", "Zug", " ", "  ", "\n", "\t", "é", "日本", "😀", "▁", "\x00", "ß", "m²", "12", ".", "́", "\r\n"]
     for t in [*TEXTS, "x" * 50_000, " " * 3000, *("".join(r.choice(bits) for _ in range(r.randint(0, 40))) for _ in range(400))]:
         assert P.decode(vocabulary, e.encode(t)[0]) == t
 
