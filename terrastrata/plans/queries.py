@@ -510,23 +510,23 @@ def idw_surface(s, d):
     return I.idw(W.suppliers(s, d), "s_acctbal", cell_km=500.0).features.select(F.col("_fid").alias("cell"), "predicted")
 
 
-BINNED = f"""pr AS (SELECT {hav('a.x', 'a.y', 'b.x', 'b.y')} AS dd, power(a.s_acctbal - b.s_acctbal, 2) / 2 AS g FROM suppliers a JOIN suppliers b ON a.fid < b.fid), tp AS (SELECT max(dd) / 2 AS t FROM pr),
-bn AS (SELECT CAST(least(11, floor(dd * 12 / t)) AS INTEGER) AS bin, sum(g) AS total, count(*) AS n, t FROM pr, tp WHERE dd <= t GROUP BY 1, t)"""
+BINNED = f"""pr AS (SELECT {hav('a.x', 'a.y', 'b.x', 'b.y')} AS dd, power(a.s_acctbal - b.s_acctbal, 2) / 2 AS g FROM suppliers a JOIN suppliers b ON a.fid < b.fid), tp AS (SELECT greatest(1, max(dd)) / 2 AS t FROM pr),
+bn AS (SELECT CAST(least(11, floor(dd / t * 12)) AS INTEGER) AS bin, sum(g) AS total, count(*) AS n, t FROM pr, tp WHERE dd <= t GROUP BY 1, t)"""
 
 
 @query(f"WITH {W.SUPPLIERS}, {BINNED} SELECT bin, n, round(total / n, 2) AS gamma FROM bn")
 def semivariogram_bins(s, d):
-    return I.semivariogram(I.samples(W.suppliers(s, d), "s_acctbal")).select("bin", "n", F.round(F.col("total") / F.col("n"), 2).alias("gamma"))
+    return I.semivariogram(I.samples(W.suppliers(s, d), "s_acctbal"))[0].select("bin", "n", F.round(F.col("total") / F.col("n"), 2).alias("gamma"))
 
 
 @query(
-    f"""WITH {W.SUPPLIERS}, {BINNED}, sl AS (SELECT greatest(1e-9, sum(total) / sum(n) * 2) AS sill, max(t) AS t FROM bn),
+    f"""WITH {W.SUPPLIERS}, {BINNED}, sl AS (SELECT greatest(1e-9, avg(g) * 2) AS sill, max(t) AS t FROM pr, tp),
 cd AS (SELECT a * sill AS nug, sill, r * t AS rg FROM sl, (VALUES (0.0::DOUBLE), (0.1), (0.25), (0.5)) x(a), (VALUES (0.15::DOUBLE), (0.3), (0.5), (0.75), (1.0)) y(r)),
 er AS (SELECT nug, sill, rg, sum(n * power(CASE WHEN (bin + 0.5) / 12 * t >= rg THEN sill ELSE nug + greatest(0, sill - nug) * (1.5 * ((bin + 0.5) / 12 * t / rg) - 0.5 * power((bin + 0.5) / 12 * t / rg, 3)) END - total, 2)) AS e FROM cd, bn GROUP BY ALL)
 SELECT round(nug, 1) AS nugget, round(sill, 1) AS sill, round(rg, 0) AS reach FROM er ORDER BY e, nug, rg LIMIT 1"""
 )
 def variogram_fit(s, d):
-    fit = I.variogram_fit(I.semivariogram(I.samples(W.suppliers(s, d), "s_acctbal")))
+    fit = I.variogram_fit(*I.semivariogram(I.samples(W.suppliers(s, d), "s_acctbal")))
     return fit.select(F.round("nugget", 1).alias("nugget"), F.round("sill", 1).alias("sill"), F.round("reach", 0).alias("reach"))
 
 

@@ -50,7 +50,8 @@ def lattice(spark: SparkSession, d: str, size: int = 8) -> DataFrame:
     i, j = k % 50, F.floor(k / 50)
     nodes = read(spark, d, "part").select(k.alias("k"), i.alias("i"), j.alias("j")).where((F.col("i") < size) & (F.col("j") < size))
     step = F.explode(F.array(F.struct(F.lit(1).alias("di"), F.lit(0).alias("dj")), F.struct(F.lit(0).alias("di"), F.lit(1).alias("dj"))))
-    e = nodes.select("k", "i", "j", step.alias("s")).where((F.col("i") + F.col("s.di") < size) & (F.col("j") + F.col("s.dj") < size))
+    e = nodes.select("k", "i", "j", step.alias("s")).withColumn("to", F.col("k") + F.col("s.di") + F.col("s.dj") * 50).join(nodes.select(F.col("k").alias("to")), "to", "left_semi")
+    e = e.where(F.col("i") + F.col("s.di") < size)
     at = lambda c, o: (F.col(c) + F.col(f"s.{o}")) / 10.0
     return e.select((F.col("k") * 2 + F.col("s.dj")).alias("_fid"), G.line(F.array(G.vertex(F.col("i") / 10.0, F.col("j") / 10.0), G.vertex(at("i", "di"), at("j", "dj")))).alias("geom"))
 
@@ -89,7 +90,7 @@ SEGMENTS = f"{EVENTS}, seg AS (SELECT a.fid, a.n, a.x AS x1, a.y AS y1, b.x AS x
 
 def sql_lattice(size: int = 8) -> str:
     return f"""nd AS (SELECT CAST(p_partkey AS BIGINT) AS k, CAST(p_partkey AS BIGINT) % 50 AS i, CAST(p_partkey AS BIGINT) // 50 AS j FROM part WHERE p_partkey % 50 < {size} AND p_partkey // 50 < {size}),
-ed AS (SELECT k * 2 + dj AS fid, i, j, i + di AS i2, j + dj AS j2, CAST(i AS DOUBLE) / 10 AS x1, CAST(j AS DOUBLE) / 10 AS y1, CAST(i + di AS DOUBLE) / 10 AS x2, CAST(j + dj AS DOUBLE) / 10 AS y2 FROM nd, (VALUES (1, 0), (0, 1)) s(di, dj) WHERE i + di < {size} AND j + dj < {size})"""
+ed AS (SELECT k * 2 + dj AS fid, i, j, i + di AS i2, j + dj AS j2, CAST(i AS DOUBLE) / 10 AS x1, CAST(j AS DOUBLE) / 10 AS y1, CAST(i + di AS DOUBLE) / 10 AS x2, CAST(j + dj AS DOUBLE) / 10 AS y2 FROM nd, (VALUES (1, 0), (0, 1)) s(di, dj) WHERE i + di < {size} AND k + di + dj * 50 IN (SELECT k FROM nd))"""
 
 
 def sql_dem(tilt: float = 0) -> str:
