@@ -114,7 +114,8 @@ def plan(docs: DataFrame, total: float | None = None, fraction: float = 0.8, wei
     inside = placed.join(over, [*LEVELS, "slice"]).groupBy(*LEVELS, "u", "before", "left").agg(F.sum("tokens").alias("tokens"))
     run = F.col("before") + F.sum("tokens").over(Window.partitionBy(*LEVELS).orderBy("u"))
     last = inside.withColumn("run", run).where("run <= left").groupBy(*LEVELS).agg(F.max("u").alias("last"))
-    none = F.shiftleft(F.col("slice").cast("long"), 64 - SLICES) - 1
+    # Nothing of the slice: up to the end of the slice before it, if there is one.
+    none = F.when(F.col("slice") > -(1 << (SLICES - 1)), F.shiftleft(F.col("slice").cast("long"), 64 - SLICES) - 1).otherwise(F.lit(-(1 << 63)))
     cuts = over.join(last, list(LEVELS), "left").select(*LEVELS, F.coalesce("last", none).alias("cut_at"))
     top = F.lit((1 << 63) - 1)
     leaves = goal.join(cuts, list(LEVELS), "left").withColumn("cut_at", F.coalesce("cut_at", top)).withColumn("done", F.col("epochs") >= max_epochs)

@@ -91,6 +91,11 @@ def test_prefix_is_the_longest_that_fits(spark):
     assert [x.u for x in order if x.u <= leaf.cut_at][-1] == last
 
 
+def test_budget_ends_in_the_first_slice(spark):
+    df = spark.range(30_000).selectExpr("id as doc_id", "'d' as domain", "'en' as lang", "'s' as source", "'a b c d e' as text")
+    assert M.mixed(df, total=3, weights={}, max_epochs=1).collect() == []
+
+
 def test_query_nulls_and_no_rows(spark, docs_of, saved):
     docs = docs_of(["a b c d e f", None, "", "a " * 5000, "x y z"] * 8).withColumn("source", F.when(F.col("doc_id") % 5 == 0, None).otherwise(F.col("source")))
     rows = M.op3_source_mixing(spark, saved(documents=docs)).collect()
