@@ -20,7 +20,7 @@ QUERIES = [
     chat_template.op9_chat_formatting,
     pii.op10_pii,
 ]
-SQL: dict[str, str] = {"op8_line_dedup": line_dedup.SQL}
+SQL: dict[str, str] = {"op2_secret_scan": secret_scan.SQL, "op8_line_dedup": line_dedup.SQL, "op9_chat_formatting": chat_template.SQL}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -131,3 +131,26 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     counts = [count(k) for k in ("assign", "access", "hex")]
     return scan(docs).select("doc_id", *counts, F.sha2(listed(F.filter(found, lambda s: s["order"].isin(base)), RULES), 256).alias("base_sha256"), listed(found, RULES).alias("spans"))
+
+
+def _sql() -> str:
+    """The same rows in SQL: matches and what stands between them give the places by running sums."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    parts = []
+    for i, r in enumerate(RULES):
+        p = quoted(r.pattern)
+        parts.append(f"SELECT row, {i} AS o, {quoted(r.kind)} AS kind, {r.least} AS least, {str(r.base).lower()} AS base, unnest(regexp_extract_all(t, {p}, 0)) AS m, unnest(regexp_extract_all(t, {p}, {r.group})) AS g, unnest(string_split_regex(t, {p})) AS b, generate_subscripts(string_split_regex(t, {p}), 1) AS k FROM d")
+    n = lambda kind: f"count(*) FILTER (kind = '{kind}') AS n_{kind}"
+    text = "string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, o, e)"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS t FROM documents),
+m AS ({' UNION ALL '.join(parts)}),
+p AS (SELECT *, sum(length(b) + coalesce(length(m), 0)) OVER (PARTITION BY row, o ORDER BY k) AS e FROM m),
+q AS (SELECT row, o, kind, base, CAST(e - length(m) AS BIGINT) AS s, CAST(e AS BIGINT) AS e FROM p WHERE m IS NOT NULL AND length(g) >= least),
+a AS (SELECT row, {n('assign')}, {n('access')}, {n('hex')}, {text} FILTER (base) AS b, {text} AS spans FROM q GROUP BY row)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(b, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN a USING (row)
+"""
+
+
+SQL = _sql()
