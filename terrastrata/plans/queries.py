@@ -16,7 +16,7 @@ from ..operators import raster as R
 from ..operators import statistics as S
 from ..operators import vector as V
 from ..sources import read as IO
-from . import catalog
+from . import catalog, reports
 from . import views as W
 from .views import sql_haversine as hav
 from .views import sql_round as rnd
@@ -640,6 +640,47 @@ def dissolve_region_area(s, d):
     return O.dissolve(W.nations(s, d), "n_regionkey").features.select("n_regionkey", "dissolved_parts", r6(plane("geom")).alias("area"))
 
 
+# --- reports ---------------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {W.SUPPLIERS} SELECT fid, CAST(s_acctbal AS VARCHAR) AS s_acctbal, CAST(s_name AS VARCHAR) AS s_name, CAST(s_nationkey AS VARCHAR) AS s_nationkey, x AS lng, y AS lat FROM suppliers")
+def attribute_table(s, d):
+    return reports.attribute_table(W.suppliers(s, d)).withColumnRenamed("_fid", "fid")
+
+
+@query(f"WITH {W.NATIONS} SELECT fid, round({EDGE} / 1000, 3) AS length_km, round({AREA} / 1e6, 1) AS area_sqkm FROM nations")
+def measure_tools(s, d):
+    ring = G.outer_vertices("geom")
+    return W.nations(s, d).select(F.col("_fid").alias("fid"), F.round(reports.measured_length(ring) / 1000, 3).alias("length_km"), F.round(reports.measured_area(ring) / 1e6, 1).alias("area_sqkm"))
+
+
+@query("WITH t AS (SELECT min(c_acctbal) AS a, max(c_acctbal) AS b FROM customer), c AS (SELECT CAST(c_custkey AS BIGINT) AS fid, least(4, CAST(ceil((c_acctbal - a) / ((b - a) / 5)) AS INTEGER) - 1) AS k FROM customer, t) SELECT fid, (['#edf8b1', '#c7e9b4', '#7fcdbb', '#419eb6', '#225ea8'])[greatest(k, 0) + 1] AS color FROM c")
+def class_color_lookup(s, d):
+    c = W.customers(s, d)
+    return c.select(F.col("_fid").alias("fid"), S.class_of(F.col("c_acctbal"), S.class_breaks(c, "c_acctbal")).alias("color"))
+
+
+@query("SELECT r_name, CAST(count(*) AS BIGINT) AS matched FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1")
+def sql_console_semi_anti(s, d):
+    text = "SELECT r_name, count(*) AS matched FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE EXISTS (SELECT 1 FROM nation n WHERE n.n_nationkey = c_nationkey) AND NOT EXISTS (SELECT 1 FROM nation n WHERE n.n_nationkey = -1 - c_nationkey) GROUP BY r_name"
+    return console(s, d, text)
+
+
+@query(f"WITH {W.NATIONS}, {MOVE}, m AS (SELECT * FROM mask WHERE n_regionkey = 2), t AS (SELECT a.fid, sum({CUT}) AS cut FROM nations a, m b GROUP BY a.fid) SELECT count(*) AS input_features, count(*) FILTER (cut > 0) AS output_features FROM t")
+def overlay_summary(s, d):
+    return O.overlay(W.nations(s, d), W.nations(s, d, 30.0, 10.0).where("n_regionkey = 2")).summary.select("input_features", "output_features")
+
+
+@query(f"WITH {W.NATIONS} SELECT CAST(count(*) AS BIGINT) AS input_features, count(DISTINCT n_regionkey) AS output_groups, {rnd('((count(*) - count(DISTINCT n_regionkey)) * 100.0::DOUBLE / count(*))', 1)} AS feature_reduction_percent FROM nations")
+def dissolve_summary(s, d):
+    return O.dissolve(W.nations(s, d), "n_regionkey").summary.select("input_features", "output_groups", "feature_reduction_percent")
+
+
+@query(f"WITH {W.CUSTOMERS} SELECT fid, '{{\"type\":\"Feature\",\"geometry\":{{\"type\":\"Point\",\"coordinates\":[' || {{NX}} || ',' || {{NY}} || ']}},\"properties\":{{\"c_nationkey\":' || c_nationkey || ',\"c_mktsegment\":\"' || c_mktsegment || '\"}}}}' AS line FROM customers".replace("{NX}", "CASE WHEN round(x, 2) = floor(round(x, 2)) THEN CAST(CAST(round(x, 2) AS BIGINT) AS VARCHAR) ELSE CAST(round(x, 2) AS VARCHAR) END").replace("{NY}", "CASE WHEN round(y, 2) = floor(round(y, 2)) THEN CAST(CAST(round(y, 2) AS BIGINT) AS VARCHAR) ELSE CAST(round(y, 2) AS VARCHAR) END"))
+def to_geojson(s, d):
+    return IO.geojson_rows(tidy_customers(s, d).drop("c_name", "c_acctbal")).withColumnRenamed("_fid", "fid")
+
+
 # --- formats ---------------------------------------------------------------------------------------------------------
 
 NUM = "CASE WHEN {v} = floor({v}) THEN CAST(CAST({v} AS BIGINT) AS VARCHAR) ELSE CAST({v} AS VARCHAR) END"

@@ -133,6 +133,13 @@ def named(columns: list[str], names: tuple[str, ...]) -> str:
     return found[-1]
 
 
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """A CSV table of texts with its order in _row: quotes doubled inside quotes, blank lines skipped; a row of another length than the header is an error."""
+    t = spark.read.csv(path, header=True, quote='"', escape='"', mode="FAILFAST", multiLine=True, inferSchema=False, ignoreLeadingWhiteSpace=False)
+    need(bool(t.columns), "the table is empty")
+    return t.withColumn("_row", F.monotonically_increasing_id())
+
+
 def csv_points(table: DataFrame, order: Column | None = None) -> DataFrame:
     """Points of a table with a latitude and a longitude column; rows without both are left out, columns whose values are all numbers become numbers."""
     from ..operators.joins import numeric_columns

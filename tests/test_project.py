@@ -89,3 +89,13 @@ def test_streams(spark, tmp_path):
     q = live.located(stream, layer(spark, [(square(-0.5, -0.5, 2),)])).select("x", "y").writeStream.format("memory").queryName("held").trigger(availableNow=True).start()
     assert q.awaitTermination(60)
     assert spark.table("held").count() == rows.where("x < 1.5 and y < 1.5").count() > 0
+
+
+def test_reports(spark):
+    from terrastrata.plans import reports
+
+    assert [reports.human(x) for x in (5, 5.0, 0.12345, 3.14159, 12_345, 2_500_000, 7.1e9)] == ["5", "5", "0.1235", "3.14", "12.3k", "2.5M", "7.1B"]
+    s = spark.sql("SELECT 3 AS a, named_struct('b', 1.5D, 'c', named_struct('d', true)) AS s, array(1, 2, 3, 4, 5, 6, 7) AS l, null AS n")
+    assert reports.flattened(s) == [("a", "3"), ("s.b", "1.50"), ("s.c.d", "True"), *((f"l[{i}]", str(i + 1)) for i in range(6))]
+    t = reports.preview(layer(spark, [(point(1, 2), "x", None), (point(3, 4), "y", 2.0)], "b string, a double"), 1)
+    assert t.columns == ["_fid", "a", "b", "lng", "lat"] and tuple(t.first()) == (0, "", "x", 1.0, 2.0)

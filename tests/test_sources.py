@@ -161,3 +161,12 @@ def test_files_of_lines(spark, tmp_path):
     IO.write_lines(IO.wkt_rows(df), f"{tmp_path}/out")
     assert spark.read.text(f"{tmp_path}/out").count() == 5
     assert IO.read_vector(spark, f"{tmp_path}/out", "wkt").select(F.max(G.first_vertex("geom")["x"])).first()[0] == 4
+
+
+def test_table(spark, tmp_path):
+    (tmp_path / "t.csv").write_text('fid,label\r\n1,"a ""b"", c"\r\n\r\n2,x\r\n')
+    t = IO.read_table(spark, f"{tmp_path}/t.csv")
+    assert [(r.fid, r.label) for r in t.orderBy("_row").collect()] == [("1", 'a "b", c'), ("2", "x")]
+    (tmp_path / "r.csv").write_text("a,b\n1,2\n3\n")
+    with pytest.raises(Exception, match="MALFORMED|Malformed|FAILFAST"):
+        IO.read_table(spark, f"{tmp_path}/r.csv").collect()
