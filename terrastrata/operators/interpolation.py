@@ -74,24 +74,22 @@ def model_value(model: str, h: Column, nugget: Column, sill: Column, reach: Colu
     return F.when(h >= reach, sill).otherwise(inner)
 
 
-def semivariogram(pts: DataFrame, lags: int = LAGS) -> DataFrame:
-    """(bin, h, total, n): half squared differences of pairs by lags up to half the largest distance; h is the lag's middle."""
+def semivariogram(pts: DataFrame, lags: int = LAGS) -> tuple[DataFrame, float, float]:
+    """(bins, largest lag, mean): bins are (bin, h, total, n), half squared differences of pairs by lags up to half the largest distance (at least half a metre), h being the lag's middle; the mean is over all pairs."""
     later = pair_blocks(pts).where(F.col("a._fid") < F.col("b._fid")).select(G.haversine(F.col("a.x"), F.col("a.y"), F.col("b.x"), F.col("b.y")).alias("d"), (F.pow(F.col("a.v") - F.col("b.v"), F.lit(2.0)) / 2).alias("g"))
-    top = (later.agg(F.max("d")).first()[0] or 0.0) / 2
-    need(top > 0, "the samples are all in one place")
-    b = F.least(F.lit(lags - 1), F.floor(F.col("d") * lags / top).cast("int"))
+    far, mean = later.agg(F.max("d"), F.avg("g")).first()
+    top = max(1.0, far or 0.0) / 2
+    b = F.least(F.lit(lags - 1), F.floor(F.col("d") / top * lags).cast("int"))
     bins = later.where(F.col("d") <= top).groupBy(b.alias("bin")).agg(F.sum("g").alias("total"), count().alias("n"))
-    return bins.select("bin", ((F.col("bin") + 0.5) / lags * top).alias("h"), "total", "n", F.lit(top).alias("lag_max"))
+    return bins.select("bin", ((F.col("bin") + 0.5) / lags * top).alias("h"), "total", "n"), top, mean or 0.0
 
 
-def variogram_fit(bins: DataFrame, model: str = "spherical") -> DataFrame:
-    """nugget, sill and reach of the candidate (shares of sill and lag) with the least weighted error against the bins' sums."""
-    spark = bins.sparkSession
-    tries = spark.createDataFrame([(a, b) for a in (0.0, 0.1, 0.25, 0.5) for b in (0.15, 0.3, 0.5, 0.75, 1.0)], "share double, part double")
-    total = bins.agg(F.sum("total").alias("t"), F.sum("n").alias("m"), F.max("lag_max").alias("lag_max")).select(F.greatest(F.lit(1e-9), F.col("t") / F.col("m") * 2).alias("sill"), "lag_max")
-    c = tries.crossJoin(F.broadcast(total)).select((F.col("share") * F.col("sill")).alias("nugget"), "sill", (F.col("part") * F.col("lag_max")).alias("reach"))
+def variogram_fit(bins: DataFrame, lag_max: float, mean: float, model: str = "spherical") -> DataFrame:
+    """nugget, sill and reach of the candidate (shares of sill and lag) with the least weighted error against the bins' sums; of equals the first."""
+    spark, sill = bins.sparkSession, max(1e-9, 2 * mean)
+    tries = spark.createDataFrame([(a * sill, sill, b * lag_max) for a in (0.0, 0.1, 0.25, 0.5) for b in (0.15, 0.3, 0.5, 0.75, 1.0)], "nugget double, sill double, reach double")
     miss = F.col("n") * F.pow(model_value(model, F.col("h"), F.col("nugget"), F.col("sill"), F.col("reach")) - F.col("total"), F.lit(2.0))
-    errors = c.crossJoin(F.broadcast(bins)).groupBy("nugget", "sill", "reach").agg(F.sum(miss).alias("error"))  # 20 candidates, 12 bins
+    errors = tries.join(F.broadcast(bins), F.lit(True), "left").groupBy("nugget", "sill", "reach").agg(F.coalesce(F.sum(miss), F.lit(0.0)).alias("error"))  # 20 candidates, 12 bins
     return errors.agg(F.min(F.struct("error", "nugget", "reach", "sill")).alias("b")).select("b.nugget", "b.sill", "b.reach", "b.error")
 
 
@@ -101,7 +99,7 @@ def kriging(df: DataFrame, field: str, model: str = "spherical", cell_km: float
     n = pts.limit(most_samples + 1).count()
     need(n >= 3, "three samples are needed")
     need(n <= most_samples, f"more than {most_samples} samples")
-    fit = variogram_fit(semivariogram(pts), model).first()
+    fit = variogram_fit(*semivariogram(pts), model).first()
     held = np.array([(r.x, r.y, r.v) for r in pts.orderBy("_fid").select("x", "y", "v").collect()])
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
