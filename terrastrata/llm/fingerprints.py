@@ -21,8 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-CELLS = 48
-ROUNDS = 12
+CELLS = 768  # room for some 600 differing digests; only cells in use cost anything, and at low loads one round peels all
+ROUNDS = 24
 RETRIES = 10
 LONG = 512
 RANGE_DOCS = 512
@@ -40,26 +40,39 @@ def digests(text: Column) -> Column:
 def entries(digest: Column, sign: Column, cells: int = CELLS) -> Column:
     """What a digest adds to its three cells, one in each third of the sketch."""
     third = cells // 3
-    check = F.xxhash64(digest, F.lit(7))
-    return F.array(*(F.struct((F.lit(i * third) + F.pmod(F.shiftrightunsigned(check, 20 * i), F.lit(third))).cast("int").alias("cell"), sign.cast("int").alias("n"), digest.alias("key"), check.alias("chk")) for i in range(3)))
+
+    def of(check: Column) -> Column:
+        return F.array(*(F.struct((F.lit(i * third) + F.pmod(F.shiftrightunsigned(check, 20 * i), F.lit(third))).cast("int").alias("cell"), sign.cast("int").alias("n"), digest.alias("key"), check.alias("chk")) for i in range(3)))
+
+    return once(F.xxhash64(digest, F.lit(7)), of)
+
+
+def once(value: Column, f) -> Column:
+    """f of a value that is computed once: lambdas have no common subexpressions, but a lambda's variable is one."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
 def merged(rows: Column) -> Column:
     """Entries added up by cell (counts summed, the rest XORed), without empty cells, sorted by cell."""
-    none = F.array().cast(f"array<{ENTRY}>")
-    start = F.struct(F.lit(-1).alias("cell"), F.lit(0).alias("n"), F.lit(0).cast("long").alias("key"), F.lit(0).cast("long").alias("chk"), none.alias("out"))
 
-    def held(acc: Column) -> Column:
-        empty = (acc["n"] == 0) & (acc["key"] == 0) & (acc["chk"] == 0)
-        return F.when(empty, acc["out"]).otherwise(F.array_append(acc["out"], F.struct(acc["cell"].alias("cell"), acc["n"].alias("n"), acc["key"].alias("key"), acc["chk"].alias("chk"))))
+    def added(a: Column, e: Column) -> Column:
+        return F.struct(a["cell"].alias("cell"), (a["n"] + e["n"]).alias("n"), a["key"].bitwiseXOR(e["key"]).alias("key"), a["chk"].bitwiseXOR(e["chk"]).alias("chk"))
+
+    def by_cell(s: Column) -> Column:
+        at = lambda i: F.get(s, i)
+        last = F.size(s) - 1
+        starts = F.when(last >= 0, F.filter(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: (i == 0) | (at(i)["cell"] != at(i - 1)["cell"]))).otherwise(F.array().cast("array<int>"))
+
+        def groups(t: Column) -> Column:
+            def group(i: Column, k: Column) -> Column:
+                n = F.coalesce(F.get(t, k + 1), last + 1) - i
+                return F.when(n == 1, at(i)).otherwise(F.aggregate(F.slice(s, i + 2, n - 1), at(i), added))
+
+            return F.transform(t, group)
 
-    def step(acc: Column, e: Column) -> Column:
-        same = acc["cell"] == e["cell"]
-        return F.when(same, F.struct(acc["cell"].alias("cell"), (acc["n"] + e["n"]).alias("n"), acc["key"].bitwiseXOR(e["key"]).alias("key"), acc["chk"].bitwiseXOR(e["chk"]).alias("chk"), acc["out"].alias("out"))).otherwise(
-            F.struct(e["cell"].alias("cell"), e["n"].alias("n"), e["key"].alias("key"), e["chk"].alias("chk"), held(acc).alias("out"))
-        )
+        return once(starts, groups)
 
-    return F.aggregate(F.sort_array(rows), start, step, held)
+    return F.filter(once(F.sort_array(rows), by_cell), lambda e: (e["n"] != 0) | (e["key"] != 0) | (e["chk"] != 0))
 
 
 def sketch(ds: Column) -> Column:
@@ -71,20 +84,44 @@ def subtracted(a: Column, b: Column) -> Column:
     return merged(F.concat(a, less))
 
 
-def peeled(rest: Column) -> Column:
+def peeled(cells: Column) -> Column:
     """How many digests the cells of a difference give up; null if some stay locked."""
-    start = F.struct(rest.alias("rest"), F.lit(0).alias("found"))
 
-    def pure(cells: Column) -> Column:
-        single = F.filter(cells, lambda e: (F.abs(e["n"]) == 1) & (e["chk"] == F.xxhash64(e["key"], F.lit(7))))
-        return F.array_distinct(F.transform(single, lambda e: F.struct(e["key"].alias("key"), e["n"].alias("n"))))
+    def keys(alone: Column, n: int) -> Column:
+        return F.array_distinct(F.transform(F.filter(alone, lambda e: e["n"] == n), lambda e: e["key"]))
+
+    def pure(rest: Column) -> Column:
+        """The digests that stand alone in a cell, by their sign."""
+        alone = F.filter(rest, lambda e: (F.abs(e["n"]) == 1) & (e["chk"] == F.xxhash64(e["key"], F.lit(7))))
+        return once(alone, lambda x: F.struct(keys(x, 1).alias("more"), keys(x, -1).alias("less")))
+
+    def size(p: Column) -> Column:
+        return F.size(p["more"]) + F.size(p["less"])
+
+    def xor(xs: Column, f) -> Column:
+        return F.aggregate(xs, F.lit(0).cast("long"), lambda acc, x: acc.bitwiseXOR(f(x)))
+
+    def all_of(rest: Column, p: Column) -> Column:
+        """Whether the digests alone are all there is: a digest is in three cells, so keys and checks of all cells XOR to those of all digests."""
+        both = F.concat(p["more"], p["less"])
+        count = F.aggregate(rest, F.lit(0), lambda acc, e: acc + e["n"]) == (F.size(p["more"]) - F.size(p["less"])) * 3
+        return count & (xor(rest, lambda e: e["key"]) == xor(both, lambda d: d)) & (xor(rest, lambda e: e["chk"]) == xor(both, lambda d: F.xxhash64(d, F.lit(7))))
 
     def taken(state: Column) -> Column:
-        """The state with its pure digests; an array of one, so that they are found once."""
-        return F.transform(F.array(pure(state["rest"])), lambda ps: F.struct(merged(F.concat(state["rest"], F.flatten(F.transform(ps, lambda p: entries(p["key"], -p["n"]))))).alias("rest"), (state["found"] + F.size(ps)).alias("found")))
+        """The state without the digests that stand alone in a cell."""
+
+        def without(p: Column) -> Column:
+            gone = F.flatten(F.concat(F.transform(p["more"], lambda d: entries(d, F.lit(-1))), F.transform(p["less"], lambda d: entries(d, F.lit(1)))))
+            done = F.struct(F.array().cast(f"array<{ENTRY}>").alias("rest"), (state["found"] + size(p)).alias("found"), F.lit(False).alias("stuck"))
+            stuck = F.struct(state["rest"].alias("rest"), state["found"].alias("found"), F.lit(True).alias("stuck"))
+            on = F.struct(merged(F.concat(state["rest"], gone)).alias("rest"), (state["found"] + size(p)).alias("found"), F.lit(False).alias("stuck"))
+            return F.when(size(p) == 0, stuck).when(all_of(state["rest"], p), done).otherwise(on)
+
+        return once(pure(state["rest"]), without)
 
-    done = F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, lambda s, _: F.when(F.size(s["rest"]) == 0, s).otherwise(F.get(taken(s), F.lit(0))))
-    return F.get(F.transform(F.array(done), lambda s: F.when(F.size(s["rest"]) == 0, s["found"])), F.lit(0))
+    start = F.struct(cells.alias("rest"), F.lit(0).alias("found"), F.lit(False).alias("stuck"))
+    done = F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, lambda s, _: F.when(s["stuck"] | (F.size(s["rest"]) == 0), s).otherwise(taken(s)))
+    return once(done, lambda s: F.when(F.size(s["rest"]) == 0, s["found"]))
 
 
 def differing(a: Column, b: Column, sketch_a: Column, sketch_b: Column) -> Column:
