@@ -57,19 +57,20 @@ def text_key() -> Column:
     return F.xxhash64("text")
 
 
-def deduped(docs: DataFrame, lines: int = LINES) -> DataFrame:
-    """docs with text as it stays, n_chars (if there is one) counted anew, and dropped_lines, an array of the places that went."""
-    own = docs.columns
-    keyed = docs.withColumns({"__doc": doc_key(), "__th": text_key()})
-    gone = cut(repeated_lines(docs.select("doc_id", "text"), lines).withColumnsRenamed({"doc": "__doc", "th": "__th", "covered": "dropped_lines"}))
-    rows, places = gone.agg(F.count(F.lit(1)), F.sum(F.size("dropped_lines"))).first()
+def deduped(docs: DataFrame, lines: int = LINES, dropped: str = "dropped_lines") -> DataFrame:
+    """docs with text as it stays, n_chars (if there is one) counted anew, and dropped, an array of the places that went; it takes the place of a column of that name."""
+    own = [c for c in docs.columns if c != dropped]
+    keyed = docs.select(F.struct(*own).alias("__row"), "text", doc_key().alias("__doc"), text_key().alias("__th"))
+    gone = cut(repeated_lines(docs.select("doc_id", "text"), lines).withColumnsRenamed({"doc": "__doc", "th": "__th", "covered": "__gone"}))
+    rows, places = gone.agg(F.count(F.lit(1)), F.sum(F.size("__gone"))).first()
     if 64 * rows + 4 * (places or 0) <= MOST_BROADCAST:
         gone = F.broadcast(gone)  # else the texts are shuffled to it
-    kept = F.array_join(F.filter(lines_of(F.col("text")), lambda x, i: ~F.array_contains("dropped_lines", i)), "\n")
-    out = keyed.join(gone, ["__doc", "__th"], "left").withColumn("text", F.when(F.col("dropped_lines").isNull(), F.col("text")).otherwise(kept))
+    kept = F.array_join(F.filter(lines_of(F.col("text")), lambda x, i: ~F.array_contains("__gone", i)), "\n")
+    out = keyed.join(gone, ["__doc", "__th"], "left").withColumn("__new", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(kept))
+    cells = {c: F.col(f"__row.`{c}`") for c in own} | {"text": F.col("__new")}
     if "n_chars" in own:
-        out = out.withColumn("n_chars", F.when(F.col("dropped_lines").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
-    return out.select(*own, F.coalesce("dropped_lines", F.array().cast("array<int>")).alias("dropped_lines"))
+        cells["n_chars"] = F.when(F.col("__gone").isNull(), cells["n_chars"]).otherwise(F.length("__new").cast("long"))
+    return out.select(*(v.alias(c) for c, v in cells.items()), F.coalesce("__gone", F.array().cast("array<int>")).alias(dropped))
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

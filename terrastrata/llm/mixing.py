@@ -135,8 +135,9 @@ def with_leaf(docs: DataFrame, leaves: DataFrame) -> DataFrame:
     return docs.join(F.broadcast(leaves) if few else leaves, list(LEVELS))
 
 
-def mixed(docs: DataFrame, seed: int = 3, **how) -> DataFrame:
-    """docs, each as many times as it is chosen, with epoch (from 0); other columns as they were."""
+def mixed(docs: DataFrame, seed: int = 3, epoch: str = "epoch", **how) -> DataFrame:
+    """docs, each as many times as it is chosen, with epoch (from 0), which takes the place of a column of that name; other columns as they were."""
+    docs = docs.drop(epoch)
     _, leaves = plan(docs, seed=seed, **how)
     own = docs.columns
     taken = {c: f"__{c}" for c in LEVELS}
@@ -147,7 +148,7 @@ def mixed(docs: DataFrame, seed: int = 3, **how) -> DataFrame:
     joined = wide.join(F.broadcast(leaf) if few else leaf, list(taken.values()))
     u = F.xxhash64(F.lit(seed), F.col("__epochs"), F.col("__row.doc_id"))
     times = F.col("__epochs") + F.when(u <= F.col("__cut"), 1).otherwise(0)
-    return joined.where(times > 0).withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), times - 1))).select("__row.*", "epoch")
+    return joined.where(times > 0).withColumn("__epoch", F.explode(F.sequence(F.lit(0).cast("long"), times - 1))).select("__row.*", F.col("__epoch").alias(epoch))
 
 
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@ import random
 import zlib
 
 import corpus_pipeline as C
+from pyspark.sql import functions as F
 
 from terrastrata.llm import pieces
 
@@ -68,3 +69,18 @@ def test_no_rows(spark, saved):
     none = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     d = saved(documents=none, labels=spark.createDataFrame([], "doc_id long, quality int, toxic int"))
     assert C.run(spark, d).collect() == []
+
+
+def test_clashing_columns_nulls_and_repeats(spark, saved):
+    names = ["score", "predicted", "dropped_lines", "epoch", "tokens", "key", "fp", "u", "slice", "covered", "domain", "n_pieces"]
+    rows = [(i, t, la, so, n) for i, t, la, so, n in [(1, "a b c d e f g", "en", "s", 13), (1, "a b c d e f g", "en", "s", 13), (None, None, None, None, None), (2, "", "en", None, 0), (3, "x " * 3000, None, "s", 6000)]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for n in names:
+        docs = docs.withColumn(n, F.lit(n))
+    d = saved(documents=docs, labels=spark.createDataFrame([], "doc_id long, quality int, toxic int"))
+    at = docs
+    for name, f in C.STAGES:
+        at = f(spark, at, d)
+        if name != "sentencepiece":
+            assert at.columns == docs.columns and all(r.score == "score" and r.epoch == "epoch" and r.dropped_lines == "dropped_lines" for r in at.collect())
+    assert at.count() >= 1
