@@ -34,9 +34,8 @@ from .common import map_rows
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BEST = 4
-CACHE = 500_000
+CACHE = 350_000
 STRETCH = re.compile(r" *[^\W\d_²]++|\n| *(?:(?![ \n])[\W\d_²])++[^\W\d_²]*+| +")
-END = ""
 LOW, NEVER = -(1 << 62), 1 << 61
 
 
@@ -57,7 +56,7 @@ class Pieces:
         merges = all(s == int(s) for s in (stored[i] for i in plain))
         self.bytes_of = [b""] * size
         self.byte_ids = [0] * 256
-        self.trie: dict = {}
+        self.trie: dict[str, list] = {}  # by character: what may follow, the piece that ends here (or -1), its score
         self.byte_score = -round(1e6 * math.log(2 * size + 2)) if merges else round(1e6 * (min(stored[i] for i in plain) - 10))
         for i in range(size):
             if m.is_byte(i):
@@ -69,9 +68,10 @@ class Pieces:
                 raise ValueError(f"piece {i} crosses the border of a word")
             self.bytes_of[i] = text.encode()
             node = self.trie
-            for c in text:
-                node = node.setdefault(c, {})
-            node[END] = (i, -round(1e6 * math.log(rank + 2)) if merges else round(1e6 * stored[i]))
+            for c in text[:-1]:
+                node = node.setdefault(c, [{}, -1, 0])[0]
+            leaf = node.setdefault(text[-1], [{}, -1, 0])
+            leaf[1], leaf[2] = i, -round(1e6 * math.log(rank + 2)) if merges else round(1e6 * stored[i])
 
     def lattice(self, text: str) -> tuple[list[int], list[list[tuple[int, int, tuple[int, ...]]]]]:
         """Forward Viterbi scores by position, and by position the edges (start, score, ids) that end there."""
@@ -81,13 +81,14 @@ class Pieces:
         edges: list[list] = [[] for _ in range(n + 1)]
         for i in range(n):
             node, j, here, single = self.trie, i, best[i], False
-            while j < n and (node := node.get(text[j])) is not None:
+            while j < n and (found := node.get(text[j])) is not None:
                 j += 1
-                if (end := node.get(END)) is not None:
-                    edges[j].append((i, end[1], (end[0],)))
+                node, piece, cost = found
+                if piece >= 0:
+                    edges[j].append((i, cost, (piece,)))
                     single = single or j == i + 1
-                    if here + end[1] > best[j]:
-                        best[j] = here + end[1]
+                    if here + cost > best[j]:
+                        best[j] = here + cost
             if not single:
                 ids = tuple(self.byte_ids[b] for b in text[i].encode())
                 s = len(ids) * self.byte_score
@@ -103,15 +104,17 @@ class Pieces:
         best[0] = 0
         for i in range(n):
             node, j, here, under, single = trie, i, best[i], second[i], False
-            while j < n and (node := node.get(text[j])) is not None:
+            while j < n and (found := node.get(text[j])) is not None:
                 j += 1
-                if (end := node.get(END)) is not None:
+                node, piece, cost = found
+                if piece >= 0:
                     if j == i + 1:
                         single = True
-                    s = here + end[1]
+                    s = here + cost
                     if s > best[j]:
-                        second[j] = max(best[j], under + end[1])
-                        best[j], back[j] = s, (i, end[0])
+                        t = under + cost
+                        second[j] = best[j] if best[j] > t else t
+                        best[j], back[j] = s, (i, piece)
                     elif s > second[j]:
                         second[j] = s
             if not single:
@@ -182,16 +185,15 @@ class Encoder:
         found = list(map(seen.get, stretches))
         if None in found:
             found = [f or seen.get(s) or first(s) for f, s in zip(found, stretches, strict=True)]
-        packed = [f[0] for f in found]
-        ids = np.frombuffer(b"".join(packed), dtype="<i4")
-        score, costs = sum([f[1] for f in found]), [f[2] for f in found]
-        near = np.argsort(np.array(costs, dtype=np.int64), kind="stable")[: self.best - 1].tolist()
+        packed, scores, costs = zip(*found, strict=True)
+        ids, score = np.frombuffer(b"".join(packed), dtype="<i4"), sum(scores)
+        near = np.argsort(np.fromiter(costs, dtype=np.int64, count=len(costs)), kind="stable")[: self.best - 1].tolist()
         where = sorted(k for k in near if costs[k] < NEVER)
         lists = [self.several(stretches[k]) for k in where]
         # A choice with places c is no better than any of the (c + 1) * ... choices with places up to c.
         ways = heapq.nsmallest(self.best, ((sum([x[0][0] - x[c][0] for x, c in zip(lists, choice, strict=True)]), choice) for choice in self.choices[len(where)] if all(c < len(x) for c, x in zip(choice, lists, strict=True))))
-        starts = np.concatenate([[0], np.cumsum([len(p) >> 2 for p in packed])]) if where else []
-        changes = [[(int(starts[k]), len(packed[k]) >> 2, x[c][1]) for k, x, c in zip(where, lists, choice, strict=True) if c] for _, choice in ways]
+        starts = {k: sum(map(len, packed[:k])) >> 2 for k in where}
+        changes = [[(starts[k], len(packed[k]) >> 2, x[c][1]) for k, x, c in zip(where, lists, choice, strict=True) if c] for _, choice in ways]
         return ids, [score - cost for cost, _ in ways], changes
 
 
@@ -206,7 +208,7 @@ def changed(ids: list[int], change: list[tuple[int, int, tuple[int, ...]]]) -> l
 
 def decode(pieces: Pieces, ids: list[int] | np.ndarray) -> str:
     table = pieces.bytes_of
-    return b"".join([table[i] for i in ids]).decode("utf-8", "replace").removeprefix(" ")
+    return b"".join(map(table.__getitem__, ids)).decode("utf-8", "replace").removeprefix(" ")
 
 
 _loaded: dict[bytes, Pieces] = {}
@@ -242,7 +244,8 @@ CHANGES = pa.list_(pa.list_(pa.struct([("at", pa.int32()), ("n", pa.int32()), ("
 
 
 def encoded(docs: DataFrame, model: str = MODEL, best: int = BEST) -> DataFrame:
-    """docs with ids (the best segmentation), scores (of the N best, in nats) and changes (how each differs from the best). The model's file, read on the driver, goes along with the function."""
+    """docs with ids (the best segmentation), scores (of the N best, in nats) and changes (how each differs from the best), which take the place of columns of those names. The model's file, read on the driver, goes along with the function."""
+    docs = docs.drop("ids", "scores", "changes")
     data, place = read_model(model), docs.columns.index("text")
 
     def make() -> Callable[[pa.RecordBatch], dict]:

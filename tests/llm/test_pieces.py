@@ -16,12 +16,11 @@ def every_way(p, text):
         return [(0, ())]
     out, node, single = [], p.trie, False
     for j, c in enumerate(text, 1):
-        node = node.get(c)
-        if node is None:
+        if c not in node:
             break
-        if P.END in node:
+        node, i, s = node[c]
+        if i >= 0:
             single = single or j == 1
-            i, s = node[P.END]
             out += [(s + a, (i, *b)) for a, b in every_way(p, text[j:])]
     if not single:
         ids = tuple(p.byte_ids[b] for b in text[0].encode())
