@@ -39,7 +39,7 @@ SHORT, LONGEST = 4, 9  # letters of a stem
 RATIO = 4.0  # how much commoner a term is in toxic texts
 COVER = 4
 MOST_TERMS, MOST_CHOSEN = 20_000, 100  # candidates that come to the driver, the commonest in toxic texts; terms that are taken
-CACHE = 500_000
+CACHE = 250_000
 WORD = re.compile(r"[^\W\d_]+(?:[*@$!][^\W\d_]+)*")
 QUOTES = re.compile(r"[\"“”„«»]")
 # Words of reporting, in the languages of the corpus. Fixed values.
@@ -303,8 +303,9 @@ def map_words(texts: DataFrame, terms: list[str]) -> DataFrame:
     return map_rows(texts, make, "word string")
 
 
-def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with score (0 to 1) and predicted (1 if score >= 0.5)."""
+def scored(docs: DataFrame, model: Model, score: str = "score", predicted: str = "predicted") -> DataFrame:
+    """docs with score (0 to 1) and predicted (1 if score >= 0.5), which take the place of columns of those names."""
+    docs = docs.drop(score, predicted)
     place = docs.columns.index("text")
 
     def make() -> Callable[[pa.RecordBatch], dict]:
@@ -312,12 +313,12 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 
         def f(batch: pa.RecordBatch) -> dict:
             s = [scorer.score(t) for t in batch.column(place).to_pylist()]
-            return dict(zip(batch.schema.names, batch.columns, strict=True)) | {"score": pa.array(s, type=pa.float64()), "predicted": pa.array([int(x >= 0.5) for x in s], type=pa.int32())}
+            return dict(zip(batch.schema.names, batch.columns, strict=True)) | {score: pa.array(s, type=pa.float64()), predicted: pa.array([int(x >= 0.5) for x in s], type=pa.int32())}
 
         return f
 
     fields = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes)
-    return map_rows(docs, make, f"{fields}, score double, predicted int")
+    return map_rows(docs, make, f"{fields}, {score} double, {predicted} int")
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
