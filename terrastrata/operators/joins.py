@@ -1,7 +1,8 @@
 """Joins by place and by key, filters by attribute and mask.
 
 Points meet polygons through tiles: each polygon part goes to the tiles of its box, each point to its own tile, an equi-join
-brings them together and the exact test decides. A layer with few parts is broadcast instead, behind a check of its count.
+brings them together and the exact test decides. Tiled parts of a checked count are broadcast, so points aren't shuffled;
+beyond it both sides are, and Spark splits tiles that are hot. A handful of parts needs no tiles.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from ..functions import geometry as G
 from .result import ToolResult, attributes, count, need, parts, polygons, small
 
 TILE = 5.0  # degrees
+FEW = 16  # parts that every point may be tested against
 
 
 def tile(v: Column, size: float) -> Column:
@@ -31,12 +33,12 @@ def point_in_parts(points: DataFrame, shapes: DataFrame, x: Column, y: Column, s
     rows = parts(polygons(shapes), *keep).select(F.col("_fid").alias("p_fid"), "part_index", "part", F.struct(*keep).alias("p") if keep else F.lit(None).alias("p")).withColumn("__b", part_bounds(F.col("part"))).where("__b.x0 is not null")
     pts = points.withColumns({"__x": x, "__y": y})
     inside = (F.col("__x") >= F.col("__b.x0")) & (F.col("__x") <= F.col("__b.x1")) & (F.col("__y") >= F.col("__b.y0")) & (F.col("__y") <= F.col("__b.y1"))
-    if small(rows, 2_000):
+    if small(rows, FEW):
         joined = pts.join(F.broadcast(rows), inside)
     else:
         span = lambda a, b: F.explode(F.sequence(tile(F.col(f"__b.{a}"), tile_deg), tile(F.col(f"__b.{b}"), tile_deg)))
         tiled = rows.withColumn("__tx", span("x0", "x1")).withColumn("__ty", span("y0", "y1"))
-        joined = pts.withColumns({"__tx": tile(F.col("__x"), tile_deg), "__ty": tile(F.col("__y"), tile_deg)}).join(tiled, ["__tx", "__ty"]).where(inside).drop("__tx", "__ty")
+        joined = pts.withColumns({"__tx": tile(F.col("__x"), tile_deg), "__ty": tile(F.col("__y"), tile_deg)}).join(F.broadcast(tiled) if small(tiled) else tiled, ["__tx", "__ty"]).where(inside).drop("__tx", "__ty")
     exact = G.in_part(F.col("__x"), F.col("__y"), F.col("part"))
     if strict:
         exact = exact & ~F.exists("part", lambda r: G.on_ring(F.col("__x"), F.col("__y"), r))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions import kernels as K
-from .joins import TILE, point_in_parts, tile
+from .joins import FEW, TILE, point_in_parts, tile
 from .result import ToolResult, attributes, count, need, parts, polygons, small, total_area_km2
 
 OPS = ("intersection", "difference", "symmetric_difference", "union")
@@ -30,7 +30,7 @@ def near_parts(df: DataFrame, mask: DataFrame) -> DataFrame:
     m = parts(polygons(mask)).select("part").withColumn("__mb", G.bounds(G.geom("Polygon", F.array("part")))).where("__mb.x0 is not null").withColumn("__id", F.xxhash64(F.to_json("part")))
     f = df.select("_fid", "geom").withColumn("__b", G.bounds("geom"))
     meets = G.boxes_meet(F.col("__b"), F.col("__mb"))
-    if small(m, 2_000):
+    if small(m, FEW):
         pairs = f.join(F.broadcast(m), meets)
     else:
         def spread(x: DataFrame, b: str) -> DataFrame:

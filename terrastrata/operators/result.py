@@ -5,9 +5,10 @@ Features are rows of _fid (their order), geom and attributes; a summary is a Dat
 
 from __future__ import annotations
 
+import tempfile
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
@@ -31,6 +32,15 @@ def need(ok: bool, message: str) -> None:
         raise ToolError(message)
 
 
+def checkpoints(spark: SparkSession) -> None:
+    """Sees to it that checkpoint() has a folder: the shared one that spark.checkpoint.dir names; a temporary one only on a local master."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+        need(named is not None or sc.master.startswith("local"), "spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
+
+
 def attributes(df: DataFrame) -> list[str]:
     return [c for c in df.columns if c not in ("_fid", "geom")]
 
