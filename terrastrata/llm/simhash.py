@@ -11,7 +11,7 @@ At a similarity of 0.8 fingerprints lie ten and more bits apart, out of reach of
 `similar_components` uses more bits (512), bands of 16 one-bit segments as grid cells, and Hamming distances of blocks.
 
 Nulls and empty texts: no words, fingerprint zero, linked like any other. Equal rows: one class. Documents with a null
-doc_id keep their row (component null). An empty table gives an empty result. Extra columns are ignored.
+doc_id get their group's component (null where no other is in it). An empty table gives an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -149,7 +149,7 @@ def shingle_hashes(text: str | None, words: int, known: dict[bytes, int]) -> tup
     key = hashlib.blake2b(b" ".join(w), digest_size=16).digest()
     if not w:
         return key, np.empty(0, dtype=np.uint64)
-    if len(known) > 500_000:
+    if len(known) > 200_000:
         known.clear()
     get = known.get
     h = np.fromiter((get(x) or known.setdefault(x, xxhash.xxh64_intdigest(x)) for x in w), dtype=np.uint64, count=len(w))
