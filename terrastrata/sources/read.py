@@ -155,24 +155,32 @@ def csv_points(table: DataFrame, order: Column | None = None) -> DataFrame:
 
 def wkt_geometry(text: Column) -> Column:
     """A geometry from a line of text; null for collections, EMPTY and what can't be read."""
-    t = F.upper(F.trim(text))
-    kind = F.regexp_extract(t, r"^(MULTIPOINT|MULTILINESTRING|MULTIPOLYGON|POINT|LINESTRING|POLYGON)\b", 1)
-    body = F.regexp_extract(t, r"^[A-Z]+\s*\((.*)\)\s*$", 1)
+    once = lambda value, f: F.get(F.transform(F.array(value), f), F.lit(0))  # noqa: E731  a lambda's variable is computed once
+
     def at(pair: Column) -> Column:
-        xy = F.split(F.trim(pair), r"\s+")
-        return G.vertex(F.get(xy, F.lit(0)).try_cast("double"), F.get(xy, F.lit(1)).try_cast("double"))
+        return once(F.split(F.trim(pair), r"\s+"), lambda xy: G.vertex(F.get(xy, F.lit(0)).try_cast("double"), F.get(xy, F.lit(1)).try_cast("double")))
 
-    run = lambda r: F.transform(F.split(F.regexp_replace(r, r"[()]", ""), ","), at)
+    run = lambda r: F.transform(F.split(F.translate(r, "()", ""), ","), at)
     # Rings and parts are split where parentheses close before a comma.
     rings = lambda p: F.transform(F.split(p, r"\)\s*,\s*\("), run)
-    many = F.transform(F.split(body, r"\)\s*\)\s*,\s*\(\s*\("), rings)
-    lines = F.transform(F.split(body, r"\)\s*,\s*\("), lambda r: F.array(run(r)))
-    points = F.transform(run(body), lambda v: F.array(F.array(v)))
-    parts = F.when(kind.isin("POINT", "LINESTRING"), F.array(F.array(run(body)))).when(kind == "POLYGON", F.array(rings(body))).when(kind == "MULTIPOINT", points).when(kind == "MULTILINESTRING", lines).when(kind == "MULTIPOLYGON", many)
+
+    def parts(k: Column) -> Column:
+        kind, body = k["kind"], k["body"]
+        return (
+            F.when(kind.isin("POINT", "LINESTRING"), F.array(F.array(run(body))))
+            .when(kind == "POLYGON", F.array(rings(body)))
+            .when(kind == "MULTIPOINT", F.transform(run(body), lambda v: F.array(F.array(v))))
+            .when(kind == "MULTILINESTRING", F.transform(F.split(body, r"\)\s*,\s*\("), lambda r: F.array(run(r))))
+            .when(kind == "MULTIPOLYGON", F.transform(F.split(body, r"\)\s*\)\s*,\s*\(\s*\("), rings))
+        )
+
     name = F.create_map(*(F.lit(x) for k in ("Point", "MultiPoint", "LineString", "MultiLineString", "Polygon", "MultiPolygon") for x in (k.upper(), k)))
-    g = G.geom(F.element_at(name, F.when(kind != "", kind)), parts)
-    fine = F.forall(G.vertices(g), lambda v: v["x"].isNotNull() & v["y"].isNotNull())
-    return F.when((kind != "") & (body != "") & fine, g)
+    fine = lambda ps: F.forall(ps, lambda p: F.forall(p, lambda r: F.forall(r, lambda v: v["x"].isNotNull() & v["y"].isNotNull())))
+    made = lambda k: once(parts(k), lambda ps: F.when((k["body"] != "") & fine(ps), G.geom(F.element_at(name, k["kind"]), ps)))
+    upper = F.upper(F.trim(text))
+    kind = F.regexp_extract(upper, r"^(MULTIPOINT|MULTILINESTRING|MULTIPOLYGON|POINT|LINESTRING|POLYGON)\b", 1)
+    body = F.regexp_extract(upper, r"^[A-Z]+\s*\((.*)\)\s*$", 1)
+    return once(F.struct(kind.alias("kind"), body.alias("body")), lambda k: F.when(k["kind"] != "", made(k)))
 
 
 def wkt_features(lines: DataFrame, column: str = "value") -> DataFrame:
