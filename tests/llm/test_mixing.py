@@ -91,6 +91,13 @@ def test_prefix_is_the_longest_that_fits(spark):
     assert [x.u for x in order if x.u <= leaf.cut_at][-1] == last
 
 
+def test_leaves_without_broadcast(spark, monkeypatch):
+    df = table(spark, [(i, "d", "en", f"s{i % 3}", 1 + i % 7) for i in range(300)]).drop("epochs")
+    few = sorted(x.doc_id for x in M.mixed(df, fraction=0.5, max_epochs=1).collect())
+    monkeypatch.setattr(M, "MOST_BROADCAST", -1)
+    assert sorted(x.doc_id for x in M.mixed(df, fraction=0.5, max_epochs=1).collect()) == few and 80 < len(few) < 220
+
+
 def test_budget_ends_in_the_first_slice(spark):
     df = spark.range(30_000).selectExpr("id as doc_id", "'d' as domain", "'en' as lang", "'s' as source", "'a b c d e' as text")
     assert M.mixed(df, total=3, weights={}, max_epochs=1).collect() == []

@@ -125,6 +125,12 @@ def test_similar_components(spark, docs_of):
     assert left.columns == df.columns and sorted(x.doc_id for x in left.collect()) == sorted(i for i, c in got.items() if i == c)
 
 
+def test_one_of_each_without_broadcasts(spark, docs_of, monkeypatch):
+    monkeypatch.setattr(S, "MOST_BROADCAST", -1)
+    texts = [" ".join(f"w{i % 7}{j}" for j in range(60)) for i in range(20)] + [None]
+    assert sorted(x.doc_id for x in S.one_of_each(docs_of(texts)).collect()) == [*range(7), 20]
+
+
 def test_one_of_each_repeats_nulls_and_no_rows(spark, docs_of):
     df = docs_of(["same text", "same text", "same text", "same text", "other"], [4, 4, None, None, 9])
     assert sorted((x.doc_id or 0, x.text) for x in S.one_of_each(df).collect()) == [(0, "same text"), (0, "same text"), (4, "same text"), (9, "other")]
