@@ -8,7 +8,7 @@ fingerprints differ by at most two bits exactly if some word lies within one bit
 a group of n copies costs n rows times a constant, never n squared pairs.
 
 At a similarity of 0.8 fingerprints lie ten and more bits apart, out of reach of any such grid on 64 bits. For that case
-`similar_components` uses more bits (512), bands of 16 one-bit segments as grid cells, and Hamming distances of blocks.
+`similar_components` uses more bits (1024), bands of 16 one-bit segments as grid cells, and Hamming distances (of 512 bits).
 
 Nulls and empty texts: no words, fingerprint zero, linked like any other. Equal rows: one class. Documents with a null
 doc_id get their group's component (null where no other is in it). An empty table gives an empty result. Extra columns are ignored.
@@ -131,7 +131,8 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- similarity of word shingles -------------------------------------------------------------------------------------
 
-WORDS_64 = 8  # a long fingerprint's words of 64 bits
+WORDS_64 = 8  # words of 64 bits that are compared
+ALL_WORDS = 16  # words of a long fingerprint, the compared ones first; its bands cover them all
 BAND_BITS = 16
 GROUP = 16_384  # fingerprints that are compared in one place
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -161,10 +162,10 @@ def shingle_hashes(text: str | None, words: int, known: dict[bytes, int]) -> tup
 
 
 def long_print(hashes: np.ndarray) -> np.ndarray:
-    """SimHash of WORDS_64 words of 64 bits."""
+    """SimHash of ALL_WORDS words of 64 bits."""
     if not len(hashes):
-        return np.zeros(WORDS_64, dtype="<u8")
-    return majority(mixed(hashes[:, None] + MIX * np.arange(1, WORDS_64 + 1, dtype=np.uint64)))
+        return np.zeros(ALL_WORDS, dtype="<u8")
+    return majority(mixed(hashes[:, None] + MIX * np.arange(1, ALL_WORDS + 1, dtype=np.uint64)))
 
 
 def long_prints(docs: DataFrame, words: int) -> DataFrame:
@@ -253,9 +254,9 @@ def nearest_forest(fps: np.ndarray, most: int) -> list[tuple[int, int]]:
 
 def banded_edges(classes: DataFrame, most: int, group: int = GROUP) -> DataFrame:
     """(a, b): likely links of classes (rep, fp) that agree in some band of BAND_BITS bits, one forest for each band and value. Where more than `group` agree, they are split and each two parts are compared."""
-    bands = WORDS_64 * 64 // BAND_BITS
+    bands = ALL_WORDS * 64 // BAND_BITS
     band = F.explode(F.array(*(F.concat(F.lit(bytes([i])), F.substring("fp", i * BAND_BITS // 8 + 1, BAND_BITS // 8)) for i in range(bands))))
-    rows = classes.select("rep", "fp", band.alias("band"))
+    rows = classes.select("rep", F.substring("fp", 1, WORDS_64 * 8).alias("fp"), band.alias("band"))
     sizes = rows.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > group).select("band", F.ceil(F.col("n") / (group // 2)).alias("parts"))
     own = F.pmod(F.xxhash64("rep"), F.col("parts"))
     spread = rows.join(F.broadcast(sizes) if sizes.count() <= 10_000 else sizes, "band", "left").withColumn("parts", F.coalesce("parts", F.lit(1).cast("long")))
@@ -312,7 +313,7 @@ MOST_BROADCAST = 1_000_000  # ids, of 8 bytes each
 
 
 def similar_components(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(doc_id, key, component_id) for documents with a doc_id: those whose sets of word shingles have the given Jaccard similarity link, found by bands of a SimHash of 512 bits and verified on the sets. Equal word sequences are one class."""
+    """(doc_id, key, component_id) for documents with a doc_id: those whose sets of word shingles have the given Jaccard similarity link, found by bands of a SimHash of 1024 bits and verified on the sets. Equal word sequences are one class."""
     prints = cut(long_prints(docs, words))
     classes = prints.groupBy("key").agg(F.min("doc_id").alias("rep"), F.min("fp").alias("fp"))
     likely = cut(banded_edges(classes.select("rep", "fp"), limit_of(similarity)))
