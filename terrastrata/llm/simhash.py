@@ -169,18 +169,18 @@ def long_print(hashes: np.ndarray) -> np.ndarray:
 
 
 def long_prints(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, key, fp): key the same for equal word sequences, fp the long fingerprint's bytes."""
+    """(doc_id, key, fp, n): key the same for equal word sequences, fp the long fingerprint's bytes, n the number of distinct shingles."""
 
     def make() -> Callable[[pa.RecordBatch], dict]:
         known: dict[bytes, int] = {}
 
         def f(batch: pa.RecordBatch) -> dict:
             found = [shingle_hashes(t.as_py(), words, known) for t in batch.column(1)]
-            return {"doc_id": batch.column(0), "key": pa.array([k for k, _ in found], type=pa.binary()), "fp": pa.array([long_print(h).tobytes() for _, h in found], type=pa.binary())}
+            return {"doc_id": batch.column(0), "key": pa.array([k for k, _ in found], type=pa.binary()), "fp": pa.array([long_print(h).tobytes() for _, h in found], type=pa.binary()), "n": pa.array([len(h) for _, h in found], type=pa.int64())}
 
         return f
 
-    return map_rows(docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null"), make, "doc_id long, key binary, fp binary")
+    return map_rows(docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null"), make, "doc_id long, key binary, fp binary, n long")
 
 
 def limit_of(similarity: float, bits: int = WORDS_64 * 64, spread: float = 3.0) -> int:
@@ -310,15 +310,113 @@ def verified(docs: DataFrame, edges: DataFrame, words: int, similarity: float) -
 
 
 MOST_BROADCAST = 1_000_000  # ids, of 8 bytes each
+PART_SETS, PART_HASHES = 1024, 500_000  # sets and their hashes in a part of a group; a task holds two parts
+FEW = 32  # sets that share a hash and are paired one by one; hashes of more sets are counted by matrix products
+
+
+def common_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """How many hashes each two of the sets share (above the diagonal)."""
+    n = len(sets)
+    owner = np.repeat(np.arange(n), [len(x) for x in sets])
+    _, token, held = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    order = np.argsort(token, kind="stable")
+    owner, start = owner[order], np.cumsum(held) - held  # the owners of each hash, ascending
+    out = np.zeros((n, n), dtype=np.float32)
+    flat = out.reshape(-1)
+    for size in range(2, FEW + 1):
+        at = start[held == size]
+        for chunk in range(0, len(at), 20_000):
+            rows = owner[at[chunk : chunk + 20_000, None] + np.arange(size)]
+            for i in range(size - 1):
+                np.add.at(flat, (rows[:, i, None] * n + rows[:, i + 1 :]).reshape(-1), 1)
+    many = np.flatnonzero(held > FEW)
+    for chunk in range(0, len(many), 1024):
+        part = many[chunk : chunk + 1024]
+        x = np.zeros((n, len(part)), dtype=np.float32)
+        for k, t in enumerate(part):
+            x[owner[start[t] : start[t] + held[t]], k] = 1
+        out += x @ x.T
+    return out
+
+
+def exact_links(sets: list[np.ndarray], labels: list[int], similarity: float) -> list[tuple[int, int]]:
+    """Pairs of labels, larger first, that join all labels between which two sets have the Jaccard similarity; a spanning forest of them."""
+    parent = {x: x for x in labels}
+    if len(parent) < 2:
+        return []
+
+    def root(k: int) -> int:
+        while parent[k] != k:
+            parent[k] = parent[parent[k]]
+            k = parent[k]
+        return k
+
+    sizes, common = np.array([len(x) for x in sets], dtype=np.int64), common_counts(sets)
+    of = np.unique(labels, return_inverse=True)[1]
+    out = []
+    for i in range(len(sets) - 1):
+        both = common[i, i + 1 :].astype(np.int64)
+        for j in np.flatnonzero((both > 0) & (of[i + 1 :] != of[i]) & (both >= similarity * (sizes[i] + sizes[i + 1 :] - both))) + i + 1:
+            x, y = root(labels[i]), root(labels[j])
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+                out.append((max(x, y), min(x, y)))
+    return out
+
+
+def links_within(docs: DataFrame, members: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(a, b): labels to join, so that in each group any two of members (node, group, label, n) whose sets have the similarity are together.
+
+    Each two members of a group are compared on the sets. Groups of many members or hashes are split, and each two parts are compared in one place.
+    """
+
+    def make() -> Callable[[pa.RecordBatch], dict]:
+        known: dict[bytes, int] = {}
+        return lambda batch: {"node": batch.column(0), "label": batch.column(2), "unit": batch.column(3), "set": pa.array([shingle_hashes(t.as_py(), words, known)[1].view("<i8") for t in batch.column(1)], type=pa.list_(pa.int64()))}
+
+    sizes = members.groupBy("group").agg(F.ceil(F.greatest(F.count(F.lit(1)) / PART_SETS, F.sum("n") / PART_HASHES, F.lit(1.0))).alias("parts"))
+    own, other = F.pmod(F.xxhash64("node"), F.col("parts")), F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)
+    units = F.transform(other, lambda o: F.xxhash64("group", F.least(own, o), F.greatest(own, o)))
+    ids = cut(members.join(sizes, "group").select("node", "label", units.alias("unit")))
+    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(F.broadcast(ids) if ids.count() <= MOST_BROADCAST // 10 else ids, "node")
+    sets = map_rows(texts.select("node", "text", "label", "unit"), make, "node long, label long, unit array<long>, set array<long>")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, found, labels, out = None, [], [], []
+        for batch in batches:
+            at, values = batch.column(2).offsets.to_numpy(), batch.column(2).values.to_numpy()
+            for i, (unit, label) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                if unit != last:
+                    out += exact_links(found, labels, similarity)
+                    last, found, labels = unit, [], []
+                found.append(values[at[i] : at[i + 1]].copy())
+                labels.append(label)
+        out += exact_links(found, labels, similarity)
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64()) for c in zip(*out, strict=True)], names=["a", "b"])
+
+    spread = sets.select(F.explode("unit").alias("unit"), "label", "set")
+    return spread.repartition("unit").sortWithinPartitions("unit").mapInArrow(run, "a long, b long").distinct()
 
 
 def similar_components(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(doc_id, key, component_id) for documents with a doc_id: those whose sets of word shingles have the given Jaccard similarity link, found by bands of a SimHash of 1024 bits and verified on the sets. Equal word sequences are one class."""
+    """(doc_id, key, component_id) for documents with a doc_id: those whose sets of word shingles have the given Jaccard similarity link.
+
+    Bands of a SimHash of 1024 bits find likely links, and the forests' edges are verified on the sets. A forest holds one way
+    between two documents and not each link, so where a group of likely links is left in several verified parts, its sets are
+    all compared across the parts. Equal word sequences are one class.
+    """
     prints = cut(long_prints(docs, words))
-    classes = prints.groupBy("key").agg(F.min("doc_id").alias("rep"), F.min("fp").alias("fp"))
+    classes = prints.groupBy("key").agg(F.min("doc_id").alias("rep"), F.min("fp").alias("fp"), F.min("n").alias("n"))
     likely = cut(banded_edges(classes.select("rep", "fp"), limit_of(similarity)))
-    parts = connected_components(verified(docs, likely, words, similarity))
-    of_class = classes.select("key", "rep").join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("key", F.coalesce("component", "rep").alias("component_id"))
+    parts = cut(connected_components(verified(docs, likely, words, similarity)))
+    groups = connected_components(likely).withColumnRenamed("component", "group")
+    labelled = cut(groups.join(parts, "node", "left").select("node", "group", F.coalesce("component", "node").alias("label")))
+    split = labelled.groupBy("group").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("group")
+    sizes = classes.groupBy(F.col("rep").alias("node")).agg(F.sum("n").alias("n"))
+    more = connected_components(links_within(docs, labelled.join(split, "group").join(sizes, "node"), words, similarity))
+    joined = labelled.join(more.withColumnsRenamed({"node": "label", "component": "whole"}), "label", "left").select(F.col("node").alias("rep"), F.coalesce("whole", "label").alias("component"))
+    of_class = classes.select("key", "rep").join(joined, "rep", "left").select("key", F.coalesce("component", "rep").alias("component_id"))
     return prints.select("doc_id", "key").join(of_class, "key")
 
 

@@ -136,3 +136,38 @@ def test_one_of_each_repeats_nulls_and_no_rows(spark, docs_of):
     assert sorted((x.doc_id or 0, x.text) for x in S.one_of_each(df).collect()) == [(0, "same text"), (0, "same text"), (4, "same text"), (9, "other")]
     assert S.one_of_each(df.limit(0)).collect() == []
     assert S.one_of_each(docs_of(["x " * 50_000, "x " * 50_000])).count() == 1
+
+
+def crowd(n, pairs, seed=3):
+    """Texts of 353 shingles at 0.74 of each other; of the first ones, each has a copy at 0.81 to 0.85 at the end."""
+    r = random.Random(seed)
+    word = lambda: f"w{r.randrange(10**9)}"
+    shared = [word() for _ in range(304)]
+    own = [[word() for _ in range(53)] for _ in range(n)]
+    own += [x[: 53 - c] + [word() for _ in range(c)] for x in own[:pairs] for c in [r.randint(29, 37)]]
+    return [" ".join(shared + x) for x in own]
+
+
+def test_links_in_a_crowd_of_nearly_similar_texts(spark, docs_of, monkeypatch):
+    texts = crowd(600, 40)
+    want = slow_similar(texts)
+    assert want == [*range(600), *range(40)]
+    df = docs_of(texts)
+    assert {x.doc_id: x.component_id for x in S.similar_components(df).collect()} == dict(enumerate(want))
+    monkeypatch.setattr(S, "PART_SETS", 100)
+    monkeypatch.setattr(S, "MOST_BROADCAST", -1)
+    assert {x.doc_id: x.component_id for x in S.similar_components(df).collect()} == dict(enumerate(want))
+
+
+def test_exact_links_equal_brute_force():
+    r = random.Random(6)
+    for few in (2, 32):
+        S.FEW, before = few, S.FEW
+        sets = [np.array(sorted(r.sample(range(40), r.randint(8, 36))), dtype=np.int64) for _ in range(200)]
+        sets += [np.unique(np.append(x[2:], r.randrange(40))) for x in sets[:40]]
+        labels = [i - i % 3 for i in range(len(sets))]
+        near = [(i, j) for i in range(len(sets)) for j in range(i) if len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j]))]
+        got = S.exact_links(sets, labels, 0.8)
+        S.FEW = before
+        same = [(i, labels[i]) for i in range(len(sets))]
+        assert components(len(sets), got + same) == components(len(sets), near + same) and len(near) > 20
