@@ -2,8 +2,8 @@
 
 The field scores whole candidate segments (their shape as each type, checksums, digit counts, cue words before them), and a
 dynamic program over segments of at most MOST_TOKENS tokens jointly chooses boundaries and types. Its weights are trained
-here, by an averaged structured perceptron on sentences that a seeded generator makes up. It runs only near digits and
-'@', since no type goes without; each such region is decoded on its own.
+here, by an averaged structured perceptron on sentences that a seeded generator makes up. It runs only near digits,
+'@', '[at]' and '(at)', since no type goes without; each such region is decoded on its own.
 
 Base spans stay whatever the field says; it adds segments that overlap none of them. Spans count code points, end
 exclusive. Base matches of a kind are leftmost and don't overlap; one that fails its check is dropped without another try.
@@ -76,7 +76,7 @@ def base_spans(text: str) -> list[Span]:
 # --- the field -------------------------------------------------------------------------------------------------------
 
 TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|\s+|.", re.S)
-TRIGGER = re.compile(r"[0-9@]")
+TRIGGER = re.compile(r"[0-9@]|\[at\]|\(at\)")
 SHAPES = {
     "email": re.compile(r"[\w.%+-]+\s?(?:@|\[at\]|\(at\))\s?[\w-]+(?:\s?(?:\.|\[dot\]|\(dot\))\s?[\w-]+)+", re.A),
     "ip": re.compile(r"(?:[0-9]{1,3}\.){3}[0-9]{1,3}"),
@@ -133,7 +133,7 @@ def candidates(tokens: list[str]) -> dict[int, list[tuple[int, str, tuple[str, .
             segment += tokens[j]
             if len(tokens[j]) > 64:
                 break
-            trigger = trigger or tokens[j][0] in "0123456789@"
+            trigger = trigger or tokens[j][0] in "0123456789@" or tokens[j] == "at" and 0 < j < len(tokens) - 1 and tokens[j - 1] + tokens[j + 1] in ("[]", "()")
             if not trigger or not tokens[j][-1].isalnum() or j + 1 < len(tokens) and (tokens[j + 1][0].isalnum() or tokens[j + 1][0] in "_@"):
                 continue
             for kind, features in shape(segment):

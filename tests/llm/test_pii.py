@@ -75,3 +75,12 @@ def test_added_spans_leave_base_and_prose_alone():
 
 def test_empty_table(spark, docs_of, saved):
     assert P.op10_pii(spark, saved(documents=docs_of(["x"]).limit(0))).collect() == []
+
+
+def test_addresses_without_digits_or_at_signs():
+    weights = P.trained()
+    for text, want in (("please write to john [at] example [dot] com today", "email:16:43"), ("mail anna.b(at)example(dot)org", "email:5:30"), ("We met [at] noon, (at) last", "")):
+        base, all_ = P.spans(text, weights)
+        assert base == [] and P.listed(all_) == want, text
+    _, all_ = P.spans("write to a [at] b [dot] com, ssn 123-45-6789, ip 10.0.0.1", weights)
+    assert [P.TYPES[k] for _, k, _ in all_] == ["email", "national_id", "ip"]
