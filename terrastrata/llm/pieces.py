@@ -1,19 +1,25 @@
 """SentencePiece encoding and decoding with N-best segmentations.
 
-A text is a lattice whose edges are the vocabulary's pieces; a character that starts no edge of its own gets its UTF-8 bytes
-as byte pieces, so every text has a path and decoding gives it back exactly. Forward Viterbi scores are exact heuristics
-for a backward A-star search, which therefore yields segmentations in order of score without a wasted expansion.
-
-No piece holds a space or a mark after a letter (or a space after any character), and none holds a line break, so every path
-passes through the borders after words. The search runs within a stretch between borders (and its results are kept, since
-words recur); over a text the N best are the best choice everywhere but at the at most N - 1 stretches whose second choices
-cost least. Which these are, the forward pass tells, which carries the two best scores of each position.
-
-Scores are integers (millionths), so that sums are exact: log probabilities of a unigram model as stored; for a merge
-model, whose stored numbers are ranks, those of a Zipf law over the ranks, -ln(rank + 2). Byte pieces cost as much as a
-piece of twice the last rank. Ties go to the segmentation found first, longer last pieces first. An empty or null text has
-the single leading space that the model adds; decoding takes it away again. A literal U+2581 is text, not a space, and goes
-as bytes. Equal rows get equal results; an empty table gives an empty one; other columns pass through.
+A text is a lattice of the vocabulary's pieces; a character that is no piece of its own gets its UTF-8 bytes as byte
+pieces, so every text has a path and decoding gives it back exactly. The forward Viterbi score of a piece, that of the best
+path which ends with it, is the exact heuristic of a backward A-star search, which yields segmentations in order of score.
+The ids and the N best of every stretch of text come from that search.
+
+Scores are the model's own. A unigram model's are log probabilities, taken in millionths so that sums are exact. A merge
+model (all its numbers are whole: ranks of merges) counts first the junctions, between two pieces that follow each other,
+which its merges would not leave standing, and then the stored numbers. A path without such a junction is what the merges
+make of the text, and there is one only, so the best segmentation is the vocabulary's own encoding, and the others are
+those nearest to it. (Whether merges leave a junction between two pieces standing is found by merging the two, once a pair.)
+
+No piece holds what ``CUTS`` cuts at, so every path passes through the cuts and the search runs between them; results are
+kept by stretch, since words recur. Over a text the N best are the best choice everywhere but at the at most N - 1 stretches
+whose second choices cost least; the agenda shows that cost as soon as the best is found. The finest rule of ``CUTS`` that
+the vocabulary keeps is used; the last one, the whole text as one stretch, fits any.
+
+Ties go to the segmentation found first, those nearest to the text's start first. An empty or null text has no pieces. A
+literal U+2581 is text, not a space, and goes as bytes (the model's own encoder would turn it into a space). Very long texts
+are encoded whole: time grows with their length, memory with the text and the longest stretch between cuts. Equal rows get
+equal results; an empty table gives an empty one; other columns pass through, but for those whose names the results take.
 """
 
 from __future__ import annotations
@@ -34,160 +40,188 @@ from .common import map_rows
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BEST = 4
-CACHE = 350_000
-STRETCH = re.compile(r" *[^\W\d_²]++|\n| *(?:(?![ \n])[\W\d_²])++[^\W\d_²]*+| +")
-LOW, NEVER = -(1 << 62), 1 << 61
+CACHE_BYTES = 256 << 20  # what a worker keeps of stretches seen, by a generous estimate of their size
+LOW, NEVER = -(1 << 200), 1 << 199
+JUNCTION = 1 << 56  # what a junction that merges would not leave costs: more than the stored numbers of any text add up to
 
+#: Rules to cut texts by, the finest first: a pattern of the stretches, and what no piece may hold for it to be used.
+#: Words with the spaces before them, and marks with what follows (a letter, superscript two being none, and then something
+#: else is in no piece); then runs between spaces; then lines; then nothing.
+CUTS = [
+    (re.compile(r" *[^\W\d_²]++|\n| *(?:(?![ \n])[\W\d_²])++[^\W\d_²]*+| +"), re.compile(r"[^\W\d_²][\W\d_²]|[^ ] |\n.|.\n", re.S)),
+    (re.compile(r" *[^ \n]++|\n| +"), re.compile(r"[^ ] |\n.|.\n", re.S)),
+    (re.compile(r"\n|[^\n]+"), re.compile(r"\n.|.\n", re.S)),
+    (re.compile(r".+", re.S), re.compile(r"(?!)")),
+]
 
-#: What no piece may hold, for texts to be cut there: a letter (superscript two is none here) and then something else.
-CROSSING = re.compile(r"[^\W\d_²][\W\d_²]")
+Node = tuple[int, dict[int, int], int, int]  # the best score of a path that ends here, what a next piece costs, start, piece
 
 
 class Pieces:
-    """A vocabulary: its trie by characters, with spaces for U+2581, and its byte pieces."""
+    """A vocabulary: its trie by characters, with spaces for U+2581, its byte pieces, and what junctions cost."""
 
     def __init__(self, model: bytes):
         import sentencepiece
 
         m = sentencepiece.SentencePieceProcessor(model_proto=model)
         size = m.get_piece_size()
-        stored = [m.get_score(i) for i in range(size)]
         plain = [i for i in range(size) if not (m.is_control(i) or m.is_unknown(i) or m.is_byte(i) or m.is_unused(i))]
-        merges = all(s == int(s) for s in (stored[i] for i in plain))
+        self.merges = all(m.get_score(i) == int(m.get_score(i)) for i in plain)
+        self.unit = 1.0 if self.merges else 1e6
         self.bytes_of = [b""] * size
         self.byte_ids = [0] * 256
-        self.trie: dict[str, list] = {}  # by character: what may follow, the piece that ends here (or -1), its score
-        self.byte_score = -round(1e6 * math.log(2 * size + 2)) if merges else round(1e6 * (min(stored[i] for i in plain) - 10))
+        self.trie: dict[str, list] = {}  # by character: what may follow, the piece that ends here (or -1)
+        self.texts: list[str] = [""] * size
+        self.stored = [round(self.unit * m.get_score(i)) for i in range(size)]
+        #: A character that goes as bytes: nothing among ranks, and what the model's own encoder takes among log probabilities.
+        self.spelled_score = 0 if self.merges else min(self.stored[i] for i in plain) - 10_000_000
         for i in range(size):
             if m.is_byte(i):
                 value = int(m.id_to_piece(i)[3:5], 16)
                 self.byte_ids[value], self.bytes_of[i] = i, bytes([value])
-        for rank, i in enumerate(plain):
-            text = m.id_to_piece(i).replace("▁", " ")
-            if " " in text.lstrip(" ") or "\n" in text or CROSSING.search(text):
-                raise ValueError(f"piece {i} crosses the border of a word")
+        self.rank: dict[str, int] = {}
+        for i in plain:
+            text = self.texts[i] = m.id_to_piece(i).replace("▁", " ")
+            self.rank[text] = self.stored[i]
             self.bytes_of[i] = text.encode()
             node = self.trie
             for c in text[:-1]:
-                node = node.setdefault(c, [{}, -1, 0])[0]
-            leaf = node.setdefault(text[-1], [{}, -1, 0])
-            leaf[1], leaf[2] = i, -round(1e6 * math.log(rank + 2)) if merges else round(1e6 * stored[i])
-
-    def lattice(self, text: str) -> tuple[list[int], list[list[tuple[int, int, tuple[int, ...]]]]]:
-        """Forward Viterbi scores by position, and by position the edges (start, score, ids) that end there."""
-        n = len(text)
-        best = [LOW] * (n + 1)
-        best[0] = 0
-        edges: list[list] = [[] for _ in range(n + 1)]
+                node = node.setdefault(c, [{}, -1])[0]
+            node.setdefault(text[-1], [{}, -1])[1] = i
+        self.stretch = next(rule for rule, held in CUTS if not any(held.search(t) for t in self.rank))
+        #: Characters without a piece, numbered after the pieces: their ids.
+        self.spelled: list[tuple[int, ...]] = []
+        self.spelled_at: dict[str, int] = {}
+        #: By piece, what each next one costs, filled as pairs are met; the last row is a stretch's start.
+        self.rows: list[dict[int, int]] = [{} for _ in range(size)]
+        self.start: dict[int, int] = {}
+
+    def spell(self, c: str) -> int:
+        """The number of a character that goes as bytes."""
+        if (q := self.spelled_at.get(c)) is None:
+            q = self.spelled_at[c] = len(self.texts)
+            ids = tuple(self.byte_ids[b] for b in c.encode())
+            self.spelled.append(ids)
+            self.texts.append(c)
+            self.stored.append(self.spelled_score)
+            self.rows.append({})
+        return q
+
+    def merged(self, text: str) -> list[str]:
+        """What the merges make of a text: the pair with the highest stored number merges first, the leftmost of equals."""
+        parts, rank = list(text), self.rank
+        while True:
+            best, at = None, -1
+            for k in range(len(parts) - 1):
+                r = rank.get(parts[k] + parts[k + 1])
+                if r is not None and (best is None or r > best):
+                    best, at = r, k
+            if best is None:
+                return parts
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+
+    def cost(self, row: dict[int, int], p: int, q: int) -> int:
+        """The score of piece q after piece p (-1: first of its stretch), kept in p's row."""
+        s = self.stored[q]
+        if self.merges and self.merged((self.texts[p] if p >= 0 else "") + self.texts[q]) != ([self.texts[p]] if p >= 0 else []) + [self.texts[q]]:
+            s -= JUNCTION
+        row[q] = s
+        return s
+
+    def lattice(self, text: str) -> list[list[Node]]:
+        """By position the pieces that end there, with their forward Viterbi scores."""
+        n, trie, rows = len(text), self.trie, self.rows
+        ends: list[list[Node]] = [[] for _ in range(n + 1)]
+        ends[0].append((0, self.start, -1, -1))
         for i in range(n):
-            node, j, here, single = self.trie, i, best[i], False
+            here, node, j, single = ends[i], trie, i, False
             while j < n and (found := node.get(text[j])) is not None:
                 j += 1
-                node, piece, cost = found
-                if piece >= 0:
-                    edges[j].append((i, cost, (piece,)))
+                node, q = found
+                if q >= 0:
                     single = single or j == i + 1
-                    if here + cost > best[j]:
-                        best[j] = here + cost
+                    top = LOW
+                    for f, row, _, p in here:
+                        s = f + (row[q] if q in row else self.cost(row, p, q))
+                        if s > top:
+                            top = s
+                    ends[j].append((top, rows[q], i, q))
             if not single:
-                ids = tuple(self.byte_ids[b] for b in text[i].encode())
-                s = len(ids) * self.byte_score
-                edges[i + 1].append((i, s, ids))
-                if here + s > best[i + 1]:
-                    best[i + 1] = here + s
-        return best, edges
-
-    def two_best(self, text: str) -> tuple[list[int], int, int]:
-        """(ids of the best segmentation, its score, the second best's score) by one forward pass."""
-        n, trie, byte_ids = len(text), self.trie, self.byte_ids
-        best, second, back = [LOW] * (n + 1), [LOW] * (n + 1), [None] * (n + 1)
-        best[0] = 0
-        for i in range(n):
-            node, j, here, under, single = trie, i, best[i], second[i], False
-            while j < n and (found := node.get(text[j])) is not None:
-                j += 1
-                node, piece, cost = found
-                if piece >= 0:
-                    if j == i + 1:
-                        single = True
-                    s = here + cost
-                    if s > best[j]:
-                        t = under + cost
-                        second[j] = best[j] if best[j] > t else t
-                        best[j], back[j] = s, (i, piece)
-                    elif s > second[j]:
-                        second[j] = s
-            if not single:
-                ids = [byte_ids[b] for b in text[i].encode()]
-                cost = len(ids) * self.byte_score
-                s, j = here + cost, i + 1
-                if s > best[j]:
-                    second[j] = max(best[j], under + cost)
-                    best[j], back[j] = s, (i, ids)
-                elif s > second[j]:
-                    second[j] = s
-        out, j = [], n
-        while j:
-            j, piece = back[j]
-            if piece.__class__ is list:
-                out += piece[::-1]
-            else:
-                out.append(piece)
-        return out[::-1], best[n], second[n]
-
-    def segmentations(self, text: str) -> Iterator[tuple[int, tuple[int, ...]]]:
-        """(score, ids) of all segmentations, the best first: backward A-star over the lattice."""
-        best, edges = self.lattice(text)
-        agenda = [(-best[-1], len(text), 0, 0, ())]  # among equal scores the one nearest to its end, so that ties don't pile up
+                q = self.spell(text[i])
+                ends[i + 1].append((max(f + (row[q] if q in row else self.cost(row, p, q)) for f, row, _, p in here), rows[q], i, q))
+        return ends
+
+    def segmentations(self, text: str, agenda: list) -> Iterator[tuple[int, list[int]]]:
+        """(score, ids) of all segmentations, the best first: backward A-star over the lattice. The agenda, given empty, shows the negated score of the next one at its head."""
+        ends = self.lattice(text)
+        size, push = len(self.bytes_of), heapq.heappush
         made = 0
+        for node in ends[-1]:
+            made += 1
+            push(agenda, (-node[0], node[2], made, 0, node, ()))  # among equals the one nearest to the start, so that ties don't pile up
         while agenda:
-            _, at, _, behind, path = heapq.heappop(agenda)
-            if not at:
+            _, _, _, behind, (_, _, start, q), path = heapq.heappop(agenda)
+            if start < 0:
                 ids: list[int] = []
                 while path:
-                    part, path = path
-                    ids.extend(part)
-                yield behind, tuple(ids)
+                    q, path = path
+                    if q < size:
+                        ids.append(q)
+                    else:
+                        ids.extend(self.spelled[q - size])
+                yield behind, ids
                 continue
-            for start, score, ids in edges[at]:
+            path = (q, path)
+            for node in ends[start]:
                 made += 1
-                heapq.heappush(agenda, (-(best[start] + behind + score), start, made, behind + score, (ids, path)))
+                after = behind + node[1][q]
+                push(agenda, (-(node[0] + after), node[2], made, after, node, path))
 
 
 class Encoder:
     """Encodes texts and keeps what it finds for stretches; made once a task."""
 
-    def __init__(self, pieces: Pieces, best: int = BEST):
-        self.pieces, self.best = pieces, best
+    def __init__(self, pieces: Pieces, best: int = BEST, cache_bytes: int = CACHE_BYTES):
+        self.pieces, self.best, self.room = pieces, best, cache_bytes
         self.seen: dict[str, tuple[bytes, int, int]] = {}
-        self.deep: dict[str, list[tuple[int, tuple[int, ...]]]] = {}
+        self.deep: dict[str, list[tuple[int, list[int]]]] = {}
+        self.held = 0
         self.choices = [[c for c in product(range(best), repeat=k) if math.prod(x + 1 for x in c) <= best] for k in range(best)]
 
+    def hold(self, size: int) -> None:
+        """Makes room for something of a size."""
+        if self.held + size > self.room:
+            self.seen, self.deep, self.held = {}, {}, 0
+        self.held += size
+
     def first(self, stretch: str) -> tuple[bytes, int, int]:
         """(ids of the best as packed integers, its score, what the second best costs more)."""
-        ids, score, second = self.pieces.two_best(stretch)
-        if len(self.seen) >= CACHE:
-            self.seen.clear()
-        out = self.seen[stretch] = array("i", ids).tobytes(), score, score - second if second > LOW // 2 else NEVER
+        agenda: list = []
+        score, ids = next(self.pieces.segmentations(stretch, agenda))
+        out = array("i", ids).tobytes(), score, score + agenda[0][0] if agenda else NEVER
+        self.hold(350 + 4 * len(stretch) + len(out[0]))
+        self.seen[stretch] = out
         return out
 
-    def several(self, stretch: str) -> list[tuple[int, tuple[int, ...]]]:
+    def several(self, stretch: str) -> list[tuple[int, list[int]]]:
         if (out := self.deep.get(stretch)) is None:
-            if len(self.deep) >= CACHE // 10:
-                self.deep.clear()
-            out = self.deep[stretch] = [x for x, _ in zip(self.pieces.segmentations(stretch), range(self.best), strict=False)]
+            out = [x for x, _ in zip(self.pieces.segmentations(stretch, []), range(self.best), strict=False)]
+            self.hold(500 + 4 * len(stretch) + self.best * (200 + 8 * len(out[0][1])))
+            self.deep[stretch] = out
         return out
 
-    def encode(self, text: str | None) -> tuple[np.ndarray, list[int], list[list[tuple[int, int, tuple[int, ...]]]]]:
+    def encode(self, text: str | None) -> tuple[np.ndarray, list[int], list[list[tuple[int, int, list[int]]]]]:
         """(ids of the best, scores of the N best, changes): how each of the N best differs from the best, as (place in its ids, pieces replaced, ids instead)."""
-        stretches = STRETCH.findall(" " + (text or ""))
-        seen, first = self.seen, self.first
-        found = list(map(seen.get, stretches))
+        if not text:
+            return np.zeros(0, dtype="<i4"), [0], [[]]
+        stretches = self.pieces.stretch.findall(" " + text)
+        found = list(map(self.seen.get, stretches))
         if None in found:
-            found = [f or seen.get(s) or first(s) for f, s in zip(found, stretches, strict=True)]
+            # The table may be emptied on the way, so it is looked up by its name.
+            found = [f or self.seen.get(s) or self.first(s) for f, s in zip(found, stretches, strict=True)]
         packed, scores, costs = zip(*found, strict=True)
         ids, score = np.frombuffer(b"".join(packed), dtype="<i4"), sum(scores)
-        near = np.argsort(np.fromiter(costs, dtype=np.int64, count=len(costs)), kind="stable")[: self.best - 1].tolist()
+        near = heapq.nsmallest(self.best - 1, range(len(costs)), key=costs.__getitem__)
         where = sorted(k for k in near if costs[k] < NEVER)
         lists = [self.several(stretches[k]) for k in where]
         # A choice with places c is no better than any of the (c + 1) * ... choices with places up to c.
@@ -196,8 +230,15 @@ class Encoder:
         changes = [[(starts[k], len(packed[k]) >> 2, x[c][1]) for k, x, c in zip(where, lists, choice, strict=True) if c] for _, choice in ways]
         return ids, [score - cost for cost, _ in ways], changes
 
+    def parts(self, score: int) -> tuple[float, int]:
+        """A score as the stored numbers' sum and the number of junctions that merges would not leave."""
+        if not self.pieces.merges:
+            return score / self.pieces.unit, 0
+        junctions, ranks = divmod(-score, JUNCTION)
+        return float(-ranks), junctions
+
 
-def changed(ids: list[int], change: list[tuple[int, int, tuple[int, ...]]]) -> list[int]:
+def changed(ids: list[int], change: list[tuple[int, int, list[int]]]) -> list[int]:
     """The ids of one of the N best, from the best and how it differs."""
     out, at = [], 0
     for start, n, new in change:
@@ -206,6 +247,15 @@ def changed(ids: list[int], change: list[tuple[int, int, tuple[int, ...]]]) -> l
     return out + list(ids[at:])
 
 
+def replaced(ids: np.ndarray, change: list[tuple[int, int, list[int]]]) -> np.ndarray:
+    """changed() over arrays."""
+    parts, at = [], 0
+    for start, n, new in change:
+        parts += [ids[at:start], np.asarray(new, dtype="<i4")]
+        at = start + n
+    return np.concatenate([*parts, ids[at:]])
+
+
 def decode(pieces: Pieces, ids: list[int] | np.ndarray) -> str:
     table = pieces.bytes_of
     return b"".join(map(table.__getitem__, ids)).decode("utf-8", "replace").removeprefix(" ")
@@ -244,26 +294,37 @@ CHANGES = pa.list_(pa.list_(pa.struct([("at", pa.int32()), ("n", pa.int32()), ("
 
 
 def encoded(docs: DataFrame, model: str = MODEL, best: int = BEST) -> DataFrame:
-    """docs with ids (the best segmentation), scores (of the N best, in nats) and changes (how each differs from the best), which take the place of columns of those names. The model's file, read on the driver, goes along with the function."""
-    docs = docs.drop("ids", "scores", "changes")
+    """docs with ids (the best segmentation), scores (of the N best: sums of the stored numbers), junctions (of the N best: those
+    that merges would not leave) and changes (how each differs from the best), which take the place of columns of those names.
+    The model's file, read on the driver, goes along with the function."""
+    docs = docs.drop("ids", "scores", "junctions", "changes")
     data, place = read_model(model), docs.columns.index("text")
 
     def make() -> Callable[[pa.RecordBatch], dict]:
         e = encoder(data, best)
 
         def f(batch: pa.RecordBatch) -> dict:
-            ids, scores, changes = [], [], []
+            ids, scores, junctions, changes = [], [], [], []
             for t in batch.column(place).to_pylist():
                 i, s, c = e.encode(t)
                 ids.append(i)
-                scores.append([x / 1e6 for x in s])
+                parts = [e.parts(x) for x in s]
+                scores.append([x for x, _ in parts])
+                junctions.append([x for _, x in parts])
                 changes.append([[{"at": a, "n": n, "ids": new} for a, n, new in way] for way in c])
-            return dict(zip(batch.schema.names, batch.columns, strict=True)) | {"ids": pa.array(ids, type=pa.list_(pa.int32())), "scores": pa.array(scores, type=pa.list_(pa.float64())), "changes": pa.array(changes, type=CHANGES)}
+            new = {
+                "ids": pa.array(ids, type=pa.list_(pa.int32())),
+                "scores": pa.array(scores, type=pa.list_(pa.float64())),
+                "junctions": pa.array(junctions, type=pa.list_(pa.int32())),
+                "changes": pa.array(changes, type=CHANGES),
+            }
+            return dict(zip(batch.schema.names, batch.columns, strict=True)) | new
 
         return f
 
     fields = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes)
-    return map_rows(docs, make, f"{fields}, ids array<int>, scores array<double>, changes array<array<struct<at:int,n:int,ids:array<int>>>>")
+    changes = "array<array<struct<at:int,n:int,ids:array<int>>>>"
+    return map_rows(docs, make, f"{fields}, ids array<int>, scores array<double>, junctions array<int>, changes {changes}")
 
 
 def decoded(encodings: DataFrame, model: str = MODEL) -> DataFrame:
@@ -277,26 +338,35 @@ def decoded(encodings: DataFrame, model: str = MODEL) -> DataFrame:
     return map_rows(encodings.select("doc_id", "ids"), make, "doc_id long, text string")
 
 
+def digest(ids: np.ndarray) -> str:
+    return hashlib.sha256(ids.astype("<i4").tobytes()).hexdigest()
+
+
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row a document: the number of its pieces, scores and junctions of the best and the second best, and digests of the
+    best's ids (32 bits each, little-endian), of all N best (the hex digests of their ids, comma-joined) and of the decoded text."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     data = read_model(MODEL)
+    schema = "doc_id long, n_pieces long, n_best long, score double, second_score double, second_junctions long, ids_sha256 string, n_best_sha256 string, decoded_sha256 string, exact boolean"
+    names = [c.split()[0] for c in schema.split(", ")][1:]
 
     def make() -> Callable[[pa.RecordBatch], dict]:
         p = loaded(data)
 
+        def row(text: str | None, ids: np.ndarray, scores: list[float], junctions: list[int], changes: list) -> tuple:
+            back = decode(p, ids.tolist())
+            best = digest(ids)
+            ways = [best, *(digest(replaced(ids, [(x["at"], x["n"], x["ids"]) for x in way])) for way in changes[1:])]
+            second = (scores[1], junctions[1]) if len(scores) > 1 else (None, None)
+            return len(ids), len(scores), scores[0], *second, best, hashlib.sha256(",".join(ways).encode()).hexdigest(), hashlib.sha256(back.encode()).hexdigest(), back == (text or "")
+
         def f(batch: pa.RecordBatch) -> dict:
-            out: dict[str, list] = {k: [] for k in ("n_pieces", "n_best", "score", "second_score", "ids_sha256", "n_best_sha256", "decoded_sha256", "exact")}
-            texts, lists, scores, changes = (batch.column(i) for i in (1, 2, 3, 4))
+            texts, lists, *rest = (batch.column(i) for i in (1, 2, 3, 4, 5))
             flat, ends = lists.flatten().to_numpy(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
-            for k, (text, s, c) in enumerate(zip(texts.to_pylist(), scores.to_pylist(), changes.to_pylist(), strict=True)):
-                ids = flat[ends[k] : ends[k + 1]]
-                back = decode(p, ids.tolist())
-                digest = hashlib.sha256(ids.astype("<i4").tobytes()).hexdigest()
-                ways = hashlib.sha256((digest + repr([[(x["at"], x["n"], x["ids"]) for x in way] for way in c])).encode()).hexdigest()
-                for key, v in zip(out, (len(ids), len(s), s[0], s[1] if len(s) > 1 else None, digest, ways, hashlib.sha256(back.encode()).hexdigest(), back == (text or "")), strict=True):
-                    out[key].append(v)
-            return {"doc_id": batch.column(0)} | {k: pa.array(v, type=pa.float64() if k.endswith("score") else None) for k, v in out.items()}
+            rows = [row(t, flat[ends[k] : ends[k + 1]], *x) for k, (t, *x) in enumerate(zip(texts.to_pylist(), *(c.to_pylist() for c in rest), strict=True))]
+            columns = zip(names, zip(*rows, strict=True), strict=True)
+            return {"doc_id": batch.column(0)} | {k: pa.array(v, type=pa.float64() if k.endswith("score") else pa.int64() if k[:2] == "n_" and "sha" not in k or k == "second_junctions" else None) for k, v in columns}
 
         return f
 
-    return map_rows(encoded(docs), make, "doc_id long, n_pieces long, n_best long, score double, second_score double, ids_sha256 string, n_best_sha256 string, decoded_sha256 string, exact boolean")
+    return map_rows(encoded(docs), make, schema)
