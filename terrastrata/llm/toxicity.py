@@ -2,23 +2,28 @@
 
 Fit, on labelled rows alone (at most FIT_ROWS, chosen by a hash of doc_id; the bound is a parameter):
   1. Terms are words, stems (word*: anything that begins so) and stems of two different words of a text (word**). Those of
-     toxic texts are counted, then the same ones among clean texts. Near copies share a text's smallest word-pair hash and
-     weigh one together, so that a group of copies doesn't make its rare words look toxic.
-  2. Terms that are clearly commoner in toxic texts are taken greedily while they explain toxic texts that earlier terms
-     don't explain COVER times.
+     toxic texts are counted, then the same ones among clean texts. Near copies share a text's smallest word-pair hash; n of
+     them weigh the root of n together, so that a few copies don't make their rare words look toxic.
+  2. Terms that are commoner in toxic texts, by a test at a level of LEVEL for all terms together, are taken greedily while
+     they explain toxic texts that earlier terms don't explain COVER times. Whole words of a taken stem stay in the trie.
   3. A logistic regression on the features below.
 Score, for any text: each distinct word runs through the intersection of its Levenshtein automaton with the lexicon's trie
-(distance 0, or 1 for words of LONG letters and more, unless the word is common in clean texts; stems match exactly). Hits are
-weighed by a window of WINDOW words around them: between quotation marks, or next to words of reporting, a hit counts as
-quoted. Features: plain hits by term, misspelled and quoted hits, hits that stand together, hits by length. Labels, lang,
-source and doc_id are never inputs of a score.
+(distance 0, or 1 for words of LONG letters and more, unless the word is common in clean texts; stems match exactly). A sign
+or digit between letters belongs to a word. Hits are weighed by a window of WINDOW words around them: inside a pair of
+quotation marks that open and close within it, or next to words of reporting, a hit counts as quoted. Features: plain hits
+by term, misspelled and quoted hits, hits that stand together, hits by length. Labels, lang, source and doc_id are never
+inputs of a score.
 
 Null and empty texts score as texts without hits. Without labelled rows of both kinds every score is the share of toxic
-labels (0 if there are none). Equal texts score alike; an empty table gives an empty result; other columns are ignored.
+labels (0 if there are none). Ties: of terms that explain as much, words come before stems, longer before shorter, then the
+last by letters; of terms as near to a word, the first by letters. Rows with equal texts score alike, and each labelled row
+counts (a doc_id labelled twice has its highest label). An empty table gives an empty result; other columns are ignored, or
+pass through where docs are returned. Very long texts are read whole, in time in proportion to their length.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
 import re
 from collections import defaultdict
@@ -36,12 +41,13 @@ from .common import cut, map_rows
 FIT_ROWS = 20_000
 LONG, WINDOW = 5, 8
 SHORT, LONGEST = 4, 9  # letters of a stem
-RATIO = 4.0  # how much commoner a term is in toxic texts
+RATIO = 4.0  # how much commoner a term is in toxic texts, at least
+LEVEL = 0.01
 COVER = 4
-MOST_TERMS, MOST_CHOSEN = 20_000, 100  # candidates that come to the driver, the commonest in toxic texts; terms that are taken
-CACHE = 250_000
-WORD = re.compile(r"[^\W\d_]+(?:[*@$!][^\W\d_]+)*")
-QUOTES = re.compile(r"[\"“”„«»]")
+CACHE_BYTES = 64 << 20  # what a worker keeps of stretches seen, by estimate
+WORD = re.compile(r"[^\W\d_]+(?:[*@$!0-9][^\W\d_]+)*")
+#: A pair of quotation marks within a line; a mark after a letter or digit doesn't open, one before them doesn't close.
+QUOTED = re.compile(r"(?<!\w)(?:\"[^\"\n]+\"|“[^“”\n]+”|„[^„“”\n]+[“”]|«[^«»\n]+»)(?!\w)")
 # Words of reporting, in the languages of the corpus. Fixed values.
 REPORTING = frozenset("said says wrote called quoted quote citation dijo escribió sagte schrieb dit écrit".split())
 
@@ -90,6 +96,7 @@ class Model:
     common: frozenset[str]  # clean words, none of which is a term misspelled
     weights: tuple[float, ...]
     prior: float
+    spellings: tuple[str, ...] = ()  # whole words of taken stems, for the automata alone
 
 
 class Scorer:
@@ -98,12 +105,14 @@ class Scorer:
     def __init__(self, model: Model):
         self.model = model
         self.place = {t: i for i, t in enumerate(model.terms)}
-        words = [t for t in model.terms if not t.endswith("*")]
+        words = [*(t for t in model.terms if not t.endswith("*")), *model.spellings]
         self.trie = Trie(words)
-        self.stems = tuple({t.rstrip("*") for t in model.terms if t.endswith("*")})
+        self.stems = frozenset(t.rstrip("*") for t in model.terms if t.endswith("*"))
+        self.stem_sizes = sorted({len(t) for t in self.stems})
         self.starts = {t[:SHORT] for t in self.stems}
         self.seen: set[str] = set()  # stretches between white space that were looked at
         self.hits: set[str] = set()  # those of them with a hit
+        self.held = 0
         self.kinds: dict[str, tuple[bool, tuple[str, ...]] | None] = {}
         self.lengths = {n + d for n in map(len, words) for d in (-1, 0, 1)}
         # One letter's difference leaves a term's first or its last two letters as they are.
@@ -117,7 +126,7 @@ class Scorer:
             return None
         if low not in self.kinds:
             found = self.trie.within(low, 1 if len(low) >= LONG and low not in self.model.common else 0) if like else None
-            stems = tuple(s for s in self.stems if len(low) > len(s) and low.startswith(s))
+            stems = tuple(low[:n] for n in self.stem_sizes if n < len(low) and low[:n] in self.stems)
             self.kinds[low] = (bool(found and found[1] and not stems), ((found[0],) if found else ()) + stems) if found or stems else None
         return self.kinds[low]
 
@@ -127,16 +136,15 @@ class Scorer:
     def features(self, text: str | None) -> list[float]:
         text, n = text or "", len(self.model.terms)
         stretches = set(text.split())
-        if len(self.seen) > CACHE:
-            self.seen.clear()
-            self.hits.clear()
-            self.kinds.clear()
+        if self.held > CACHE_BYTES:
+            self.seen, self.hits, self.kinds, self.held = set(), set(), {}, 0
         new = stretches - self.seen
         self.seen |= new
+        self.held += sum(map(len, new)) + 100 * len(new)
         self.hits.update(filter(self.hit, new))
         if self.hits.isdisjoint(stretches):
             return [0.0] * (n + 4)
-        marks = [m.start() for m in QUOTES.finditer(text)]
+        quoted = [m.span() for m in QUOTED.finditer(text)]
         places = [(m.start(), m[0]) for m in WORD.finditer(text)]
         low = [x.lower() for _, x in places]
         count, of_stem = [0] * (n + 4), defaultdict(set)
@@ -144,9 +152,12 @@ class Scorer:
         for i, (start, w) in enumerate(places):
             if not (kind := self.kind(w)):
                 continue
-            while at < len(marks) and marks[at] < start:
+            while at < len(quoted) and quoted[at][1] <= start:
                 at += 1
-            if at % 2 == 1 and at < len(marks) or any(x in REPORTING for x in low[max(0, i - WINDOW) : i + WINDOW]):
+            # Both marks of the pair stand within the window.
+            first, after = places[max(0, i - WINDOW)][0], places[i + WINDOW][0] if i + WINDOW < len(places) else len(text)
+            inside = at < len(quoted) and quoted[at][0] < start and (quoted[at][0] >= first or i < WINDOW) and quoted[at][1] <= after
+            if inside or any(x in REPORTING for x in low[max(0, i - WINDOW) : i + WINDOW]):
                 count[n + 1] += 1
             elif kind[0]:
                 count[n] += 1
@@ -189,7 +200,7 @@ def logistic(x: np.ndarray, y: np.ndarray, times: np.ndarray, ridge: float = 0.3
 def tokens(text: str | None) -> set[str]:
     """The candidate terms of a text: its words, their stems (stem*), and the stems of several of them (stem**)."""
     words = {w.lower() for w in WORD.findall(text or "")}
-    out, stems = {w for w in words if len(w) <= 40}, set()
+    out, stems = set(words), set()
     for w in words:
         for n in range(SHORT, min(LONGEST, len(w) - 1) + 1):
             stem = w[:n] + "*"
@@ -199,26 +210,47 @@ def tokens(text: str | None) -> set[str]:
     return out | stems
 
 
-def chosen(docs: list[tuple[float, list[str]]], ratio: dict[str, float], toxic: float) -> list[str]:
-    """Terms taken greedily by the weight of the toxic texts (weight, candidate terms in it) that they explain and by how much commoner they are there."""
+def chance(a: float, b: float, toxic: float, clean: float) -> float:
+    """How likely a term that says nothing is at least as common among toxic texts: a of its a + b texts (weighed) are toxic. An upper bound (Chernoff's)."""
+    n, share = a + b, toxic / (toxic + clean)
+    if n == 0 or a / n <= share:
+        return 1.0
+    x = a / n
+    apart = x * math.log(x / share) + ((1 - x) * math.log((1 - x) / (1 - share)) if x < 1 else 0.0)
+    return math.exp(-n * apart)
+
+
+def chosen(docs: list[tuple[float, list[str]]], ratio: dict[str, float], least: float) -> list[str]:
+    """Terms taken greedily by the weight of the toxic texts (weight, candidate terms in it) that they explain and by how much commoner they are there, while they explain a weight of least."""
     by_term: dict[str, list[int]] = defaultdict(list)
     for i, (_, terms) in enumerate(docs):
         for t in terms:
             by_term[t].append(i)
-    need, out = [COVER] * len(docs), []
-    while by_term and len(out) < MOST_CHOSEN:
-        gain = {t: sum(docs[i][0] for i in where if need[i]) for t, where in by_term.items()}
-        worth = {t: g * min(math.log(ratio[t]), 6.0) for t, g in gain.items() if g >= max(1.5, 0.02 * toxic)}
-        if not worth:
-            break
-        # Of equals a word before a stem, a longer one before a shorter.
-        t = max(worth, key=lambda t: (round(worth[t], 6), not t.endswith("*"), len(t), t))
+    need, out, gone = [COVER] * len(docs), [], set()
+
+    def rank(t: str) -> tuple:
+        """Of equals a word before a stem, a longer one before a shorter, the last by letters; the heap has the least first."""
+        g = sum(docs[i][0] for i in by_term[t] if need[i])
+        return -round(g * math.log(ratio[t]), 6) if g >= least else 0.0, t.endswith("*"), -len(t), [-ord(c) for c in t], t
+
+    agenda = [rank(t) for t in by_term]
+    heapq.heapify(agenda)
+    while agenda:
+        *_, t = heapq.heappop(agenda)
+        # What is part of a taken term, or holds it, explains nothing more.
+        if t in gone or any(t.rstrip("*").startswith(x) for x in gone) or t.endswith("*") and any(x.startswith(t.rstrip("*")) for x in gone):
+            continue
+        # What a term explains only falls, so one that is still the best by its new rank is the best of all.
+        now = rank(t)
+        if now[0] == 0.0:
+            continue
+        if agenda and now > agenda[0]:
+            heapq.heappush(agenda, now)
+            continue
         out.append(t)
-        for i in by_term.pop(t):
+        gone.add(t.rstrip("*"))
+        for i in by_term[t]:
             need[i] = max(0, need[i] - 1)
-        # What is part of a taken term, or holds it, explains nothing more.
-        bare = t.rstrip("*")
-        by_term = {x: w for x, w in by_term.items() if not (x.startswith(bare) or x.endswith("*") and bare.startswith(x.rstrip("*")))}
     return sorted(out)
 
 
@@ -245,8 +277,9 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = FIT_ROWS) -> Model:
         return {"toxic": batch.column(2), "copies": pa.array(out, type=pa.int64()), "text": batch.column(1)}
 
     rows = cut(map_rows(texts, lambda: copies, "toxic int, copies long, text string"))
-    group = rows.groupBy("copies", "toxic").agg((1 / F.count(F.lit(1))).alias("weight"))
-    weighed = cut(rows.join(group, ["copies", "toxic"]).select("toxic", "weight", "text"))
+    # At most most_rows groups of 20 bytes, so they may be broadcast and no text is shuffled.
+    group = rows.groupBy("copies", "toxic").agg((1 / F.sqrt(F.count(F.lit(1)).cast("double"))).alias("weight"))
+    weighed = cut(rows.join(F.broadcast(group), ["copies", "toxic"]).select("toxic", "weight", "text"))
     total = {r.toxic: r.w for r in weighed.groupBy("toxic").agg(F.sum("weight").alias("w")).collect()}
     toxic, clean = total.get(1, 0.0), total.get(0, 0.0)
     if not toxic or not clean:
@@ -255,9 +288,12 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = FIT_ROWS) -> Model:
     def of_toxic(batch: pa.RecordBatch) -> dict:
         return {"weight": batch.column(1), "terms": pa.array([sorted(tokens(t)) for t in batch.column(2).to_pylist()], type=pa.list_(pa.string()))}
 
+    # Fewer toxic texts than least can't be told from chance, even if no clean text has the term.
     held = map_rows(weighed.where("toxic = 1"), lambda: of_toxic, "weight double, terms array<string>")
-    frequent = held.select("weight", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("weight").alias("a")).where(F.col("a") >= max(1.5, 0.02 * toxic))
-    first = {r.term: r.a for r in frequent.orderBy(F.desc("a"), "term").limit(MOST_TERMS).collect()}
+    counted = cut(held.select("weight", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("weight").alias("a")))
+    level = LEVEL / max(1, counted.count())
+    least = math.log(1 / level) / math.log(1 + clean / toxic)
+    first = {r.term: r.a for r in counted.where(F.col("a") >= least).collect()}
 
     def among(names: dict[str, float]) -> Callable[[], Callable[[pa.RecordBatch], dict]]:
         def f(batch: pa.RecordBatch) -> dict:
@@ -268,13 +304,15 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = FIT_ROWS) -> Model:
     in_clean = map_rows(weighed.where("toxic = 0"), among(first), "toxic int, weight double, terms array<string>")
     second = {r.term: r.b for r in in_clean.select("weight", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("weight").alias("b")).collect()}
     ratio = {t: (a + 0.1) / (toxic + 0.2) / ((second.get(t, 0.0) + 0.1) / (clean + 0.2)) for t, a in first.items()}
-    ratio = {t: r for t, r in ratio.items() if r >= RATIO}
+    ratio = {t: r for t, r in ratio.items() if r >= RATIO and chance(first[t], second.get(t, 0.0), toxic, clean) <= level}
     texts_of = [(r.weight, r.terms) for r in map_rows(weighed.where("toxic = 1"), among(ratio), "toxic int, weight double, terms array<string>").where(F.size("terms") > 0).collect()]
-    terms = chosen(sorted(texts_of), ratio, toxic)
+    terms = chosen(sorted(texts_of), ratio, least)
+    stems = tuple(t.rstrip("*") for t in terms if t.endswith("*"))
+    spellings = tuple(sorted(t for t in ratio if not t.endswith("*") and t not in terms and t.startswith(stems))) if stems else ()
 
     # Clean words a letter away from a term are no misspellings of it.
-    near = map_words(weighed.where("toxic = 0"), terms).groupBy("word").agg(F.count(F.lit(1)).alias("n")).where("n >= 3")
-    model = Model(tuple(terms), frozenset(r.word for r in near.collect()), (), toxic / (toxic + clean))
+    near = map_words(weighed.where("toxic = 0"), terms, spellings).groupBy("word").agg(F.count(F.lit(1)).alias("n")).where("n >= 3")
+    model = Model(tuple(terms), frozenset(r.word for r in near.collect()), (), toxic / (toxic + clean), spellings)
 
     def measured() -> Callable[[pa.RecordBatch], dict]:
         scorer = Scorer(model)
@@ -283,14 +321,14 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = FIT_ROWS) -> Model:
     # Rows with equal features count together; most have none.
     table = map_rows(weighed, measured, "toxic int, x array<double>").groupBy("toxic", "x").agg(F.count(F.lit(1)).alias("n")).orderBy("toxic", "x").collect()
     x, y, k = np.array([r.x for r in table]), np.array([float(r.toxic) for r in table]), np.array([float(r.n) for r in table])
-    return Model(model.terms, model.common, tuple(map(float, logistic(x, y, k))), model.prior)
+    return Model(model.terms, model.common, tuple(map(float, logistic(x, y, k))), model.prior, spellings)
 
 
-def map_words(texts: DataFrame, terms: list[str]) -> DataFrame:
+def map_words(texts: DataFrame, terms: list[str], spellings: tuple[str, ...]) -> DataFrame:
     """The words of each text (third column), once a text, that are a letter away from a term."""
 
     def make() -> Callable[[pa.RecordBatch], dict]:
-        scorer = Scorer(Model(tuple(terms), frozenset(), (), 0.0))
+        scorer = Scorer(Model(tuple(terms), frozenset(), (), 0.0, spellings))
 
         def f(batch: pa.RecordBatch) -> dict:
             out = []

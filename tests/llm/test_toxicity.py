@@ -1,3 +1,4 @@
+import math
 import random
 import zlib
 
@@ -70,7 +71,62 @@ def test_quotation_counts_apart():
 def test_stems_are_learned():
     assert T.tokens("Abcdef abcdxy") >= {"abcdef", "abcd*", "abcd**", "abcde*"} and "abcde**" not in T.tokens("Abcdef abcdxy")
     docs = [(1.0, ["mean", "vile*", "viles*"])] * 5 + [(1.0, ["vile*"])] * 5
-    assert T.chosen(docs, {"mean": 50.0, "vile*": 50.0, "viles*": 50.0}, 10.0) == ["mean", "vile*"]
+    assert T.chosen(docs, {"mean": 50.0, "vile*": 50.0, "viles*": 50.0}, 1.5) == ["mean", "vile*"]
+    many = [(1.0, [f"{w}a" for w in map(str, range(k, k + 3))]) for k in range(300)]
+    assert len(T.chosen(many, {f"{k}a": 9.0 for k in range(302)}, 1.0)) > 200
+
+
+def test_chance_bounds_the_binomial_tail():
+    for n in (1, 5, 20):
+        for k in range(n + 1):
+            tail = sum(math.comb(n, x) * 0.2**x * 0.8 ** (n - x) for x in range(k, n + 1))
+            assert tail <= T.chance(k, n - k, 20.0, 80.0) + 1e-12
+
+
+def test_quotation_needs_a_pair_within_the_window():
+    s = T.Scorer(T.Model(("scoundrel",), frozenset(), (-1.0, 3.0, 2.0, 0.0, 0.0, 0.0), 0.1))
+    plain = s.features("you are a scoundrel here")
+    assert s.features('12" you are a scoundrel here, 3" wide')[0] == plain[0] > 0
+    assert s.features('he: "you scoundrel" there')[:3] == [0.0, 0.0, math.log1p(1)]
+    assert s.features('"a long speech of many words goes on and on before a scoundrel comes in it and it never ends here"')[0] > 0
+    assert s.features('"one" scoundrel "two"')[0] > 0 and s.features('"open\nscoundrel" next')[0] > 0
+
+
+def test_digits_between_letters_and_words_of_stems():
+    s = T.Scorer(T.Model(("scoundrel", "vile*"), frozenset(), (0.0,) * 7, 0.1, ("vileness",)))
+    assert s.features("scoundr3l")[2] > 0 == s.features("scoundr33l")[2]
+    assert s.features("vilfness")[2] > 0 and s.features("vileness")[1] > 0 == s.features("vileness")[2]
+
+
+def test_rare_long_and_copied_terms_are_learned(spark, docs_of):
+    """No cap on the lexicon: a hundred and more insults, one of 45 letters, and one that only a group of copies holds."""
+    r = random.Random(4)
+    word = lambda n: "".join(r.choice("abcdefghilmnoprstu") for _ in range(n))
+    words, insults = [word(r.randint(2, 8)) for _ in range(300)], [word(9) for _ in range(110)] + ["x" + word(44)]
+    texts, toxic = [], []
+    for i in range(9500):
+        t = [r.choice(words) for _ in range(30)]
+        if i % 5 == 0:
+            t[r.randrange(30)] = insults[i // 5 % len(insults)]
+        texts.append(" ".join(t))
+        toxic.append(int(i % 5 == 0))
+    copied = " ".join([*(r.choice(words) for _ in range(20)), "copiedinsult", *(r.choice(words) for _ in range(20))])
+    texts += [copied] * 900
+    toxic += [1] * 900
+    labels = spark.createDataFrame(list(enumerate(toxic)), "doc_id long, toxic int")
+    model = T.fit(docs_of(texts), labels)
+    scorer = T.Scorer(model)
+    found = [w for w in insults if scorer.score(f"some {w} here") >= 0.5]
+    assert len(model.terms) > 100 and len(found) >= 0.95 * len(insults) and insults[-1] in found, (len(model.terms), len(found))
+    assert scorer.score(copied) >= 0.5 > scorer.score("plain text here")
+
+
+def test_repeated_rows_and_clashing_columns(spark, docs_of):
+    docs = docs_of(["you scoundrel", "you scoundrel", None], ids=[1, 1, None]).withColumnRenamed("fp", "score")
+    model = T.Model(("scoundrel",), frozenset(), (-1.0, 3.0, 2.0, 0.0, 0.0, 0.0), 0.1)
+    got = T.scored(docs, model)
+    assert got.columns == [*(c for c in docs.columns if c != "score"), "score", "predicted"]
+    assert sorted((x.doc_id or 0, x.predicted) for x in got.collect()) == [(0, 0), (1, 1), (1, 1)]
 
 
 def test_no_labels_and_no_rows(spark, docs_of, saved):
