@@ -7,11 +7,14 @@ trigram scan every text. Posting lists are as long as a block at most, however c
 
 Spans count code points, end exclusive; matches of a kind are leftmost and don't overlap, and a match whose measured group
 is too short is dropped without another try. A null text is empty. Rows with equal or null doc_ids are each scanned and
-returned. An empty table gives an empty result; extra columns are ignored.
+returned (they share a key, so a rule that one of them is a candidate of is tried on all). Matches that start together are in
+the order of the rules. An empty table gives an empty result. Other columns pass through; one named found is replaced. Very
+long texts are scanned whole, the index by one pass for all trigrams, in time in proportion to their length.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,7 +24,8 @@ from . import trigrams
 from .common import cut
 
 BLOCK_DOCS = 512
-MOST_BROADCAST = 500_000  # candidates, of 16 bytes each
+MOST_BROADCAST = 500_000  # candidates, of 16 bytes each; more are joined by a shuffle
+KEY, MARKS = "__scan_key", "__scan_rules"  # while a scan runs
 
 
 @dataclass(frozen=True)
@@ -48,20 +52,31 @@ def key() -> Column:
     return F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
 
 
+def alternation(terms: list[str]) -> str:
+    """An expression that finds, at each place of a text where one of the terms (trigrams) starts, that term as group 1: one pass for all."""
+    by: dict[str, dict[str, list[str]]] = {}
+    for t in terms:
+        by.setdefault(t[0], {}).setdefault(t[1], []).append(t[2])
+    one_of = lambda cs: "[" + "".join(map(re.escape, sorted(set(cs)))) + "]"
+    tree = "|".join(re.escape(x) + "(?:" + "|".join(re.escape(y) + one_of(zs) for y, zs in sorted(ys.items())) + ")" for x, ys in sorted(by.items()))
+    # Most places fail at the first class, most others at the second.
+    return f"(?={''.join(one_of(t[k] for t in terms) for k in range(3))})(?=({tree}))"
+
+
 def index(docs: DataFrame, terms: list[str], blocks: int) -> DataFrame:
     """(block, trigram, postings): the sorted keys of a block's documents that hold the trigram in lower case."""
-    low = docs.select(key().alias("key"), F.lower(F.coalesce("text", F.lit(""))).alias("low"))
-    held = F.array_compact(F.array(*(F.when(F.contains("low", F.lit(t)), F.lit(i)) for i, t in enumerate(terms))))
-    rows = low.select("key", held.alias("held")).select("key", F.explode("held").alias("trigram"))
+    low = F.lower(F.coalesce("text", F.lit("")))
+    held = F.array_distinct(F.regexp_extract_all(low, F.lit(alternation(terms)), F.lit(1)))
+    rows = docs.select(key().alias("key"), held.alias("held")).select("key", F.explode("held").alias("trigram"))
     return rows.groupBy(F.pmod(F.xxhash64("key"), F.lit(blocks)).alias("block"), "trigram").agg(F.sort_array(F.collect_set("key")).alias("postings"))
 
 
-def candidates(postings: DataFrame, queries: dict[int, list[list[int]]]) -> DataFrame:
+def candidates(postings: DataFrame, queries: dict[int, list[list[str]]]) -> DataFrame:
     """(key, rules): a bit mask of the rules whose query the document meets."""
     of = postings.groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("trigram", "postings"))).alias("lists"))
     none = F.array().cast("array<bigint>")
 
-    def conjunction(terms: list[int]) -> Column:
+    def conjunction(terms: list[str]) -> Column:
         lists = [F.coalesce(F.element_at("lists", F.lit(t)), none) for t in terms]
         out = lists[0]
         for x in lists[1:]:
@@ -103,12 +118,17 @@ def scan(docs: DataFrame, rules: list[Rule] = RULES, block_docs: int = BLOCK_DOC
     """docs with found, array<struct<start, order, end>> sorted by start and order: order is the rule's place in rules."""
     queries = {i: trigrams.query(r.pattern) for i, r in enumerate(rules)}
     terms = sorted({t for q in queries.values() if q for c in q for t in c})
-    at = {t: i for i, t in enumerate(terms)}
+    docs = docs.drop("found")
     blocks = max(1, docs.count() // block_docs)
-    some = cut(candidates(index(docs, terms, blocks), {r: [[at[t] for t in c] for c in q] for r, q in queries.items() if q}))
-    few = some.count() <= MOST_BROADCAST
-    joined = docs.withColumn("scan_key", key()).join((F.broadcast(some) if few else some).select(F.col("key").alias("scan_key"), "rules"), "scan_key", "left")
-    text, mask = F.coalesce("text", F.lit("")), F.coalesce("rules", F.lit(0))
+    joined = docs.withColumn(KEY, key())
+    if terms:
+        some = cut(candidates(index(docs, terms, blocks), {r: q for r, q in queries.items() if q}))
+        few = some.count() <= MOST_BROADCAST
+        marks = some.select(F.col("key").alias(KEY), F.col("rules").alias(MARKS))
+        joined = joined.join(F.broadcast(marks) if few else marks, KEY, "left")
+    else:
+        joined = joined.withColumn(MARKS, F.lit(0))
+    text, mask = F.coalesce("text", F.lit("")), F.coalesce(MARKS, F.lit(0))
     none = F.array().cast("array<struct<start:int,order:int,end:int>>")
 
     def holds(i: int, r: Rule) -> Column:
@@ -118,7 +138,7 @@ def scan(docs: DataFrame, rules: list[Rule] = RULES, block_docs: int = BLOCK_DOC
         return text.rlike(f"{r.pattern.removesuffix('+')}{{{r.least}}}") if r.pattern.endswith("]+") and not r.group else F.lit(True)
 
     found = F.sort_array(F.concat(*(F.when(holds(i, r), spans_of(text, r, i)).otherwise(none) for i, r in enumerate(rules))))
-    return joined.withColumn("found", found).drop("scan_key", "rules")
+    return joined.withColumn("found", found).drop(KEY, MARKS)
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

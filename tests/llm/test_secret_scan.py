@@ -51,3 +51,16 @@ def test_trigram_queries():
                 if t and re.search(rule.pattern, t, re.A):
                     assert any(all(g in t.lower() for g in c) for c in clauses)
     assert r
+
+
+def test_clashing_columns_and_rules_without_trigrams(spark, docs_of):
+    ts = ["token=abcdefgh", "deadbeef" * 4, None]
+    docs = docs_of(ts)
+    for name in ("rules", "key", "trigram", "block", "postings", "lists"):
+        docs = docs.withColumn(name, docs.fp)
+    docs = docs.withColumn("found", docs.doc_id)
+    got = S.scan(docs)
+    assert got.columns == [*(c for c in docs.columns if c != "found"), "found"]
+    assert {x.doc_id: [(s.order, s.start, s.end) for s in x.found] for x in got.collect()} == {0: [(0, 0, 14)], 1: [(2, 0, 32)], 2: []}
+    only = S.scan(docs, [S.Rule("hex", r"[0-9a-f]+", 0, 32)])
+    assert sorted(len(x.found) for x in only.collect()) == [0, 0, 1]
