@@ -31,18 +31,21 @@ import re
 from array import array
 from collections.abc import Callable, Iterator
 from itertools import product
+from operator import getitem, lt
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import map_rows
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BEST = 4
-CACHE_BYTES = 256 << 20  # what a worker keeps of stretches seen, by a generous estimate of their size
-LOW, NEVER = -(1 << 200), 1 << 199
-JUNCTION = 1 << 56  # what a junction that merges would not leave costs: more than the stored numbers of any text add up to
+CACHE_BYTES = 256 << 20  # what a worker keeps of stretches seen, and again of those seen before them, by a generous estimate of their size
+HEADS, MOST_HEADS = (4, 6), 100_000  # lengths of the beginnings of stretches whose pieces are kept, and how many of them
+LOW, NEVER = -(1 << 200), 1 << 62
+JUNCTION = 1 << 52  # what a junction that merges would not leave costs: more than the stored numbers of a text add up to (those of pieces for runs of spaces are 1e9, so of four million of them at most)
 
 #: Rules to cut texts by, the finest first: a pattern of the stretches, and what no piece may hold for it to be used.
 #: Words with the spaces before them, and marks with what follows (a letter, superscript two being none, and then something
@@ -70,7 +73,7 @@ class Pieces:
         self.unit = 1.0 if self.merges else 1e6
         self.bytes_of = [b""] * size
         self.byte_ids = [0] * 256
-        self.trie: dict[str, list] = {}  # by character: what may follow, the piece that ends here (or -1)
+        self.trie: dict[str, list] = {}  # of the pieces read backwards, by character: what may precede, the piece that starts here (or -1)
         self.texts: list[str] = [""] * size
         self.stored = [round(self.unit * m.get_score(i)) for i in range(size)]
         #: A character that goes as bytes: nothing among ranks, and what the model's own encoder takes among log probabilities.
@@ -85,9 +88,12 @@ class Pieces:
             self.rank[text] = self.stored[i]
             self.bytes_of[i] = text.encode()
             node = self.trie
-            for c in text[:-1]:
+            for c in text[:0:-1]:
                 node = node.setdefault(c, [{}, -1])[0]
-            node.setdefault(text[-1], [{}, -1])[1] = i
+            node.setdefault(text[0], [{}, -1])[1] = i
+        self.letters = np.frombuffer(b"".join(self.bytes_of), dtype=np.uint8)  # of all pieces, one after the other
+        self.letters_of = np.array(list(map(len, self.bytes_of)))
+        self.letters_at = np.cumsum(self.letters_of) - self.letters_of
         self.stretch = next(rule for rule, held in CUTS if not any(held.search(t) for t in self.rank))
         #: Characters without a piece, numbered after the pieces: their ids.
         self.spelled: list[tuple[int, ...]] = []
@@ -95,6 +101,8 @@ class Pieces:
         #: By piece, what each next one costs, filled as pairs are met; the last row is a stretch's start.
         self.rows: list[dict[int, int]] = [{} for _ in range(size)]
         self.start: dict[int, int] = {}
+        self.made: dict[int, bool] = {}
+        self.heads: dict[str, list[list[Node]]] = {}
 
     def spell(self, c: str) -> int:
         """The number of a character that goes as bytes."""
@@ -109,46 +117,73 @@ class Pieces:
 
     def merged(self, text: str) -> list[str]:
         """What the merges make of a text: the pair with the highest stored number merges first, the leftmost of equals."""
-        parts, rank = list(text), self.rank
-        while True:
-            best, at = None, -1
-            for k in range(len(parts) - 1):
-                r = rank.get(parts[k] + parts[k + 1])
-                if r is not None and (best is None or r > best):
-                    best, at = r, k
-            if best is None:
-                return parts
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        parts, rank = list(text), self.rank.get
+        pairs = [rank(a + b, LOW) for a, b in zip(parts, parts[1:], strict=False)]
+        while pairs and (best := max(pairs)) > LOW:
+            k = pairs.index(best)
+            parts[k : k + 2] = [parts[k] + parts[k + 1]]
+            del pairs[k]
+            if k:
+                pairs[k - 1] = rank(parts[k - 1] + parts[k], LOW)
+            if k < len(pairs):
+                pairs[k] = rank(parts[k] + parts[k + 1], LOW)
+        return parts
+
+    def sound(self, q: int) -> bool:
+        """Whether merges make piece q of its own text."""
+        if (known := self.made.get(q)) is None:
+            known = self.made[q] = len(self.merged(self.texts[q])) == 1
+        return known
 
     def cost(self, row: dict[int, int], p: int, q: int) -> int:
         """The score of piece q after piece p (-1: first of its stretch), kept in p's row."""
         s = self.stored[q]
-        if self.merges and self.merged((self.texts[p] if p >= 0 else "") + self.texts[q]) != ([self.texts[p]] if p >= 0 else []) + [self.texts[q]]:
+        if self.merges and not (self.sound(q) and (p < 0 or self.sound(p) and self.merged(self.texts[p] + self.texts[q]) == [self.texts[p], self.texts[q]])):
             s -= JUNCTION
         row[q] = s
         return s
 
+    def ending(self, text: str, j: int, ends: list[list[Node]]) -> list[Node]:
+        """The pieces that end at position j, with their forward Viterbi scores, from those of all positions before."""
+        out: list[Node] = []
+        node, rows, i, single = self.trie, self.rows, j, False
+        while i and (found := node.get(text[i - 1])) is not None:
+            i -= 1
+            node, q = found
+            if q >= 0:
+                single = single or i == j - 1
+                top = LOW
+                for f, row, _, p in ends[i]:
+                    try:
+                        s = f + row[q]
+                    except KeyError:
+                        s = f + self.cost(row, p, q)
+                    if s > top:
+                        top = s
+                out.append((top, rows[q], i, q))
+        if not single:
+            q = self.spell(text[j - 1])
+            out.append((max(f + (row[q] if q in row else self.cost(row, p, q)) for f, row, _, p in ends[j - 1]), self.rows[q], j - 1, q))
+        return out
+
     def lattice(self, text: str) -> list[list[Node]]:
-        """By position the pieces that end there, with their forward Viterbi scores."""
-        n, trie, rows = len(text), self.trie, self.rows
-        ends: list[list[Node]] = [[] for _ in range(n + 1)]
-        ends[0].append((0, self.start, -1, -1))
-        for i in range(n):
-            here, node, j, single = ends[i], trie, i, False
-            while j < n and (found := node.get(text[j])) is not None:
-                j += 1
-                node, q = found
-                if q >= 0:
-                    single = single or j == i + 1
-                    top = LOW
-                    for f, row, _, p in here:
-                        s = f + (row[q] if q in row else self.cost(row, p, q))
-                        if s > top:
-                            top = s
-                    ends[j].append((top, rows[q], i, q))
-            if not single:
-                q = self.spell(text[i])
-                ends[i + 1].append((max(f + (row[q] if q in row else self.cost(row, p, q)) for f, row, _, p in here), rows[q], i, q))
+        """By position the pieces that end there. They depend on what is before alone, so those of the first characters are kept and shared."""
+        ends, done = [[(0, self.start, -1, -1)]], 0
+        for size in HEADS:
+            head = text[:size]
+            if (known := self.heads.get(head)) is None:
+                known = list(ends)
+                for j in range(done + 1, len(head) + 1):
+                    known.append(self.ending(head, j, known))
+                if len(self.heads) >= MOST_HEADS:
+                    self.heads.clear()
+                self.heads[head] = known
+            ends, done = known, len(head)
+            if len(text) <= size:
+                return ends
+        ends = list(ends)
+        for j in range(done + 1, len(text) + 1):
+            ends.append(self.ending(text, j, ends))
         return ends
 
     def segmentations(self, text: str, agenda: list) -> Iterator[tuple[int, list[int]]]:
@@ -178,56 +213,95 @@ class Pieces:
                 push(agenda, (-(node[0] + after), node[2], made, after, node, path))
 
 
+def gathered(pool: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The runs of pool with these starts and sizes, one after the other."""
+    ends = np.cumsum(sizes)
+    if not len(ends):
+        return pool[:0]
+    return pool[np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1])]
+
+
+class Seen:
+    """Stretches and what was found of each: its best ids, their score, what the second best costs more. Arrays, so that whole texts are looked up at once."""
+
+    def __init__(self) -> None:
+        self.place: dict[str, int] = {}
+        self.score, self.cost, self.end, self.ids = array("q"), array("q"), array("q", [0]), array("i")
+
+    def add(self, stretch: str, ids: list[int] | array, score: int, cost: int) -> int:
+        k = self.place[stretch] = len(self.place)
+        self.score.append(score)
+        self.cost.append(cost)
+        self.ids.extend(ids)
+        self.end.append(len(self.ids))
+        return k
+
+    def size(self) -> int:
+        """In bytes, by estimate: a place takes some 200 and a short text."""
+        return 260 * len(self.place) + 12 * len(self.ids)
+
+    def arrays(self) -> tuple[np.ndarray, ...]:
+        """Scores, costs, ends and ids; nothing can be added while they are in use."""
+        return tuple(np.frombuffer(x, dtype=x.typecode) for x in (self.score, self.cost, self.end, self.ids))
+
+
 class Encoder:
     """Encodes texts and keeps what it finds for stretches; made once a task."""
 
     def __init__(self, pieces: Pieces, best: int = BEST, cache_bytes: int = CACHE_BYTES):
         self.pieces, self.best, self.room = pieces, best, cache_bytes
-        self.seen: dict[str, tuple[bytes, int, int]] = {}
+        self.seen, self.before = Seen(), Seen()
         self.deep: dict[str, list[tuple[int, list[int]]]] = {}
-        self.held = 0
+        self.deep_size = 0
         self.choices = [[c for c in product(range(best), repeat=k) if math.prod(x + 1 for x in c) <= best] for k in range(best)]
 
-    def hold(self, size: int) -> None:
-        """Makes room for something of a size."""
-        if self.held + size > self.room:
-            self.seen, self.deep, self.held = {}, {}, 0
-        self.held += size
-
-    def first(self, stretch: str) -> tuple[bytes, int, int]:
-        """(ids of the best as packed integers, its score, what the second best costs more)."""
+    def first(self, stretch: str) -> int:
+        """The place of a stretch among those seen, where it is put if it is new."""
+        seen, old = self.seen, self.before
+        if (k := seen.place.get(stretch)) is not None:
+            return k
+        if (k := old.place.get(stretch)) is not None:
+            return seen.add(stretch, old.ids[old.end[k] : old.end[k + 1]], old.score[k], old.cost[k])
         agenda: list = []
         score, ids = next(self.pieces.segmentations(stretch, agenda))
-        out = array("i", ids).tobytes(), score, score + agenda[0][0] if agenda else NEVER
-        self.hold(350 + 4 * len(stretch) + len(out[0]))
-        self.seen[stretch] = out
-        return out
+        return seen.add(stretch, ids, score, min(score + agenda[0][0], NEVER - 1) if agenda else NEVER)
 
     def several(self, stretch: str) -> list[tuple[int, list[int]]]:
         if (out := self.deep.get(stretch)) is None:
             out = [x for x, _ in zip(self.pieces.segmentations(stretch, []), range(self.best), strict=False)]
-            self.hold(500 + 4 * len(stretch) + self.best * (200 + 8 * len(out[0][1])))
+            size = 500 + 4 * len(stretch) + self.best * (200 + 8 * len(out[0][1]))
+            if self.deep_size + size > self.room // 8:
+                self.deep, self.deep_size = {}, 0
             self.deep[stretch] = out
+            self.deep_size += size
         return out
 
     def encode(self, text: str | None) -> tuple[np.ndarray, list[int], list[list[tuple[int, int, list[int]]]]]:
         """(ids of the best, scores of the N best, changes): how each of the N best differs from the best, as (place in its ids, pieces replaced, ids instead)."""
         if not text:
-            return np.zeros(0, dtype="<i4"), [0], [[]]
+            return np.zeros(0, dtype=np.int32), [0], [[]]
+        if self.seen.size() > self.room:  # what was seen since the last time stays for one more, so that common stretches are always kept
+            self.seen, self.before = Seen(), self.seen
         stretches = self.pieces.stretch.findall(" " + text)
-        found = list(map(self.seen.get, stretches))
+        found = list(map(self.seen.place.get, stretches))
         if None in found:
-            # The table may be emptied on the way, so it is looked up by its name.
-            found = [f or self.seen.get(s) or self.first(s) for f, s in zip(found, stretches, strict=True)]
-        packed, scores, costs = zip(*found, strict=True)
-        ids, score = np.frombuffer(b"".join(packed), dtype="<i4"), sum(scores)
-        near = heapq.nsmallest(self.best - 1, range(len(costs)), key=costs.__getitem__)
-        where = sorted(k for k in near if costs[k] < NEVER)
+            first = self.first
+            found = [first(s) if k is None else k for k, s in zip(found, stretches, strict=True)]
+        all_scores, all_costs, all_ends, all_ids = self.seen.arrays()
+        at = np.array(found)
+        costs, score, starts = all_costs[at], int(all_scores[at].sum()), all_ends[at]
+        counts = all_ends[at + 1] - starts
+        ids, ends = gathered(all_ids, starts, counts), np.cumsum(counts)
+        most = self.best - 1
+        near = np.flatnonzero(costs <= (np.partition(costs, most - 1)[most - 1] if 0 < most < len(costs) else NEVER))
+        near = near[np.argsort(costs[near], kind="stable")][:most]
+        where = sorted(near[costs[near] < NEVER].tolist())
         lists = [self.several(stretches[k]) for k in where]
         # A choice with places c is no better than any of the (c + 1) * ... choices with places up to c.
-        ways = heapq.nsmallest(self.best, ((sum([x[0][0] - x[c][0] for x, c in zip(lists, choice, strict=True)]), choice) for choice in self.choices[len(where)] if all(c < len(x) for c, x in zip(choice, lists, strict=True))))
-        starts = {k: sum(map(len, packed[:k])) >> 2 for k in where}
-        changes = [[(starts[k], len(packed[k]) >> 2, x[c][1]) for k, x, c in zip(where, lists, choice, strict=True) if c] for _, choice in ways]
+        worse = [[x[0][0] - y for y, _ in x] for x in lists]
+        sizes = list(map(len, lists))
+        ways = heapq.nsmallest(self.best, [(sum(map(getitem, worse, choice)), choice) for choice in self.choices[len(where)] if all(map(lt, choice, sizes))])
+        changes = [[(int(ends[k] - counts[k]), int(counts[k]), x[c][1]) for k, x, c in zip(where, lists, choice, strict=True) if c] for _, choice in ways]
         return ids, [score - cost for cost, _ in ways], changes
 
     def parts(self, score: int) -> tuple[float, int]:
@@ -247,18 +321,9 @@ def changed(ids: list[int], change: list[tuple[int, int, list[int]]]) -> list[in
     return out + list(ids[at:])
 
 
-def replaced(ids: np.ndarray, change: list[tuple[int, int, list[int]]]) -> np.ndarray:
-    """changed() over arrays."""
-    parts, at = [], 0
-    for start, n, new in change:
-        parts += [ids[at:start], np.asarray(new, dtype="<i4")]
-        at = start + n
-    return np.concatenate([*parts, ids[at:]])
-
-
 def decode(pieces: Pieces, ids: list[int] | np.ndarray) -> str:
-    table = pieces.bytes_of
-    return b"".join(map(table.__getitem__, ids)).decode("utf-8", "replace").removeprefix(" ")
+    which = np.asarray(ids, dtype=np.int64)
+    return gathered(pieces.letters, pieces.letters_at[which], pieces.letters_of[which]).tobytes().decode("utf-8", "replace").removeprefix(" ")
 
 
 _loaded: dict[bytes, Pieces] = {}
@@ -293,18 +358,18 @@ def read_model(path: str) -> bytes:
 CHANGES = pa.list_(pa.list_(pa.struct([("at", pa.int32()), ("n", pa.int32()), ("ids", pa.list_(pa.int32()))])))
 
 
-def encoded(docs: DataFrame, model: str = MODEL, best: int = BEST) -> DataFrame:
+def encoded(docs: DataFrame, model: str = MODEL, best: int = BEST, back: str | None = None) -> DataFrame:
     """docs with ids (the best segmentation), scores (of the N best: sums of the stored numbers), junctions (of the N best: those
-    that merges would not leave) and changes (how each differs from the best), which take the place of columns of those names.
-    The model's file, read on the driver, goes along with the function."""
-    docs = docs.drop("ids", "scores", "junctions", "changes")
+    that merges would not leave), changes (how each differs from the best) and, if back names it, a column of the text decoded
+    from ids. They take the place of columns of those names. The model's file, read on the driver, goes along with the function."""
+    docs = docs.drop("ids", "scores", "junctions", "changes", *([back] if back else []))
     data, place = read_model(model), docs.columns.index("text")
 
     def make() -> Callable[[pa.RecordBatch], dict]:
         e = encoder(data, best)
 
         def f(batch: pa.RecordBatch) -> dict:
-            ids, scores, junctions, changes = [], [], [], []
+            ids, scores, junctions, changes, texts = [], [], [], [], []
             for t in batch.column(place).to_pylist():
                 i, s, c = e.encode(t)
                 ids.append(i)
@@ -312,19 +377,23 @@ def encoded(docs: DataFrame, model: str = MODEL, best: int = BEST) -> DataFrame:
                 scores.append([x for x, _ in parts])
                 junctions.append([x for _, x in parts])
                 changes.append([[{"at": a, "n": n, "ids": new} for a, n, new in way] for way in c])
+                if back:
+                    texts.append(decode(e.pieces, i))
             new = {
                 "ids": pa.array(ids, type=pa.list_(pa.int32())),
                 "scores": pa.array(scores, type=pa.list_(pa.float64())),
                 "junctions": pa.array(junctions, type=pa.list_(pa.int32())),
                 "changes": pa.array(changes, type=CHANGES),
             }
+            if back:
+                new[back] = pa.array(texts, type=pa.string())
             return dict(zip(batch.schema.names, batch.columns, strict=True)) | new
 
         return f
 
     fields = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes)
     changes = "array<array<struct<at:int,n:int,ids:array<int>>>>"
-    return map_rows(docs, make, f"{fields}, ids array<int>, scores array<double>, junctions array<int>, changes {changes}")
+    return map_rows(docs, make, f"{fields}, ids array<int>, scores array<double>, junctions array<int>, changes {changes}" + (f", `{back}` string" if back else ""))
 
 
 def decoded(encodings: DataFrame, model: str = MODEL) -> DataFrame:
@@ -338,35 +407,21 @@ def decoded(encodings: DataFrame, model: str = MODEL) -> DataFrame:
     return map_rows(encodings.select("doc_id", "ids"), make, "doc_id long, text string")
 
 
-def digest(ids: np.ndarray) -> str:
-    return hashlib.sha256(ids.astype("<i4").tobytes()).hexdigest()
-
-
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A row a document: the number of its pieces, scores and junctions of the best and the second best, and digests of the
-    best's ids (32 bits each, little-endian), of all N best (the hex digests of their ids, comma-joined) and of the decoded text."""
+    """A row a document: the number of its pieces, the score of the best and score and junctions of the second best, and digests
+    of the best's ids (comma-joined), of all N best (those ids, a bar, and the changes as Spark shows them) and of the decoded text."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    data = read_model(MODEL)
-    schema = "doc_id long, n_pieces long, n_best long, score double, second_score double, second_junctions long, ids_sha256 string, n_best_sha256 string, decoded_sha256 string, exact boolean"
-    names = [c.split()[0] for c in schema.split(", ")][1:]
-
-    def make() -> Callable[[pa.RecordBatch], dict]:
-        p = loaded(data)
-
-        def row(text: str | None, ids: np.ndarray, scores: list[float], junctions: list[int], changes: list) -> tuple:
-            back = decode(p, ids.tolist())
-            best = digest(ids)
-            ways = [best, *(digest(replaced(ids, [(x["at"], x["n"], x["ids"]) for x in way])) for way in changes[1:])]
-            second = (scores[1], junctions[1]) if len(scores) > 1 else (None, None)
-            return len(ids), len(scores), scores[0], *second, best, hashlib.sha256(",".join(ways).encode()).hexdigest(), hashlib.sha256(back.encode()).hexdigest(), back == (text or "")
-
-        def f(batch: pa.RecordBatch) -> dict:
-            texts, lists, *rest = (batch.column(i) for i in (1, 2, 3, 4, 5))
-            flat, ends = lists.flatten().to_numpy(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
-            rows = [row(t, flat[ends[k] : ends[k + 1]], *x) for k, (t, *x) in enumerate(zip(texts.to_pylist(), *(c.to_pylist() for c in rest), strict=True))]
-            columns = zip(names, zip(*rows, strict=True), strict=True)
-            return {"doc_id": batch.column(0)} | {k: pa.array(v, type=pa.float64() if k.endswith("score") else pa.int64() if k[:2] == "n_" and "sha" not in k or k == "second_junctions" else None) for k, v in columns}
-
-        return f
-
-    return map_rows(encoded(docs), make, schema)
+    found = encoded(docs, back="back").withColumn("joined", F.array_join("ids", ","))
+    second = lambda c, t: F.get(F.col(c), F.lit(1)).cast(t)
+    return found.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_pieces"),
+        F.size("scores").cast("long").alias("n_best"),
+        F.get("scores", F.lit(0)).alias("score"),
+        second("scores", "double").alias("second_score"),
+        second("junctions", "long").alias("second_junctions"),
+        F.sha2("joined", 256).alias("ids_sha256"),
+        F.sha2(F.concat_ws("|", "joined", F.col("changes").cast("string")), 256).alias("n_best_sha256"),
+        F.sha2("back", 256).alias("decoded_sha256"),
+        (F.col("back") == F.coalesce("text", F.lit(""))).alias("exact"),
+    )
