@@ -1,19 +1,23 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraph digests, in DataFrame functions alone.
 
-A text's paragraphs are its lines that aren't blank, lines of over LONG characters being cut after sentences. Each distinct
-paragraph has a 64-bit digest; a sketch of CELLS cells holds, for three cells of each digest, a count, the digests' XOR and
-the XOR of their checks. Subtracting two versions' sketches leaves the digests that one has and the other hasn't, and
-peeling cells with a single digest recovers them. Where that fails, the digests are dealt to more sketches of the same size
-(4, 16, ... times as many cells in all, none larger than the first) and each part is peeled again; a part that no size
-frees is compared by its digests. Likeness is the Jaccard index that follows from the recovered differences.
+A text's paragraphs are what its line breaks and the ends of its sentences part, whatever their length, but for blank ones.
+Each distinct paragraph has a 64-bit digest; a sketch of CELLS cells holds, for three cells of each digest, a count, the
+digests' XOR and the XOR of their checks. Subtracting two versions' sketches leaves the digests that one has and the other
+hasn't, and peeling cells with a single digest recovers them. Where that fails, the digests are dealt to more sketches of
+the same size (4, 16, ... times as many cells in all, none larger than the first) and each part is peeled again; what no
+size frees is compared by its digests. ``differences`` gives the digests recovered and the number of tries. Likeness is the
+Jaccard index that follows from them.
 
 A fingerprint shows the number of digests and the sketch's cells. Equal texts have equal fingerprints; two texts without
 paragraphs have likeness 1. A null text is empty. The next document is the next by doc_id, rows of equal doc_id being in
-order of their texts and null ids coming first; after the last comes the first, which may be the document itself. Every row
-of the table has a row in the result; other columns are ignored.
-
-Documents are dealt to ranges of doc_id, which pass through one window each; the first document of a range also goes to the
-range before it. Texts are shuffled once.
+order of a hash of their texts and then of the texts, and null ids coming first; after the last comes the first, which may
+be the document itself. Every row of the table has a row in the result; other columns are ignored by the query, and
+``fingerprinted`` replaces those whose names it adds. Very long texts are read whole; a text's sketch has at most CELLS
+cells, its digests as many as it has paragraphs.
+
+Documents are dealt to ranges of doc_id and hash, so a doc_id that many rows share is split too, and pass through one
+window a range; the first document of a range also goes to the range before it. Texts are shuffled once, and their digests
+with them.
 """
 
 from __future__ import annotations
@@ -24,16 +28,16 @@ from pyspark.sql import functions as F
 CELLS = 768  # room for some 600 differing digests; only cells in use cost anything, and at low loads one round peels all
 ROUNDS = 24
 RETRIES = 10
-LONG = 512
 RANGE_DOCS = 512
-MOST_RANGES = 65_536
+MOST_RANGES = 65_536  # their bounds go through the driver; beyond it ranges hold more documents and a window sorts them with spills
+SALTS = 65_536
 
 ENTRY = "struct<cell:int,n:int,key:bigint,chk:bigint>"
 
 
 def digests(text: Column) -> Column:
     """The distinct digests of a text's paragraphs, sorted."""
-    pieces = F.flatten(F.transform(F.split(text, "\n", -1), lambda p: F.when(F.length(p) > LONG, F.split(p, r"(?<=[.!?]) ", -1)).otherwise(F.array(p))))
+    pieces = F.split(text, r"\n|(?<=[.!?]) ", -1)
     return F.sort_array(F.array_distinct(F.transform(F.filter(pieces, lambda p: F.trim(p) != ""), lambda p: F.xxhash64(p))))
 
 
@@ -84,8 +88,11 @@ def subtracted(a: Column, b: Column) -> Column:
     return merged(F.concat(a, less))
 
 
+FOUND = "struct<more:array<bigint>,less:array<bigint>>"
+
+
 def peeled(cells: Column) -> Column:
-    """How many digests the cells of a difference give up; null if some stay locked."""
+    """struct<more, less>: the digests that the cells of a difference give up, those of the first and those of the second; null if some stay locked."""
 
     def keys(alone: Column, n: int) -> Column:
         return F.array_distinct(F.transform(F.filter(alone, lambda e: e["n"] == n), lambda e: e["key"]))
@@ -95,9 +102,6 @@ def peeled(cells: Column) -> Column:
         alone = F.filter(rest, lambda e: (F.abs(e["n"]) == 1) & (e["chk"] == F.xxhash64(e["key"], F.lit(7))))
         return once(alone, lambda x: F.struct(keys(x, 1).alias("more"), keys(x, -1).alias("less")))
 
-    def size(p: Column) -> Column:
-        return F.size(p["more"]) + F.size(p["less"])
-
     def xor(xs: Column, f) -> Column:
         return F.aggregate(xs, F.lit(0).cast("long"), lambda acc, x: acc.bitwiseXOR(f(x)))
 
@@ -107,38 +111,53 @@ def peeled(cells: Column) -> Column:
         count = F.aggregate(rest, F.lit(0), lambda acc, e: acc + e["n"]) == (F.size(p["more"]) - F.size(p["less"])) * 3
         return count & (xor(rest, lambda e: e["key"]) == xor(both, lambda d: d)) & (xor(rest, lambda e: e["chk"]) == xor(both, lambda d: F.xxhash64(d, F.lit(7))))
 
+    def state_of(rest: Column, more: Column, less: Column, stuck: bool) -> Column:
+        return F.struct(rest.alias("rest"), more.alias("more"), less.alias("less"), F.lit(stuck).alias("stuck"))
+
     def taken(state: Column) -> Column:
         """The state without the digests that stand alone in a cell."""
 
         def without(p: Column) -> Column:
             gone = F.flatten(F.concat(F.transform(p["more"], lambda d: entries(d, F.lit(-1))), F.transform(p["less"], lambda d: entries(d, F.lit(1)))))
-            done = F.struct(F.array().cast(f"array<{ENTRY}>").alias("rest"), (state["found"] + size(p)).alias("found"), F.lit(False).alias("stuck"))
-            stuck = F.struct(state["rest"].alias("rest"), state["found"].alias("found"), F.lit(True).alias("stuck"))
-            on = F.struct(merged(F.concat(state["rest"], gone)).alias("rest"), (state["found"] + size(p)).alias("found"), F.lit(False).alias("stuck"))
-            return F.when(size(p) == 0, stuck).when(all_of(state["rest"], p), done).otherwise(on)
+            more, less = F.concat(state["more"], p["more"]), F.concat(state["less"], p["less"])
+            done = state_of(F.array().cast(f"array<{ENTRY}>"), more, less, False)
+            stuck = state_of(state["rest"], state["more"], state["less"], True)
+            on = state_of(merged(F.concat(state["rest"], gone)), more, less, False)
+            return F.when(F.size(p["more"]) + F.size(p["less"]) == 0, stuck).when(all_of(state["rest"], p), done).otherwise(on)
 
         return once(pure(state["rest"]), without)
 
-    start = F.struct(cells.alias("rest"), F.lit(0).alias("found"), F.lit(False).alias("stuck"))
-    done = F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, lambda s, _: F.when(s["stuck"] | (F.size(s["rest"]) == 0), s).otherwise(taken(s)))
-    return once(done, lambda s: F.when(F.size(s["rest"]) == 0, s["found"]))
+    none = F.array().cast("array<bigint>")
+    done = F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), state_of(cells, none, none, False), lambda s, _: F.when(s["stuck"] | (F.size(s["rest"]) == 0), s).otherwise(taken(s)))
+    return once(done, lambda s: F.when(F.size(s["rest"]) == 0, F.struct(s["more"].alias("more"), s["less"].alias("less"))))
 
 
-def differing(a: Column, b: Column, sketch_a: Column, sketch_b: Column) -> Column:
-    """The number of digests that one of a and b has and the other hasn't."""
+def differences(a: Column, b: Column, sketch_a: Column, sketch_b: Column) -> Column:
+    """struct<more, less, tries>: the digests that a has and b hasn't, those that b has and a hasn't, each sorted, and how many
+    sizes of sketches were tried (1: the first; RETRIES + 2: none was large enough, and the digests were compared)."""
 
     def part(ds: Column, k: Column, parts: Column) -> Column:
         return F.filter(ds, lambda d: F.pmod(F.shiftrightunsigned(F.xxhash64(d, F.lit(11)), 3), parts) == k)
 
     def again(parts: Column) -> Column:
-        """The sum over parts sketches; null as soon as one part stays locked."""
-        return F.aggregate(F.sequence(F.lit(0).cast("long"), parts - 1), F.lit(0), lambda acc, k: F.when(acc.isNotNull(), acc + peeled(subtracted(sketch(part(a, k, parts)), sketch(part(b, k, parts))))))
+        """What parts sketches give up; null as soon as one part stays locked."""
+
+        def joined(acc: Column, x: Column) -> Column:
+            return F.when(x.isNotNull(), F.struct(F.concat(acc["more"], x["more"]).alias("more"), F.concat(acc["less"], x["less"]).alias("less")))
+
+        none = F.array().cast("array<bigint>")
+        start = F.struct(none.alias("more"), none.alias("less")).cast(FOUND)
+        return F.aggregate(F.sequence(F.lit(0).cast("long"), parts - 1), start, lambda acc, k: F.when(acc.isNotNull(), once(peeled(subtracted(sketch(part(a, k, parts)), sketch(part(b, k, parts)))), lambda x: joined(acc, x))))
+
+    def tried(found: Column, tries: Column) -> Column:
+        return F.when(found.isNotNull(), F.struct(F.sort_array(found["more"]).alias("more"), F.sort_array(found["less"]).alias("less"), tries.cast("int").alias("tries")))
 
     # More parts than digests don't help.
-    sizes = F.array(*(F.lit(4**r).cast("long") for r in range(1, RETRIES + 1)))
-    retried = F.aggregate(sizes, F.lit(None).cast("int"), lambda acc, parts: F.when(acc.isNotNull() | (parts > 64 + F.size(a) + F.size(b)), acc).otherwise(again(parts)))
-    apart = F.size(F.array_except(a, b)) + F.size(F.array_except(b, a))
-    return F.coalesce(peeled(subtracted(sketch_a, sketch_b)), retried, apart)
+    sizes = F.array(*(F.struct(F.lit(4**r).cast("long").alias("parts"), F.lit(r + 1).alias("tries")) for r in range(1, RETRIES + 1)))
+    none = F.lit(None).cast("struct<more:array<bigint>,less:array<bigint>,tries:int>")
+    retried = F.aggregate(sizes, none, lambda acc, s: F.when(acc.isNotNull() | (s["parts"] > 64 + F.size(a) + F.size(b)), acc).otherwise(once(again(s["parts"]), lambda x: tried(x, s["tries"]))))
+    compared = F.struct(F.sort_array(F.array_except(a, b)).alias("more"), F.sort_array(F.array_except(b, a)).alias("less"), F.lit(RETRIES + 2).alias("tries"))
+    return F.coalesce(once(peeled(subtracted(sketch_a, sketch_b)), lambda x: tried(x, F.lit(1))), retried, compared)
 
 
 def likeness(n_a: Column, n_b: Column, apart: Column) -> Column:
@@ -153,42 +172,58 @@ def shown(n: Column, cells: Column) -> Column:
 
 
 def next_texts(docs: DataFrame) -> DataFrame:
-    """doc_id, text (null: empty) and next_text, the next document's."""
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), key.alias("__key"))
-    n, low = rows.agg(F.count(F.lit(1)), F.min("__key")).first()
+    """doc_id, text (null: empty), digests (of the text), and next_text and next_digests, the next document's."""
+    text = F.coalesce("text", F.lit(""))
+    # One exact number that orders ids and, within an id, hashes.
+    at = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).cast("decimal(20,0)") * SALTS + F.pmod(F.xxhash64(text), F.lit(SALTS))
+    rows = docs.select("doc_id", text.alias("text"), at.cast("decimal(26,0)").alias("__at"))
+    keys = rows.select("__at")
+    n = keys.count()
     ranges = min(MOST_RANGES, max(1, n // RANGE_DOCS))
-    bounds = [low]
+
+    def place(bounds: list) -> Column:
+        """How many bounds are at most a row's place, less one: a binary search."""
+        held, size = F.lit(bounds), len(bounds)
+        powers = [F.lit(1 << i) for i in reversed(range(size.bit_length()))]
+        return F.aggregate(F.array(*powers), F.lit(0), lambda acc, p: F.when((acc + p <= size) & (F.get(held, acc + p - 1) <= F.col("__at")), acc + p).otherwise(acc)) - 1
+
+    bounds = []
     if ranges > 1:
-        found = rows.agg(F.percentile_approx("__key", F.array(*(F.lit(i / ranges) for i in range(1, ranges))), F.lit(max(10_000, 10 * ranges)))).first()[0]
-        bounds = sorted({low, *found})
-    held = F.lit(bounds)
-    size = len(bounds)
-    powers = [1 << i for i in reversed(range(size.bit_length()))]
-    # Binary search: how many bounds are at most the key, less one.
-    at = F.aggregate(F.array(*map(F.lit, powers)), F.lit(0), lambda acc, p: F.when((acc + p <= size) & (F.get(held, acc + p - 1) <= F.col("__key")), acc + p).otherwise(acc)) - 1
-    placed = rows.withColumn("__range", at if n else F.lit(0))
+        shares = F.array(*(F.lit(i / ranges) for i in range(1, ranges)))
+        near = sorted(set(keys.agg(F.percentile_approx("__at", shares, F.lit(max(10_000, 10 * ranges)))).first()[0]))
+        # Quantiles are approximate; the ranges start at rows that exist.
+        bounds = sorted(r.least for r in keys.groupBy(place(near)).agg(F.min("__at").alias("least")).collect())
+    elif n:
+        bounds = [keys.agg(F.min("__at")).first()[0]]
+    size = max(1, len(bounds))
+    placed = rows.withColumn("__digests", digests(F.col("text"))).withColumn("__range", place(bounds) if bounds else F.lit(0))
     own = F.struct(F.col("__range").alias("range"), F.lit(False).alias("extra"))
     before = F.struct(F.pmod(F.col("__range") - 1, F.lit(size)).alias("range"), F.lit(True).alias("extra"))
-    first = F.get(held, F.col("__range")) == F.col("__key")
-    dealt = placed.select("doc_id", "text", "__key", F.explode(F.when(first, F.array(own, before)).otherwise(F.array(own))).alias("__at")).select("doc_id", "text", "__key", "__at.*")
-    following = F.lead("text").over(Window.partitionBy("range").orderBy("extra", "__key", "text"))
-    return dealt.withColumn("next_text", following).where(~F.col("extra")).select("doc_id", "text", "next_text")
+    first = F.get(F.lit(bounds), F.col("__range")) == F.col("__at") if bounds else F.lit(False)
+    dealt = placed.withColumn("__to", F.explode(F.when(first, F.array(own, before)).otherwise(F.array(own)))).select("doc_id", "text", "__at", F.col("__digests").alias("digests"), "__to.*")
+    following = F.lead(F.struct("text", "digests")).over(Window.partitionBy("range").orderBy("extra", "__at", "text"))
+    return dealt.withColumn("next", following).where(~F.col("extra")).select("doc_id", "text", "digests", F.col("next.text").alias("next_text"), F.col("next.digests").alias("next_digests"))
 
 
 def fingerprinted(docs: DataFrame, text: str = "text", name: str = "fp") -> DataFrame:
-    """docs with {name}, {name}_n, {name}_digests and {name}_cells of a text column."""
+    """docs with {name}, {name}_n, {name}_digests and {name}_cells of a text column, in place of columns of those names."""
     d, s = f"{name}_digests", f"{name}_cells"
+    docs = docs.drop(*({name, f"{name}_n", d, s} - {text}))
     out = docs.withColumn(d, digests(F.col(text))).withColumn(s, sketch(F.col(d)))
     return out.withColumn(f"{name}_n", F.size(d)).withColumn(name, shown(F.size(d), F.col(s)))
 
 
 def op1_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's columns, then the digests that the edit took away and brought, and how many sizes of sketches were tried for them and for the next document's."""
     docs = next_texts(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     n, half = F.length("text"), F.floor(F.length("text") / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half))
-    out = docs.withColumn("n_chars", n.cast("long")).withColumn("edited", edited)
-    out = out.withColumn("edited_sha256", F.sha2("edited", 256))
-    out = fingerprinted(fingerprinted(out, "text", "a"), "edited", "b").withColumn("c_digests", digests(F.col("next_text"))).withColumn("c_cells", sketch(F.col("c_digests")))
-    near = {k: likeness(F.size("a_digests"), F.size(f"{x}_digests"), differing(F.col("a_digests"), F.col(f"{x}_digests"), F.col("a_cells"), F.col(f"{x}_cells"))) for k, x in (("near_edited", "b"), ("near_next", "c"))}
-    return out.select("doc_id", "n_chars", "edited_sha256", F.col("a").alias("fingerprint"), F.col("b").alias("edited_fingerprint"), *(v.alias(k) for k, v in near.items()))
+    out = docs.withColumn("n_chars", n.cast("long")).withColumn("edited", edited).withColumn("edited_sha256", F.sha2("edited", 256))
+    out = out.withColumn("edited_digests", digests(F.col("edited")))
+    for name in ("", "edited_", "next_"):
+        out = out.withColumn(f"{name}cells", sketch(F.col(f"{name}digests")))
+    for name in ("edited", "next"):
+        out = out.withColumn(f"to_{name}", differences(F.col("digests"), F.col(f"{name}_digests"), F.col("cells"), F.col(f"{name}_cells")))
+    near = [likeness(F.size("digests"), F.size(f"{x}_digests"), F.size(f"to_{x}.more") + F.size(f"to_{x}.less")).alias(f"near_{x}") for x in ("edited", "next")]
+    more = [F.col("to_edited.more").alias("lost"), F.col("to_edited.less").alias("gained"), F.col("to_edited.tries").alias("tries_edited"), F.col("to_next.tries").alias("tries_next")]
+    return out.select("doc_id", "n_chars", "edited_sha256", shown(F.size("digests"), F.col("cells")).alias("fingerprint"), shown(F.size("edited_digests"), F.col("edited_cells")).alias("edited_fingerprint"), *near, *more)
