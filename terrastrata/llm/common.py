@@ -28,7 +28,7 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Long texts go to Python in batches of a few rows, so that a batch's size is bounded."""
+    """Long texts go to Python in batches of a few rows. This sets the session's bound of rows, which lazy results read when they run; bytes are bounded by the session's own arrow.maxBytesPerBatch."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 

@@ -42,7 +42,7 @@ from .common import map_rows
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BEST = 4
-CACHE_BYTES = 256 << 20  # what a worker keeps of stretches seen, and again of those seen before them, by a generous estimate of their size
+CACHE_BYTES = 160 << 20  # what a worker keeps of stretches seen, and again of those seen before them, by a generous estimate of their size
 HEADS, MOST_HEADS = (4, 6), 100_000  # lengths of the beginnings of stretches whose pieces are kept, and how many of them
 LOW, NEVER = -(1 << 200), 1 << 62
 JUNCTION = 1 << 52  # what a junction that merges would not leave costs: more than the stored numbers of a text add up to (those of pieces for runs of spaces are 1e9, so of four million of them at most)

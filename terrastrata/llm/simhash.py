@@ -152,8 +152,8 @@ def shingle_hashes(text: str | None, words: int, known: dict[bytes, int]) -> tup
         return key, np.empty(0, dtype=np.uint64)
     if len(known) > 200_000:
         known.clear()
-    get = known.get
-    h = np.fromiter((get(x) or known.setdefault(x, xxhash.xxh64_intdigest(x)) for x in w), dtype=np.uint64, count=len(w))
+    get = known.get  # long words aren't kept, so that what is kept is bounded in bytes
+    h = np.fromiter((get(x) or (known.setdefault(x, xxhash.xxh64_intdigest(x)) if len(x) <= 64 else xxhash.xxh64_intdigest(x)) for x in w), dtype=np.uint64, count=len(w))
     k = min(words, len(w))
     acc = h[: len(h) - k + 1].copy()
     for i in range(1, k):
