@@ -220,12 +220,20 @@ def boxes_meet(a: Column, b: Column) -> Column:
 # --- buffers ---------------------------------------------------------------------------------------------------------
 
 
+def narrowing(lat: Column) -> Column:
+    """How much shorter a degree of longitude is than one of latitude."""
+    return F.greatest(F.lit(0.001), F.abs(F.cos(F.radians(lat))))
+
+
+def off_poles(lat: Column) -> Column:
+    return F.greatest(F.lit(-89.9), F.least(F.lit(89.9), lat))
+
+
 def point_buffer(x: Column, y: Column, metres: float, steps: int) -> Column:
-    """A closed ring of steps vertices around a point."""
-    lat = F.greatest(F.lit(-89.9), F.least(F.lit(89.9), y))
-    dx = F.lit(metres) / (F.lit(METRES_PER_DEGREE) * F.greatest(F.lit(0.001), F.abs(F.cos(F.radians(lat)))))
+    """A closed ring of steps vertices around a point; it stays a tenth of a degree from the poles."""
+    dx = F.lit(metres) / (F.lit(METRES_PER_DEGREE) * narrowing(y))
     dy = metres / METRES_PER_DEGREE
-    at = lambda i: vertex(x + dx * math.cos(2 * math.pi * i / steps), y + dy * math.sin(2 * math.pi * i / steps))
+    at = lambda i: vertex(x + dx * math.cos(2 * math.pi * i / steps), off_poles(y + dy * math.sin(2 * math.pi * i / steps)))
     return F.array(*(at(i) for i in range(steps)), at(0))
 
 
@@ -235,10 +243,10 @@ def line_buffer(ring: Column, metres: float, steps: int) -> Column:
 
     def moved(i: Column, side: float) -> Column:
         p, a, b = F.get(ring, i), F.get(ring, F.greatest(i - 1, F.lit(0))), F.get(ring, F.least(i + 1, last))
-        by_x = F.lit(METRES_PER_DEGREE) * F.greatest(F.lit(0.001), F.abs(F.cos(F.radians(F.greatest(F.lit(-89.9), F.least(F.lit(89.9), p["y"]))))))
+        by_x = F.lit(METRES_PER_DEGREE) * narrowing(p["y"])
         dx, dy = (b["x"] - a["x"]) * by_x, (b["y"] - a["y"]) * METRES_PER_DEGREE
         size = F.greatest(F.lit(1e-6), F.sqrt(dx * dx + dy * dy))
-        return vertex(p["x"] + F.lit(side * metres) * (-dy) / size / by_x, p["y"] + F.lit(side * metres) * dx / size / METRES_PER_DEGREE)
+        return vertex(p["x"] + F.lit(side * metres) * (-dy) / size / by_x, off_poles(p["y"] + F.lit(side * metres) * dx / size / METRES_PER_DEGREE))
 
     places = F.sequence(F.lit(0), last)
     left, right = F.transform(places, lambda i: moved(i, 1.0)), F.transform(places, lambda i: moved(i, -1.0))

@@ -146,21 +146,47 @@ def pip_strict(s, d):
 r6 = lambda c: F.round(c, 6)
 
 
-@query(
-    f"""WITH {W.SUPPLIERS}, p AS (SELECT fid, x, y, greatest(-89.9, least(89.9, y)) AS la, i FROM suppliers, range(0, 17) AS t(i))
-SELECT fid, CAST(i AS INTEGER) AS i, round(x + 50000.0::DOUBLE / (111320.0::DOUBLE * greatest(0.001::DOUBLE, abs(cos(radians(la))))) * cos(2 * pi() * (i % 16) / 16), 6) AS x, round(y + 50000.0::DOUBLE / 111320.0::DOUBLE * sin(2 * pi() * (i % 16) / 16), 6) AS y FROM p"""
-)
-def buffer_point_ring(s, d):
-    b = V.buffer(W.suppliers(s, d)).features.select(F.col("_fid").alias("fid"), F.posexplode(G.vertices("geom")).alias("i", "v"))
+OFF_POLES = "least(89.9::DOUBLE, greatest(-89.9::DOUBLE, {}))"
+RING = f"""SELECT fid, CAST(i AS INTEGER) AS i, round(x + 50000.0::DOUBLE / (111320.0::DOUBLE * greatest(0.001::DOUBLE, abs(cos(radians(y))))) * cos(2 * pi() * (i % 16) / 16), 6) AS x,
+round({OFF_POLES.format("y + 50000.0::DOUBLE / 111320.0::DOUBLE * sin(2 * pi() * (i % 16) / 16)")}, 6) AS y FROM p, range(0, 17) AS t(i)"""
+
+
+def ring_rows(df):
+    b = V.buffer(df).features.select(F.col("_fid").alias("fid"), F.posexplode(G.vertices("geom")).alias("i", "v"))
     return b.select("fid", "i", r6(F.col("v.x")).alias("x"), r6(F.col("v.y")).alias("y"))
 
 
-@query(
-    f"""WITH {W.EVENTS}, w AS (SELECT fid, n, x, y, coalesce(lag(x) OVER o, x) AS ax, coalesce(lag(y) OVER o, y) AS ay, coalesce(lead(x) OVER o, x) AS bx, coalesce(lead(y) OVER o, y) AS b_y, count(*) OVER (PARTITION BY fid) AS c FROM ev WINDOW o AS (PARTITION BY fid ORDER BY n)),
-q AS (SELECT *, 111320.0::DOUBLE * greatest(0.001::DOUBLE, abs(cos(radians(greatest(-89.9, least(89.9, y)))))) AS mx FROM w WHERE c > 1),
-v AS (SELECT *, (bx - ax) * mx AS dx, (b_y - ay) * 111320.0::DOUBLE AS dy FROM q), u AS (SELECT *, greatest(1e-6::DOUBLE, sqrt(dx * dx + dy * dy)) AS len FROM v)
-SELECT fid, CAST(n - 1 AS INTEGER) AS i, round(x + 1000.0::DOUBLE * (-dy) / len / mx, 6) AS x, round(y + 1000.0::DOUBLE * dx / len / 111320.0::DOUBLE, 6) AS y FROM u"""
-)
+@query(f"WITH {W.SUPPLIERS}, p AS (SELECT fid, x, y FROM suppliers) {RING}")
+def buffer_point_ring(s, d):
+    return ring_rows(W.suppliers(s, d))
+
+
+# All places moved to within a degree of a pole.
+POLAR = "CASE WHEN y < 0 THEN -90.0::DOUBLE - y / 100 - 0.05::DOUBLE ELSE 90.0::DOUBLE - y / 100 + 0.05::DOUBLE END"
+
+
+def polar(y):
+    return F.when(y < 0, F.lit(-90.0) - y / 100 - F.lit(0.05)).otherwise(F.lit(90.0) - y / 100 + F.lit(0.05))
+
+
+@query(f"WITH {W.SUPPLIERS}, p AS (SELECT fid, x, {POLAR} AS y FROM suppliers) {RING}")
+def buffer_polar_ring(s, d):
+    v = G.first_vertex("geom")
+    return ring_rows(W.suppliers(s, d).select("_fid", G.point(v["x"], polar(v["y"])).alias("geom")))
+
+
+def sql_offsets(y: str) -> str:
+    return f"""e AS (SELECT fid, n, x, {y} AS y FROM ev), w AS (SELECT fid, n, x, y, coalesce(lag(x) OVER o, x) AS ax, coalesce(lag(y) OVER o, y) AS ay, coalesce(lead(x) OVER o, x) AS bx, coalesce(lead(y) OVER o, y) AS b_y, count(*) OVER (PARTITION BY fid) AS c FROM e WINDOW o AS (PARTITION BY fid ORDER BY n)),
+q AS (SELECT *, 111320.0::DOUBLE * greatest(0.001::DOUBLE, abs(cos(radians(y)))) AS mx FROM w WHERE c > 1),
+v AS (SELECT *, (bx - ax) * mx AS dx, (b_y - ay) * 111320.0::DOUBLE AS dy FROM q), u AS (SELECT *, greatest(1e-6::DOUBLE, sqrt(dx * dx + dy * dy)) AS len FROM v)"""
+
+
+def sql_side(sign: str) -> str:
+    moved = OFF_POLES.format(f"y {sign} 1000.0::DOUBLE * dx / len / 111320.0::DOUBLE")
+    return f"round(x {sign} 1000.0::DOUBLE * (-dy) / len / mx, 6) AS x, round({moved}, 6) AS y"
+
+
+@query(f"WITH {W.EVENTS}, {sql_offsets('y')} SELECT fid, CAST(n - 1 AS INTEGER) AS i, {sql_side('+')} FROM u")
 def buffer_line_offsets(s, d):
     """The left side of each buffered line."""
     lines = W.user_lines(s, d).withColumn("n", F.size(G.vertices("geom")))
@@ -168,6 +194,15 @@ def buffer_line_offsets(s, d):
     return b.where("i < n").select("fid", "i", r6(F.col("v.x")).alias("x"), r6(F.col("v.y")).alias("y"))
 
 
+@query(f"WITH {W.EVENTS}, {sql_offsets(POLAR)}, r AS (SELECT fid, c, n, {sql_side('+')} FROM u UNION ALL SELECT fid, c, 2 * c + 1 - n, {sql_side('-')} FROM u UNION ALL SELECT fid, c, 2 * c + 1, {sql_side('+')} FROM u WHERE n = 1) SELECT fid, CAST(n - 1 AS INTEGER) AS i, x, y FROM r")
+def buffer_polar_lines(s, d):
+    """The whole ring of each buffered line, near the poles."""
+    vs = F.transform(G.vertices("geom"), lambda v: G.vertex(v["x"], polar(v["y"])))
+    lines = W.user_lines(s, d).where(F.size(G.vertices("geom")) > 1).select("_fid", G.line(vs).alias("geom"))
+    b = V.buffer(lines, 1000.0).features.select(F.col("_fid").alias("fid"), F.posexplode(G.vertices("geom")).alias("i", "v"))
+    return b.select("fid", "i", r6(F.col("v.x")).alias("x"), r6(F.col("v.y")).alias("y"))
+
+
 @query(f"WITH {W.NATIONS} SELECT fid, round((x0 + x1) / 2, 6) AS x, round((y0 + y1) / 2, 6) AS y FROM nations")
 def centroid_polygon(s, d):
     return V.centroids(W.nations(s, d)).features.select(F.col("_fid").alias("fid"), r6(F.col("centroid_lng")).alias("x"), r6(F.col("centroid_lat")).alias("y"))
@@ -249,24 +284,26 @@ def random_points(s, d):
 # --- joins -----------------------------------------------------------------------------------------------------------
 
 
-@query("SELECT CAST(c_custkey AS BIGINT) AS fid, n_name AS join_n_name, CAST(n_regionkey AS DOUBLE) AS join_n_regionkey FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey AND n_nationkey < 20")
+@query("SELECT CAST(c_custkey AS BIGINT) AS fid, n_name AS join_n_name, CAST(n_regionkey AS DOUBLE) AS join_n_regionkey FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey + 5")
 def csv_join_first_match(s, d):
-    n = W.read(s, d, "nation").where("n_nationkey < 20").select(F.explode(F.array(F.lit(0), F.lit(1))).alias("copy"), F.col("n_nationkey").cast("string").alias("N_KEY"), "n_name", F.col("n_regionkey").cast("string").alias("n_regionkey"))
+    """The table's keys are moved by five, so that some features match none of its rows."""
+    n = W.read(s, d, "nation").withColumn("n_nationkey", F.col("n_nationkey") + 5).select(F.explode(F.array(F.lit(0), F.lit(1))).alias("copy"), F.col("n_nationkey").cast("string").alias("N_KEY"), "n_name", F.col("n_regionkey").cast("string").alias("n_regionkey"))
     table = n.select((F.col("copy") * 100 + F.col("N_KEY").cast("long")).alias("_row"), "N_KEY", F.when(F.col("copy") == 0, F.col("n_name")).otherwise("later").alias("n_name"), "n_regionkey")
     return J.key_join(W.customers(s, d), table, "c_nationkey", "n_key").features.select(F.col("_fid").alias("fid"), "join_n_name", "join_n_regionkey")
 
 
-# Nations and a copy moved by half a cell, so that points lie in no, one or two polygons.
-MOVED = W.sql_nations("moved", 36, 16)
+# Nations with gaps between them and a copy moved by half a cell, so that points lie in no, one or two polygons.
+GAPS = W.sql_nations("nations", 0, 0, 50, 22)
+MOVED = W.sql_nations("moved", 36, 16, 50, 22)
 
 
 def both_lattices(s, d):
-    a = W.nations(s, d).where("_fid < 15")
-    b = W.nations(s, d, 36.0, 16.0).where("_fid < 10").withColumn("_fid", F.col("_fid") + 100)
+    a = W.nations(s, d, 0.0, 0.0, 50.0, 22.0)
+    b = W.nations(s, d, 36.0, 16.0, 50.0, 22.0).withColumn("_fid", F.col("_fid") + 100)
     return a.unionByName(b)
 
 
-@query(f"WITH {W.CUSTOMERS}, {W.NATIONS}, {MOVED}, z AS (SELECT * FROM nations WHERE fid < 15 UNION ALL SELECT * FROM moved WHERE fid < 10), m AS (SELECT c.fid, count(z.fid) AS n, min(n_name) AS v FROM customers c LEFT JOIN z ON {PIP} GROUP BY c.fid) SELECT fid, n AS sj_join_count, CASE WHEN n = 0 THEN NULL WHEN n = 1 THEN v ELSE n || ' matches' END AS sj_n_name FROM m")
+@query(f"WITH {W.CUSTOMERS}, {GAPS}, {MOVED}, z AS (SELECT * FROM nations UNION ALL SELECT * FROM moved), m AS (SELECT c.fid, count(z.fid) AS n, min(n_name) AS v FROM customers c LEFT JOIN z ON {PIP} GROUP BY c.fid) SELECT fid, n AS sj_join_count, CASE WHEN n = 0 THEN NULL WHEN n = 1 THEN v ELSE n || ' matches' END AS sj_n_name FROM m")
 def spatial_join_cardinality(s, d):
     return J.spatial_join(W.customers(s, d), both_lattices(s, d), ["n_name"]).features.select(F.col("_fid").alias("fid"), "sj_join_count", "sj_n_name")
 
@@ -539,9 +576,10 @@ def kriging_surface(s, d):
 
 # --- networks --------------------------------------------------------------------------------------------------------
 
-SSSP = f"""{W.sql_lattice()}, w AS (SELECT i, j, i2, j2, {hav('x1', 'y1', 'x2', 'y2')} AS m FROM ed UNION ALL SELECT i2, j2, i, j, {hav('x1', 'y1', 'x2', 'y2')} FROM ed)"""
-# On a lattice a cheapest way never turns back, so the recursion goes right and up only from the lower left corner.
-UP = f"WITH RECURSIVE {SSSP}, p(i, j, c) AS (SELECT 0::BIGINT, 0::BIGINT, 0.0::DOUBLE UNION SELECT w.i2, w.j2, p.c + w.m FROM p JOIN w ON p.i = w.i AND p.j = w.j AND w.i2 + w.j2 = w.i + w.j + 1)"
+# Up to the row where it ends or, if that is farther from the equator, starts (degrees are shorter there), and along it.
+H = hav("0", "CAST(greatest(j, j0) AS DOUBLE) / 10", "0.1::DOUBLE", "CAST(greatest(j, j0) AS DOUBLE) / 10")
+FROM = f"c AS (SELECT i, j, j0, i * {H} + abs(j - j0) * {hav('0', '0', '0', '0.1::DOUBLE')} AS c FROM nd, (VALUES (0), (1)) o(j0))"
+LEAST = f"WITH {W.sql_lattice()}, {FROM}, p AS (SELECT i, j, c FROM c WHERE j0 = 0)"
 
 
 @query(f"WITH {W.sql_lattice()} SELECT count(*) AS edges, (SELECT count(*) FROM nd) AS nodes, round(sum({hav('x1', 'y1', 'x2', 'y2')}), 3) AS metres FROM ed")
@@ -550,34 +588,36 @@ def graph_build(s, d):
     return edges.agg(F.count(F.lit(1)).alias("edges"), F.round(F.sum("metres"), 3).alias("metres")).crossJoin(nodes.agg(F.count(F.lit(1)).alias("nodes"))).select("edges", "nodes", "metres")
 
 
-@query(f"{UP} SELECT round(min(c), 1) AS total_distance_m FROM p WHERE i = (SELECT max(i) FROM nd) AND j = (SELECT max(j) FROM nd WHERE i = (SELECT max(i) FROM nd))")
+@query(f"{LEAST}, g AS (SELECT i, j FROM nd ORDER BY i DESC, j DESC LIMIT 1) SELECT round(c, 1) AS total_distance_m, CAST(p.i + p.j AS BIGINT) AS legs FROM p JOIN g USING (i, j)")
 def shortest_path_cost(s, d):
     nodes = W.lattice(s, d).select(F.explode(G.vertices("geom")).alias("v"))
     x, y = nodes.agg(F.max("v.x"), F.max(F.struct("v.x", "v.y"))["y"]).first()
-    return N.shortest_path(W.lattice(s, d), (0.0, 0.0), (x, y), "astar").summary.select("total_distance_m")
+    out = N.shortest_path(W.lattice(s, d), (0.0, 0.0), (x, y), "astar")
+    return out.summary.select("total_distance_m").crossJoin(out.features.agg(F.count(F.lit(1)).alias("legs")))  # one row each
 
 
-@query(f"{UP} SELECT i AS kx, j AS ky, round(min(c), 3) AS metres FROM p GROUP BY 1, 2")
+@query(f"{LEAST} SELECT i AS kx, j AS ky, round(c, 3) AS metres FROM p")
 def network_costs(s, d):
     _, edges = N.build(W.lattice(s, d))
     source = s.createDataFrame([(0, 0, 0)], "source long, kx long, ky long")
     return N.costs(edges, source).select((F.col("kx") / 100).cast("long").alias("kx"), (F.col("ky") / 100).cast("long").alias("ky"), F.round("metres", 3).alias("metres"))
 
 
-@query(f"{UP}, b AS (SELECT i, j, min(c) AS c FROM p GROUP BY 1, 2), f AS (SELECT least(w.i * 1000 + w.j, w.i2 * 1000 + w.j2) AS a, greatest(w.i * 1000 + w.j, w.i2 * 1000 + w.j2) AS b, min(c + m) AS c FROM w JOIN b ON w.i = b.i AND w.j = b.j WHERE c + m <= 40000 GROUP BY 1, 2) SELECT count(*) AS edges, round(sum(c), 0) AS total FROM f")
+@query(f"{LEAST}, w AS (SELECT i, j, i2, j2, {hav('x1', 'y1', 'x2', 'y2')} AS m FROM ed UNION ALL SELECT i2, j2, i, j, {hav('x1', 'y1', 'x2', 'y2')} FROM ed), f AS (SELECT least(w.i * 100000 + w.j, w.i2 * 100000 + w.j2) AS a, greatest(w.i * 100000 + w.j, w.i2 * 100000 + w.j2) AS b, min(c + m) AS c FROM w JOIN p ON w.i = p.i AND w.j = p.j WHERE c + m <= 400000 GROUP BY 1, 2) SELECT count(*) AS edges, round(sum({rnd('c', 1)}), 0) AS total FROM f")
 def service_area_edges(s, d):
-    out = N.service_area(W.lattice(s, d), (0.0, 0.0), 40_000.0).features.where("type = 'reachable_edge'")
+    out = N.service_area(W.lattice(s, d), (0.0, 0.0), 400_000.0).features.where("type = 'reachable_edge'")
     return out.agg(F.count(F.lit(1)).alias("edges"), F.round(F.sum("cost_from_facility_m"), 0).alias("total"))
 
 
-@query(f"{UP}, b AS (SELECT i, j, min(c) AS c FROM p GROUP BY 1, 2) SELECT i * 100 + j AS destination_id, {rnd('c', 1)} AS network_distance_m FROM b WHERE j < 2")
+@query(f"WITH {W.sql_lattice()}, {FROM} SELECT CAST(j0 AS BIGINT) AS origin_id, i * 100000 + j AS destination_id, {rnd('c', 1)} AS network_distance_m FROM c")
 def od_matrix(s, d):
+    """From two origins to every node, so that the bound on pairs is set to the table's."""
     net = W.lattice(s, d)
     v = net.select(F.explode(G.vertices("geom")).alias("v")).select("v.x", "v.y").distinct()
-    fid = F.round(F.col("x") * 10).cast("long") * 100 + F.round(F.col("y") * 10).cast("long")
-    targets = v.where("y < 0.15").select(fid.alias("_fid"), G.point(F.col("x"), F.col("y")).alias("geom"))
-    origin = s.range(1).select(F.col("id").alias("_fid"), G.point(F.lit(0.0), F.lit(0.0)).alias("geom"))
-    return N.od_matrix(net, origin, targets).features.select("destination_id", "network_distance_m")
+    fid = F.round(F.col("x") * 10).cast("long") * 100_000 + F.round(F.col("y") * 10).cast("long")
+    targets = v.select(fid.alias("_fid"), G.point(F.col("x"), F.col("y")).alias("geom"))
+    origins = s.range(2).select(F.col("id").alias("_fid"), G.point(F.lit(0.0), F.col("id") / 10).alias("geom"))
+    return N.od_matrix(net, origins, targets, most_pairs=max(10_000, 2 * targets.count())).features.select("origin_id", "destination_id", "network_distance_m")
 
 
 # --- topology and overlay --------------------------------------------------------------------------------------------
@@ -587,7 +627,7 @@ CUT = "greatest(0, least(a.x1, b.x1) - greatest(a.x0, b.x0)) * greatest(0, least
 plane = lambda g: F.aggregate(F.col(f"{g}.parts"), F.lit(0.0), lambda acc, p: acc + F.aggregate(p, F.lit(0.0), lambda t, r: t + G.total(G.around(r), lambda e: e["a"]["x"] * e["b"]["y"] - e["b"]["x"] * e["a"]["y"]) / 2))
 
 
-@query(f"WITH {W.NATIONS}, {MOVED}, z AS (SELECT * FROM nations WHERE fid < 15 UNION ALL SELECT fid + 100, x0, y0, x1, y1, n_name, n_regionkey FROM moved WHERE fid < 10) SELECT a.fid, b.fid AS with_feature_index, round({CUT} * 12392142400.0::DOUBLE / 1e6, 0) AS km2 FROM z a JOIN z b ON a.fid < b.fid WHERE {CUT} > 0")
+@query(f"WITH {GAPS}, {MOVED}, z AS (SELECT * FROM nations UNION ALL SELECT fid + 100, x0, y0, x1, y1, n_name, n_regionkey FROM moved) SELECT a.fid, b.fid AS with_feature_index, round({CUT} * 12392142400.0::DOUBLE / 1e6, 0) AS km2 FROM z a JOIN z b ON a.fid < b.fid WHERE {CUT} > 0")
 def overlap_rects(s, d):
     out = O.topology_check(both_lattices(s, d)).features
     return out.select(F.col("_fid").alias("fid"), "with_feature_index", F.round(F.col("overlap_area_m2") / 1e6, 0).alias("km2"))

@@ -31,11 +31,11 @@ def suppliers(spark: SparkSession, d: str) -> DataFrame:
     return s.select(F.col("s_suppkey").cast("long").alias("_fid"), G.point(lng("s_suppkey"), lat("s_suppkey")).alias("geom"), "s_name", "s_nationkey", "s_acctbal")
 
 
-def nations(spark: SparkSession, d: str, dx: float = 0.0, dy: float = 0.0) -> DataFrame:
+def nations(spark: SparkSession, d: str, dx: float = 0.0, dy: float = 0.0, w: float = 72.0, h: float = 32.0) -> DataFrame:
     """Rectangles on a lattice of five by five."""
     n = F.col("n_nationkey").cast("long")
     x, y = (n % 5).cast("double") * 72.0 - 180.0 + dx, F.floor(n / 5).cast("double") * 32.0 - 80.0 + dy
-    return read(spark, d, "nation").select(n.alias("_fid"), G.rectangle(x, y, x + 72.0, y + 32.0).alias("geom"), "n_name", F.col("n_regionkey").cast("long").alias("n_regionkey"))
+    return read(spark, d, "nation").select(n.alias("_fid"), G.rectangle(x, y, x + w, y + h).alias("geom"), "n_name", F.col("n_regionkey").cast("long").alias("n_regionkey"))
 
 
 def user_lines(spark: SparkSession, d: str) -> DataFrame:
@@ -44,14 +44,13 @@ def user_lines(spark: SparkSession, d: str) -> DataFrame:
     return e.groupBy(F.col("user_id").cast("long").alias("_fid")).agg(F.sort_array(F.collect_list(v)).alias("vs")).select("_fid", G.line(F.transform("vs", lambda v: G.vertex(v["x"], v["y"]))).alias("geom"))
 
 
-def lattice(spark: SparkSession, d: str, size: int = 8) -> DataFrame:
-    """Edges of a street lattice of a tenth of a degree: from each node to the one right of it and the one above."""
+def lattice(spark: SparkSession, d: str) -> DataFrame:
+    """Edges of a street lattice of a tenth of a degree, fifty nodes wide: from each node (a part) to the one right of it and the one above."""
     k = F.col("p_partkey").cast("long")
-    i, j = k % 50, F.floor(k / 50)
-    nodes = read(spark, d, "part").select(k.alias("k"), i.alias("i"), j.alias("j")).where((F.col("i") < size) & (F.col("j") < size))
+    nodes = read(spark, d, "part").select(k.alias("k"), (k % 50).alias("i"), F.floor(k / 50).alias("j"))
     step = F.explode(F.array(F.struct(F.lit(1).alias("di"), F.lit(0).alias("dj")), F.struct(F.lit(0).alias("di"), F.lit(1).alias("dj"))))
     e = nodes.select("k", "i", "j", step.alias("s")).withColumn("to", F.col("k") + F.col("s.di") + F.col("s.dj") * 50).join(nodes.select(F.col("k").alias("to")), "to", "left_semi")
-    e = e.where(F.col("i") + F.col("s.di") < size)
+    e = e.where(F.col("i") + F.col("s.di") < 50)
     at = lambda c, o: (F.col(c) + F.col(f"s.{o}")) / 10.0
     return e.select((F.col("k") * 2 + F.col("s.dj")).alias("_fid"), G.line(F.array(G.vertex(F.col("i") / 10.0, F.col("j") / 10.0), G.vertex(at("i", "di"), at("j", "dj")))).alias("geom"))
 
@@ -78,9 +77,9 @@ CUSTOMERS = f"customers AS ({sql_points('customer', 'c_custkey')})"
 SUPPLIERS = f"suppliers AS ({sql_points('supplier', 's_suppkey')})"
 
 
-def sql_nations(name: str = "nations", dx: float = 0, dy: float = 0) -> str:
+def sql_nations(name: str = "nations", dx: float = 0, dy: float = 0, w: float = 72, h: float = 32) -> str:
     x, y = f"(CAST(n_nationkey % 5 AS DOUBLE) * 72 - 180 + {dx})", f"(CAST(n_nationkey // 5 AS DOUBLE) * 32 - 80 + {dy})"
-    return f"{name} AS (SELECT CAST(n_nationkey AS BIGINT) AS fid, {x} AS x0, {y} AS y0, {x} + 72 AS x1, {y} + 32 AS y1, n_name, CAST(n_regionkey AS BIGINT) AS n_regionkey FROM nation)"
+    return f"{name} AS (SELECT CAST(n_nationkey AS BIGINT) AS fid, {x} AS x0, {y} AS y0, {x} + {w} AS x1, {y} + {h} AS y1, n_name, CAST(n_regionkey AS BIGINT) AS n_regionkey FROM nation)"
 
 
 NATIONS = sql_nations()
@@ -88,9 +87,9 @@ EVENTS = f"ev AS (SELECT CAST(user_id AS BIGINT) AS fid, {LNG.format(k='event_id
 SEGMENTS = f"{EVENTS}, seg AS (SELECT a.fid, a.n, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2 FROM ev a JOIN ev b ON a.fid = b.fid AND b.n = a.n + 1)"
 
 
-def sql_lattice(size: int = 8) -> str:
-    return f"""nd AS (SELECT CAST(p_partkey AS BIGINT) AS k, CAST(p_partkey AS BIGINT) % 50 AS i, CAST(p_partkey AS BIGINT) // 50 AS j FROM part WHERE p_partkey % 50 < {size} AND p_partkey // 50 < {size}),
-ed AS (SELECT k * 2 + dj AS fid, i, j, i + di AS i2, j + dj AS j2, CAST(i AS DOUBLE) / 10 AS x1, CAST(j AS DOUBLE) / 10 AS y1, CAST(i + di AS DOUBLE) / 10 AS x2, CAST(j + dj AS DOUBLE) / 10 AS y2 FROM nd, (VALUES (1, 0), (0, 1)) s(di, dj) WHERE i + di < {size} AND k + di + dj * 50 IN (SELECT k FROM nd))"""
+def sql_lattice() -> str:
+    return """nd AS (SELECT CAST(p_partkey AS BIGINT) AS k, CAST(p_partkey AS BIGINT) % 50 AS i, CAST(p_partkey AS BIGINT) // 50 AS j FROM part),
+ed AS (SELECT k * 2 + dj AS fid, i, j, i + di AS i2, j + dj AS j2, CAST(i AS DOUBLE) / 10 AS x1, CAST(j AS DOUBLE) / 10 AS y1, CAST(i + di AS DOUBLE) / 10 AS x2, CAST(j + dj AS DOUBLE) / 10 AS y2 FROM nd, (VALUES (1, 0), (0, 1)) s(di, dj) WHERE i + di < 50 AND k + di + dj * 50 IN (SELECT k FROM nd))"""
 
 
 def sql_dem(tilt: float = 0) -> str:
