@@ -137,18 +137,20 @@ def numeric_columns(table: DataFrame, columns: list[str]) -> set[str]:
     return {c for c in texts if not bad[c] and bad[f"__{c}"]}
 
 
-def representative_vertices(g: Column | str) -> Column:
-    """Points and lines: all vertices; polygons: the first 32 of the outer ring; multipolygons: the first 16 of each part's."""
+def representative_vertices(g: Column | str, capped: bool = True) -> Column:
+    """Points and lines: all vertices; polygons: the first 32 of the outer ring; multipolygons: the first 16 of each part's. Not capped: all of them."""
     g = G.col(g)
+    if not capped:
+        return F.when(g["type"].isin("Polygon", "MultiPolygon"), F.flatten(F.transform(g["parts"], lambda p: F.get(p, F.lit(0))))).otherwise(G.vertices(g))
     first = lambda n: F.flatten(F.transform(g["parts"], lambda p: F.slice(F.get(p, F.lit(0)), 1, n)))
     return F.when(g["type"] == "Polygon", first(32)).when(g["type"] == "MultiPolygon", first(16)).otherwise(G.vertices(g))
 
 
-def spatial_join(df: DataFrame, target: DataFrame, fields: list[str] | None = None) -> ToolResult:
-    """Each feature with the polygons that hold one of its representative vertices: sj_join_count, and sj_<field>, which is null for none, the value for one, 'N matches' for more. Parts of a multipolygon count separately; the order of target decides nothing."""
+def spatial_join(df: DataFrame, target: DataFrame, fields: list[str] | None = None, capped: bool = True) -> ToolResult:
+    """Each feature with the polygons that hold one of its representative vertices: sj_join_count, and sj_<field>, which is null for none, the value for one, 'N matches' for more. Parts of a multipolygon count separately; the order of target decides nothing. Not capped, polygons are judged by all vertices of their outer rings."""
     need(not polygons(target).isEmpty(), "the target has no polygons")
     fields = fields or sorted(attributes(target))
-    vs = df.select("_fid", F.explode(representative_vertices("geom")).alias("v"))
+    vs = df.select("_fid", F.explode(representative_vertices("geom", capped)).alias("v"))
     pairs = point_in_parts(vs, target.select("_fid", "geom", *fields), F.col("v.x"), F.col("v.y")).select("_fid", "p_fid", "part_index", "p").dropDuplicates(["_fid", "p_fid", "part_index"])
     got = pairs.groupBy("_fid").agg(count().alias("__n"), *(F.min(F.col(f"p.`{f}`").cast("string")).alias(f"__{i}") for i, f in enumerate(fields)))
     n = F.coalesce("__n", F.lit(0)).cast("long")

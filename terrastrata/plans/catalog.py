@@ -7,7 +7,6 @@ id. A change writes a new version of a table and then moves the pointer, so a fa
 from __future__ import annotations
 
 import json
-import re
 import uuid
 from datetime import datetime, timezone
 
@@ -19,7 +18,7 @@ from pyspark.sql import types as T
 from ..functions import geometry as G
 from ..functions import kernels as K
 from ..operators.raster import Grid
-from ..operators.result import ToolResult, attributes, need
+from ..operators.result import ToolError, ToolResult, attributes, need
 
 TABLES = {
     "datasets": "id string, name string, format string, feature_count bigint, geom_types string, bbox string, properties_schema string, created_at string, updated_at string",
@@ -39,28 +38,70 @@ def now() -> str:
 
 # --- the console -----------------------------------------------------------------------------------------------------
 
-READS = ("select", "with", "explain", "values", "from", "describe", "show", "table")
-WRITES = re.compile(r"\b(insert|update|delete|merge|create|drop|alter|truncate|set|reset|use|add|cache|uncache|load|refresh|analyze|call|grant|revoke)\b", re.I)
-
-
-QUOTED = re.compile(r"'(?:[^'\\]|\\.|'')*'|\"(?:[^\"\\]|\\.)*\"|`[^`]*`|--[^\n]*|/\*.*?\*/", re.S)
-
-
-def guard(text: str) -> None:
-    """Only one statement that reads: judged by its first word and, outside quotes and comments, by the words it holds."""
-    bare = QUOTED.sub(lambda m: " " if m[0][:2] in ("--", "/*") else "''", text).strip().rstrip(";")
-    first = re.match(r"[(\s]*([A-Za-z]+)", bare)
-    need(first is not None and first[1].lower() in READS, "only statements that read are allowed")
-    need(";" not in bare, "only one statement is allowed")
-    need(not (m := WRITES.search(bare)), f"{m[1] if m else ''} is not allowed")
+#: What a statement's plan may consist of, by the names of the parser's nodes.
+QUERY_NODES = set("""Project Filter Aggregate Sort GlobalLimit LocalLimit Offset Tail Join LateralJoin AsOfJoin SubqueryAlias UnresolvedSubqueryColumnAliases
+UnresolvedRelation UnresolvedInlineTable LocalRelation OneRowRelation Distinct Deduplicate Union Intersect Except UnresolvedWith UnresolvedHaving Window
+WithWindowDefinition Generate Pivot UnresolvedPivot Unpivot Expand Sample ExplainCommand UnresolvedTableValuedFunction ParameterizedQuery""".split())
+TABLE_FUNCTIONS = {"range", "explode", "explode_outer", "posexplode", "posexplode_outer", "inline", "inline_outer", "stack", "json_tuple", "sequence", "values"}
+#: Functions that call code, or tell of files and the session.
+CLOSED = set("reflect java_method try_reflect input_file_name input_file_block_start input_file_block_length current_catalog current_database current_schema version raise_error session_user user current_user".split())
+
+
+def _each(seq):
+    return [seq.apply(i) for i in range(seq.size())]
+
+
+def guard(spark: SparkSession, text: str, tables: set[str]) -> None:
+    """Only one statement that reads, judged by its parsed plan: nodes of queries, the given tables and the statement's own names, no functions that call code."""
+    try:
+        plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(text.strip().rstrip(";"))
+    except Exception as e:  # the parser's own error, which comes wrapped
+        raise ToolError(f"the statement can't be read: {str(e).splitlines()[0] if str(e) else type(e).__name__}") from e
+    known = {t.lower() for t in tables}
+
+    def of_plan(node, names: set[str]) -> None:
+        kind = node.getClass().getSimpleName()
+        need(kind in QUERY_NODES, f"only statements that read are allowed, not {kind}")
+        if kind == "ExplainCommand":
+            return of_plan(node.logicalPlan(), names)
+        if kind == "UnresolvedWith":
+            own = set(names)
+            for pair in _each(node.cteRelations()):
+                of_plan(pair._2(), own | ({pair._1().lower()} if node.allowRecursion() else set()))
+                own.add(pair._1().lower())
+            return of_plan(node.child(), own)
+        if kind == "UnresolvedRelation":
+            parts = _each(node.multipartIdentifier())
+            need(len(parts) == 1 and parts[0].lower() in names, f"there is no table {'.'.join(parts)}")
+        if kind == "UnresolvedTableValuedFunction":
+            name = ".".join(_each(node.name())).lower()
+            need(name in TABLE_FUNCTIONS, f"{name} is not allowed")
+        for e in _each(node.expressions()):
+            of_expression(e, names)
+        for child in _each(node.children()):
+            of_plan(child, names)
+
+    def of_expression(e, names: set[str]) -> None:
+        kind = e.getClass().getSimpleName()
+        if kind == "UnresolvedFunction":
+            name = ".".join(_each(e.nameParts())).lower()
+            need(name not in CLOSED and "." not in name, f"{name} is not allowed")
+        need(kind not in ("CallMethodViaReflection", "Reflect"), f"{kind} is not allowed")
+        if kind in ("ScalarSubquery", "ListQuery", "Exists", "LateralSubquery", "UnresolvedExists"):
+            of_plan(e.plan(), names)
+        for child in _each(e.children()):
+            of_expression(child, names)
+
+    of_plan(plan, known)
 
 
 def sql_console(spark: SparkSession, text: str, tables: dict[str, DataFrame]) -> DataFrame:
-    """The statement's rows over the given tables, which it sees by name."""
-    guard(text)
+    """The statement's rows over the given tables, which it sees by name. It runs in a session of its own, so the caller's views stay as they are and it sees none of them."""
+    guard(spark, text, set(tables))
+    own = spark.newSession()
     for name, df in tables.items():
-        df.createOrReplaceTempView(name)
-    return spark.sql(text.strip().rstrip(";"))
+        own._jvm.org.apache.spark.sql.classic.Dataset.ofRows(own._jsparkSession, df._jdf.logicalPlan()).createOrReplaceTempView(name)
+    return own.sql(text.strip().rstrip(";"))
 
 
 def counts(tables: dict[str, DataFrame]) -> DataFrame:
@@ -213,7 +254,6 @@ class Project:
 
     def query(self, text: str) -> DataFrame:
         """SQL over the catalog tables and every dataset, which is seen as dataset_<id with underscores>."""
-        guard(text)
         tables = {t: self.table(t) for t in TABLES}
         for r in self.table("datasets").select("id").collect():
             tables["dataset_" + r.id.replace("-", "_")] = self.dataset(r.id)

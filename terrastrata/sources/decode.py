@@ -17,7 +17,6 @@ import numpy as np
 from ..functions.kernels import from_gpkg, geometry, signed_area
 
 Feature = tuple[dict | None, dict]
-MOST_GPKG = 250_000
 
 
 class FormatError(ValueError):
@@ -41,16 +40,26 @@ def json_geometry(g: dict | None) -> dict | None:
 
 
 def geojson(data: bytes, name: str = "") -> Iterator[Feature]:
-    """A feature collection, a feature or a bare geometry."""
+    """A feature collection, a feature or a bare geometry; or such documents a line each. A feature's id is its property _id, unless it has one of that name."""
     try:
-        doc = json.loads(data)
+        docs = [json.loads(data)]
     except ValueError as e:
-        raise FormatError(f"not GeoJSON: {e}") from e
-    if not isinstance(doc, dict) or "type" not in doc:
-        raise FormatError("not GeoJSON")
-    features = doc.get("features", []) if doc["type"] == "FeatureCollection" else [doc] if doc["type"] == "Feature" else [{"geometry": doc, "properties": {}}]
-    for f in features:
-        yield json_geometry(f.get("geometry")), dict(f.get("properties") or {})
+        lines = data.split(b"\n")
+        try:
+            docs = [json.loads(x) for x in (line.strip(b" \t\r\x1e") for line in lines) if x] if len(lines) > 1 else []
+        except ValueError:
+            docs = []
+        if not docs:
+            raise FormatError(f"not GeoJSON: {e}") from e
+    for doc in docs:
+        if not isinstance(doc, dict) or "type" not in doc:
+            raise FormatError("not GeoJSON")
+        features = doc.get("features", []) if doc["type"] == "FeatureCollection" else [doc] if doc["type"] == "Feature" else [{"geometry": doc, "properties": {}}]
+        for f in features:
+            props = dict(f.get("properties") or {})
+            if f.get("id") is not None:
+                props = {"_id": f["id"]} | props
+            yield json_geometry(f.get("geometry")), props
 
 
 def to_json_geometry(g: dict | None) -> dict | None:
@@ -235,7 +244,7 @@ def gpx(data: bytes, name: str = "") -> Iterator[Feature]:
 
 
 def gpkg(data: bytes, name: str = "") -> Iterator[Feature]:
-    """The first feature table by name, 250,000 rows at most; only integer, real and text attributes."""
+    """The first feature table by name; only integer, real and text attributes."""
     with tempfile.NamedTemporaryFile(suffix=".gpkg") as f:  # read and gone within the task
         f.write(data)
         f.flush()
@@ -245,7 +254,7 @@ def gpkg(data: bytes, name: str = "") -> Iterator[Feature]:
             if not found:
                 raise FormatError("there is no feature table")
             quoted = found[0].replace('"', '""')
-            rows = db.execute(f'SELECT * FROM "{quoted}" LIMIT {MOST_GPKG}')
+            rows = db.execute(f'SELECT * FROM "{quoted}"')
             names = [d[0] for d in rows.description]
             for row in rows:
                 values = dict(zip(names, row, strict=True))

@@ -86,7 +86,7 @@ def read_vector(spark: SparkSession, path: str, kind: str | None = None) -> Data
     """Features of one or more files of a format (by suffix if not named); empty input is an error."""
     kind = {"json": "geojson"}.get(kind or format_of(path), kind or format_of(path))
     if kind == "csv":
-        out = csv_points(spark.read.csv(path, header=True, quote='"', escape='"'))
+        out = csv_points(spark.read.csv(path, header=True, quote='"', escape='"', multiLine=True))
     elif kind == "wkt":
         out = wkt_features(spark.read.text(path))
     else:
@@ -109,18 +109,52 @@ def from_payload(spark: SparkSession, payload: str, kind: str = "geojson") -> Da
     return out
 
 
+def raster_cells(files: DataFrame) -> DataFrame:
+    """file, x, y, value of GeoTIFFs (path, content). A file is one task's work, its rows go out in blocks."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for path, content in zip(b["path"], b["content"], strict=True):
+                values, _, _ = decode.geotiff(bytes(content))
+                h, w = values.shape
+                step = max(1, 200_000 // max(1, w))
+                for at in range(0, h, step):
+                    ys, xs = np.mgrid[at : min(h, at + step), 0:w]
+                    yield pd.DataFrame({"file": path, "x": xs.ravel().astype("int32"), "y": ys.ravel().astype("int32"), "value": values[at : at + step].ravel()})
+
+    return files.select("path", "content").mapInPandas(run, "file string, x int, y int, value double")
+
+
+def raster_grids(files: DataFrame) -> dict[str, Grid]:
+    """The grid of each file, a few numbers a file."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for path, content in zip(b["path"], b["content"], strict=True):
+                values, extent, nodata = decode.geotiff(bytes(content))
+                yield pd.DataFrame([(path, *values.shape, *extent, nodata)], columns=["file", "h", "w", "x0", "y0", "x1", "y1", "nodata"])
+
+    rows = files.select("path", "content").mapInPandas(run, "file string, h int, w int, x0 double, y0 double, x1 double, y1 double, nodata double")
+    return {r.file: Grid(r.w, r.h, r.x0, r.y0, r.x1, r.y1, None if r.nodata is None or r.nodata != r.nodata else r.nodata) for r in rows.collect()}
+
+
+def read_rasters(spark: SparkSession, path: str) -> tuple[DataFrame, dict[str, Grid]]:
+    """All GeoTIFFs of a path as cells (file, x, y, value), decoded by the executors, and the grid of each file."""
+    files = spark.read.format("binaryFile").load(path)
+    return raster_cells(files), raster_grids(files)
+
+
 def read_raster(spark: SparkSession, path: str) -> tuple[DataFrame, Grid]:
-    """A GeoTIFF as cells and their grid."""
-    data = bytes(spark.read.format("binaryFile").load(path).select("content").first()[0])
-    return raster_of(spark, data)
+    """One GeoTIFF as cells and their grid; several are an error, read_rasters() reads them."""
+    cells, grids = read_rasters(spark, path)
+    need(len(grids) == 1, f"{path} holds {len(grids)} rasters: use read_rasters()")
+    return cells.drop("file"), next(iter(grids.values()))
 
 
 def raster_of(spark: SparkSession, data: bytes) -> tuple[DataFrame, Grid]:
-    values, extent, nodata = decode.geotiff(data)
-    h, w = values.shape
-    ys, xs = np.mgrid[0:h, 0:w]
-    cells = spark.createDataFrame(pd.DataFrame({"x": xs.ravel().astype("int32"), "y": ys.ravel().astype("int32"), "value": values.ravel()}), "x int, y int, value double")
-    return cells, Grid(w, h, *extent, nodata)
+    files = spark.createDataFrame([("payload", bytearray(data))], "path string, content binary")
+    decode.geotiff(data)  # fails here rather than in a task
+    return raster_cells(files).drop("file"), raster_grids(files)["payload"]
 
 
 # --- text formats, all in built-in expressions -----------------------------------------------------------------------
@@ -232,8 +266,23 @@ def geojson_rows(df: DataFrame) -> DataFrame:
     """_fid and the text of each feature."""
     members = F.concat(F.lit('{"type":"GeometryCollection","geometries":['), F.array_join(F.transform("geom.members", lambda m: json_geometry(F.struct(m["type"].alias("type"), m["parts"].alias("parts")))), ","), F.lit("]}"))
     g = F.coalesce(json_geometry("geom"), F.when(F.col("geom.members").isNotNull(), members), F.lit("null"))
-    props = F.to_json(F.struct(*attributes(df)), {"ignoreNullFields": "false"}) if attributes(df) else F.lit("{}")
-    return df.select("_fid", F.concat(F.lit('{"type":"Feature","geometry":'), g, F.lit(',"properties":'), props, F.lit("}")).alias("line"))
+    names = [c for c in attributes(df) if c != "_id"]
+    props = F.to_json(F.struct(*(F.col(f"`{c}`") for c in names)), {"ignoreNullFields": "false"}) if names else F.lit("{}")
+    own = F.lit("")
+    if "_id" in df.columns:  # a feature's own id stands beside its properties
+        quoted_id = F.to_json(F.array("_id"))
+        own = F.when(F.col("_id").isNotNull(), F.concat(F.lit(',"id":'), F.substring(quoted_id, F.lit(2), F.length(quoted_id) - 2))).otherwise(F.lit(""))
+    return df.select("_fid", F.concat(F.lit('{"type":"Feature"'), own, F.lit(',"geometry":'), g, F.lit(',"properties":'), props, F.lit("}")).alias("line"))
+
+
+def write_feature_collection(df: DataFrame, path: str) -> None:
+    """A layer as one GeoJSON document: a file, written feature by feature in order by one task. write_lines(geojson_rows(df), path) writes features a line each by many; both read back."""
+    lines = geojson_rows(df)
+    ends = df.sparkSession.createDataFrame([(0, '{"type":"FeatureCollection","features":['), (2, "]}")], "part int, line string")
+    last = lines.agg(F.max("_fid").alias("last"))  # one row
+    body = lines.crossJoin(F.broadcast(last)).select(F.lit(1).alias("part"), "_fid", F.concat("line", F.when(F.col("_fid") < F.col("last"), ",").otherwise("")).alias("line"))
+    whole = body.unionByName(ends.withColumn("_fid", F.lit(0).cast("long")))
+    whole.orderBy("part", "_fid").select("line").coalesce(1).write.mode("overwrite").text(path)
 
 
 def write_lines(rows: DataFrame, path: str) -> None:

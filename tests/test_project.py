@@ -37,11 +37,24 @@ def test_console(spark, project):
     name = "dataset_" + a["dataset_id"].replace("-", "_")
     assert project.query(f"WITH t AS (SELECT * FROM {name}) SELECT sum(v) AS s FROM t").first().s == 12
     assert project.query("select name from datasets where name <> 'drop table x; --'").count() == 1
-    for bad in ("DROP TABLE datasets", "SELECT 1; DELETE FROM datasets", "WITH t AS (SELECT 1) INSERT INTO datasets SELECT * FROM t", "", "/* x */ SET a = 1"):
+    for bad in ("DROP TABLE datasets", "SELECT 1; DELETE FROM datasets", "WITH t AS (SELECT 1) INSERT INTO datasets SELECT * FROM t", "", "/* x */ SET a = 1", "select reflect('java.lang.System', 'getProperty', 'user.home')", "SELECT java_method('java.lang.Math', 'random')", "SELECT 1 WHERE EXISTS (SELECT try_reflect('a', 'b'))",
+                "SELECT * FROM text.`/etc/passwd`", "SELECT * FROM parquet.`/x`", "SELECT * FROM read_files('/etc')", "SELECT * FROM elsewhere", "WITH a AS (SELECT * FROM b) SELECT * FROM a", "SELECT (SELECT count(*) FROM csv.`/etc/passwd`)", "SHOW TABLES", "EXPLAIN DROP TABLE datasets", "SELECT input_file_name() FROM datasets"):
         with pytest.raises(ToolError):
             project.query(bad)
 
 
+def test_console_reads_what_only_looks_like_writing(spark):
+    from terrastrata.plans import catalog
+
+    t = spark.createDataFrame([(1, "x"), (2, "y")], "load int, `set` string")
+    spark.createDataFrame([(9,)], "a int").createOrReplaceTempView("t")
+    assert catalog.sql_console(spark, "SELECT load, `set` FROM t ORDER BY load", {"t": t}).first().load == 1
+    assert spark.table("t").columns == ["a"]
+    for text, n in (("WITH RECURSIVE r(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM r WHERE n < 5) SELECT * FROM r", 5), ("SELECT * FROM T WHERE load IN (SELECT load FROM t)", 2), ("TABLE t", 2), ("VALUES (1), (2)", 2), ("SELECT row_number() OVER w AS n FROM t WINDOW w AS (ORDER BY load)", 2), ("SELECT * FROM range(3)", 3), ("(SELECT 1) UNION (SELECT 2);", 2), ("SELECT explode(array(load, 7)) FROM t", 4), ("SELECT load FROM t GROUP BY load HAVING count(*) > 0", 2), ("SELECT a.load FROM t a, LATERAL (SELECT a.load + 1 AS z) b", 2)):
+        assert catalog.sql_console(spark, text, {"t": t}).count() == n, text
+    assert catalog.sql_console(spark, "EXPLAIN SELECT * FROM t", {"t": t}).count() == 1
+
+
 def test_tools_end_to_end(spark, project):
     a = project.save_dataset(layer(spark, [(point(1, 2), 5.0), (point(3, 4), 7.0), (point(5, 1), 9.0)], "v double"), "pts")["dataset_id"]
     zone = project.save_dataset(layer(spark, [(square(0, 0, 4),)]), "zone")["dataset_id"]

@@ -30,7 +30,9 @@ def test_geojson(spark, tmp_path):
     rows = df.orderBy("_fid").collect()
     assert [(r.city, r.pop, r.on, r.tags) for r in rows] == [("a", 5.0, True, "[1]"), ("b", None, None, None)] and rows[1].geom.parts[0][0][0].z == 9
     assert IO.from_payload(spark, '{"type":"Point","coordinates":[1,2]}').first().geom.type == "Point"
-    for bad in ("hello", "{", "", '{"type":"FeatureCollection","features":[]}'):
+    lines = '{"type":"Feature","id":7,"geometry":null,"properties":{"a":1}}\n\n{"type":"Feature","id":8,"geometry":{"type":"Point","coordinates":[1,2]},"properties":{"a":2}}\n'
+    assert [(r._id, r.a) for r in IO.from_payload(spark, lines).orderBy("_fid").collect()] == [(7.0, 1.0), (8.0, 2.0)]
+    for bad in ("hello", "{", "", "{\n}", '{"type":"FeatureCollection","features":[]}'):
         with pytest.raises((D.FormatError, ToolError)):
             IO.from_payload(spark, bad)
     for n in range(2):
@@ -170,3 +172,30 @@ def test_table(spark, tmp_path):
     (tmp_path / "r.csv").write_text("a,b\n1,2\n3\n")
     with pytest.raises(Exception, match="MALFORMED|Malformed|FAILFAST"):
         IO.read_table(spark, f"{tmp_path}/r.csv").collect()
+
+
+def test_feature_collection_out_and_in(spark, tmp_path):
+    df = layer(spark, [(point(i, -i), f"n{i}", f"id {i}") for i in range(5)], "name string, _id string").repartition(3)
+    IO.write_feature_collection(df, f"{tmp_path}/one")
+    (part,) = [p for p in (tmp_path / "one").iterdir() if p.name.startswith("part-")]
+    doc = json.loads(part.read_text())
+    assert doc["type"] == "FeatureCollection" and [f["id"] for f in doc["features"]] == [f"id {i}" for i in range(5)] and doc["features"][2]["properties"] == {"name": "n2"}
+    IO.write_lines(IO.geojson_rows(df), f"{tmp_path}/many")
+    for folder in ("one", "many"):
+        back = IO.read_vector(spark, f"{tmp_path}/{folder}/part-*", "geojson").orderBy("name").collect()
+        assert [(r.name, r._id, r.geom.parts[0][0][0].y) for r in back] == [(f"n{i}", f"id {i}", -float(i)) for i in range(5)]
+
+
+def test_folders_of_rasters(spark, tmp_path):
+    for n in range(3):
+        (tmp_path / f"{n}.tif").write_bytes(tiff(np.arange(4 + 2 * n, dtype="uint16").reshape(2, 2 + n) + n))
+    cells, grids = IO.read_rasters(spark, f"{tmp_path}/*.tif")
+    assert sorted((g.width, g.height) for g in grids.values()) == [(2, 2), (3, 2), (4, 2)] and cells.count() == 18 and cells.agg(F.sum("value")).first()[0] == sum(range(4)) + sum(range(1, 7)) + sum(range(2, 10))
+    with pytest.raises(ToolError):
+        IO.read_raster(spark, f"{tmp_path}/*.tif")
+    assert IO.read_raster(spark, f"{tmp_path}/1.tif")[1].width == 3
+
+
+def test_quoted_line_breaks_in_csv(spark, tmp_path):
+    (tmp_path / "p.csv").write_text('lat,lon,note\n1,2,"two\nlines"\n3,4,x\n')
+    assert sorted(r.note for r in IO.read_vector(spark, f"{tmp_path}/p.csv", "csv").collect()) == ["two\nlines", "x"]

@@ -166,3 +166,25 @@ def test_topology(spark):
     for bad in (("nothing", None), ("must_not_overlap", None)):
         with pytest.raises(ToolError):
             O.topology_check(pts, *bad)
+
+
+def test_costs_settle_or_fail(spark):
+    from terrastrata.operators import network as N
+
+    path = layer(spark, [(line(*((i / 10, 0) for i in range(31))),)])
+    _, edges = N.build(path)
+    source = spark.createDataFrame([(0, 0, 0)], "source long, kx long, ky long")
+    local = {(r.kx, r.ky): r.metres for r in N.costs(edges, source).collect()}
+    far = {(r.kx, r.ky): r.metres for r in N.costs(edges, source, most_local=0).collect()}
+    assert len(local) == 31 and local.keys() == far.keys() and all(abs(local[k] - far[k]) < 1e-6 for k in local)
+    with pytest.raises(ToolError):
+        N.costs(edges, source, rounds=5, most_local=0)
+    assert N.costs(edges, source, most=50_000.0).count() == N.costs(edges, source, most=50_000.0, most_local=0).count() == 5
+
+
+def test_polygons_judged_by_all_vertices(spark):
+    ring = [(i / 100, 0) for i in range(39)] + [(10, 10), (0, 10), (0, 0)]
+    many = layer(spark, [(K.geometry("Polygon", [ring]),)])
+    target = layer(spark, [(square(9, 9, 2), "t")], "name string")
+    assert J.spatial_join(many, target).features.first().sj_join_count == 0
+    assert J.spatial_join(many, target, capped=False).features.first().sj_join_count == 1
