@@ -33,10 +33,21 @@ def small_batches(spark: SparkSession, rows: int = 256) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
-def map_rows(df: DataFrame, make, schema: str) -> DataFrame:
-    """mapInArrow by a function that is made once a task: make() returns f(batch) -> dict of columns."""
+_kept: dict[str, dict] = {}
+
+
+def kept(owner: str) -> dict:
+    """What a worker process keeps for an operator from task to task. That of any other goes: a worker keeps one operator's things at a time."""
+    for other in [x for x in _kept if x != owner]:
+        del _kept[other]
+    return _kept.setdefault(owner, {})
+
+
+def map_rows(df: DataFrame, make, schema: str, owner: str = "") -> DataFrame:
+    """mapInArrow by a function that is made once a task: make() returns f(batch) -> dict of columns. owner names the operator if it keeps things in the worker."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept(owner)
         f = make()
         for batch in batches:
             if batch.num_rows:

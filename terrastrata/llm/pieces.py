@@ -38,8 +38,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_rows
+from .common import kept, map_rows
 
+OWNER = "pieces"  # of what workers keep
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BEST = 4
 CACHE_BYTES = 160 << 20  # what a worker keeps of stretches seen, and again of those seen before them, by a generous estimate of their size
@@ -326,28 +327,21 @@ def decode(pieces: Pieces, ids: list[int] | np.ndarray) -> str:
     return gathered(pieces.letters, pieces.letters_at[which], pieces.letters_of[which]).tobytes().decode("utf-8", "replace").removeprefix(" ")
 
 
-_loaded: dict[bytes, Pieces] = {}
-
-
 def loaded(model: bytes) -> Pieces:
     """The vocabulary, kept by a worker process."""
-    key = hashlib.sha256(model).digest()
-    if key not in _loaded:
-        _loaded.clear()
-        _loaded[key] = Pieces(model)
-    return _loaded[key]
-
-
-_encoders: dict[tuple[int, int], Encoder] = {}
+    mine, key = kept(OWNER), hashlib.sha256(model).digest()
+    if mine.get("model") != key:
+        mine.clear()
+        mine.update(model=key, pieces=Pieces(model))
+    return mine["pieces"]
 
 
 def encoder(model: bytes, best: int) -> Encoder:
-    p = loaded(model)
-    key = id(p), best
-    if key not in _encoders:
-        _encoders.clear()
-        _encoders[key] = Encoder(p, best)
-    return _encoders[key]
+    """An encoder with what it has seen, kept by a worker process."""
+    p, mine = loaded(model), kept(OWNER)
+    if "encoder" not in mine or mine["encoder"].best != best:
+        mine["encoder"] = Encoder(p, best)
+    return mine["encoder"]
 
 
 def read_model(path: str) -> bytes:
@@ -393,7 +387,7 @@ def encoded(docs: DataFrame, model: str = MODEL, best: int = BEST, back: str | N
 
     fields = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes)
     changes = "array<array<struct<at:int,n:int,ids:array<int>>>>"
-    return map_rows(docs, make, f"{fields}, ids array<int>, scores array<double>, junctions array<int>, changes {changes}" + (f", `{back}` string" if back else ""))
+    return map_rows(docs, make, f"{fields}, ids array<int>, scores array<double>, junctions array<int>, changes {changes}" + (f", `{back}` string" if back else ""), OWNER)
 
 
 def decoded(encodings: DataFrame, model: str = MODEL) -> DataFrame:
@@ -404,7 +398,7 @@ def decoded(encodings: DataFrame, model: str = MODEL) -> DataFrame:
         p = loaded(data)
         return lambda batch: {"doc_id": batch.column(0), "text": [decode(p, x or []) for x in batch.column(1).to_pylist()]}
 
-    return map_rows(encodings.select("doc_id", "ids"), make, "doc_id long, text string")
+    return map_rows(encodings.select("doc_id", "ids"), make, "doc_id long, text string", OWNER)
 
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

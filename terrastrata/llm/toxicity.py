@@ -44,7 +44,7 @@ SHORT, LONGEST = 4, 9  # letters of a stem
 RATIO = 4.0  # how much commoner a term is in toxic texts, at least
 LEVEL = 0.01
 COVER = 4
-CACHE_BYTES = 64 << 20  # what a worker keeps of stretches seen, by estimate
+CACHE_BYTES = 32 << 20  # what a worker keeps of stretches seen, by estimate
 WORD = re.compile(r"[^\W\d_]+(?:[*@$!0-9][^\W\d_]+)*")
 #: A pair of quotation marks within a line; a mark after a letter or digit doesn't open, one before them doesn't close.
 QUOTED = re.compile(r"(?<!\w)(?:\"[^\"\n]+\"|“[^“”\n]+”|„[^„“”\n]+[“”]|«[^«»\n]+»)(?!\w)")
@@ -125,6 +125,7 @@ class Scorer:
         if not like and low[:SHORT] not in self.starts:
             return None
         if low not in self.kinds:
+            self.held += 150 + len(low)
             found = self.trie.within(low, 1 if len(low) >= LONG and low not in self.model.common else 0) if like else None
             stems = tuple(low[:n] for n in self.stem_sizes if n < len(low) and low[:n] in self.stems)
             self.kinds[low] = (bool(found and found[1] and not stems), ((found[0],) if found else ()) + stems) if found or stems else None
