@@ -45,6 +45,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BEST = 4
 CACHE_BYTES = 160 << 20  # what a worker keeps of stretches seen, and again of those seen before them, by a generous estimate of their size
 HEADS, MOST_HEADS = (4, 6), 100_000  # lengths of the beginnings of stretches whose pieces are kept, and how many of them
+MOST_PAIRS = 1_000_000  # pairs of pieces whose junctions are kept
 LOW, NEVER = -(1 << 200), 1 << 62
 JUNCTION = 1 << 52  # what a junction that merges would not leave costs: more than the stored numbers of a text add up to (those of pieces for runs of spaces are 1e9, so of four million of them at most)
 
@@ -103,6 +104,8 @@ class Pieces:
         self.rows: list[dict[int, int]] = [{} for _ in range(size)]
         self.start: dict[int, int] = {}
         self.made: dict[int, bool] = {}
+        self.pairs = 0
+        self.most_heads = MOST_HEADS
         self.heads: dict[str, list[list[Node]]] = {}
 
     def spell(self, c: str) -> int:
@@ -142,8 +145,17 @@ class Pieces:
         if self.merges and not (self.sound(q) and (p < 0 or self.sound(p) and self.merged(self.texts[p] + self.texts[q]) == [self.texts[p], self.texts[q]])):
             s -= JUNCTION
         row[q] = s
+        self.pairs += 1
         return s
 
+    def forget(self) -> None:
+        """Lets go of what is known of pairs and of beginnings."""
+        self.heads.clear()
+        self.start.clear()
+        for row in self.rows:
+            row.clear()
+        self.pairs = 0
+
     def ending(self, text: str, j: int, ends: list[list[Node]]) -> list[Node]:
         """The pieces that end at position j, with their forward Viterbi scores, from those of all positions before."""
         out: list[Node] = []
@@ -176,7 +188,7 @@ class Pieces:
                 known = list(ends)
                 for j in range(done + 1, len(head) + 1):
                     known.append(self.ending(head, j, known))
-                if len(self.heads) >= MOST_HEADS:
+                if len(self.heads) >= self.most_heads:
                     self.heads.clear()
                 self.heads[head] = known
             ends, done = known, len(head)
@@ -251,6 +263,7 @@ class Encoder:
 
     def __init__(self, pieces: Pieces, best: int = BEST, cache_bytes: int = CACHE_BYTES):
         self.pieces, self.best, self.room = pieces, best, cache_bytes
+        pieces.most_heads = min(MOST_HEADS, max(1000, cache_bytes // 1600))
         self.seen, self.before = Seen(), Seen()
         self.deep: dict[str, list[tuple[int, list[int]]]] = {}
         self.deep_size = 0
@@ -281,6 +294,8 @@ class Encoder:
         """(ids of the best, scores of the N best, changes): how each of the N best differs from the best, as (place in its ids, pieces replaced, ids instead)."""
         if not text:
             return np.zeros(0, dtype=np.int32), [0], [[]]
+        if self.pieces.pairs > MOST_PAIRS:
+            self.pieces.forget()
         if self.seen.size() > self.room:  # what was seen since the last time stays for one more, so that common stretches are always kept
             self.seen, self.before = Seen(), self.seen
         stretches = self.pieces.stretch.findall(" " + text)
@@ -336,11 +351,11 @@ def loaded(model: bytes) -> Pieces:
     return mine["pieces"]
 
 
-def encoder(model: bytes, best: int) -> Encoder:
+def encoder(model: bytes, best: int, cache_bytes: int = CACHE_BYTES) -> Encoder:
     """An encoder with what it has seen, kept by a worker process."""
     p, mine = loaded(model), kept(OWNER)
-    if "encoder" not in mine or mine["encoder"].best != best:
-        mine["encoder"] = Encoder(p, best)
+    if "encoder" not in mine or (mine["encoder"].best, mine["encoder"].room) != (best, cache_bytes):
+        mine["encoder"] = Encoder(p, best, cache_bytes)
     return mine["encoder"]
 
 
@@ -352,7 +367,7 @@ def read_model(path: str) -> bytes:
 CHANGES = pa.list_(pa.list_(pa.struct([("at", pa.int32()), ("n", pa.int32()), ("ids", pa.list_(pa.int32()))])))
 
 
-def encoded(docs: DataFrame, model: str = MODEL, best: int = BEST, back: str | None = None) -> DataFrame:
+def encoded(docs: DataFrame, model: str = MODEL, best: int = BEST, back: str | None = None, cache_bytes: int = CACHE_BYTES) -> DataFrame:
     """docs with ids (the best segmentation), scores (of the N best: sums of the stored numbers), junctions (of the N best: those
     that merges would not leave), changes (how each differs from the best) and, if back names it, a column of the text decoded
     from ids. They take the place of columns of those names. The model's file, read on the driver, goes along with the function."""
@@ -360,7 +375,7 @@ def encoded(docs: DataFrame, model: str = MODEL, best: int = BEST, back: str | N
     data, place = read_model(model), docs.columns.index("text")
 
     def make() -> Callable[[pa.RecordBatch], dict]:
-        e = encoder(data, best)
+        e = encoder(data, best, cache_bytes)
 
         def f(batch: pa.RecordBatch) -> dict:
             ids, scores, junctions, changes, texts = [], [], [], [], []

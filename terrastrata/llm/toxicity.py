@@ -44,7 +44,7 @@ SHORT, LONGEST = 4, 9  # letters of a stem
 RATIO = 4.0  # how much commoner a term is in toxic texts, at least
 LEVEL = 0.01
 COVER = 4
-CACHE_BYTES = 32 << 20  # what a worker keeps of stretches seen, by estimate
+CACHE_BYTES = 48 << 20  # what a worker keeps of stretches seen, by estimate
 WORD = re.compile(r"[^\W\d_]+(?:[*@$!0-9][^\W\d_]+)*")
 #: A pair of quotation marks within a line; a mark after a letter or digit doesn't open, one before them doesn't close.
 QUOTED = re.compile(r"(?<!\w)(?:\"[^\"\n]+\"|“[^“”\n]+”|„[^„“”\n]+[“”]|«[^«»\n]+»)(?!\w)")
@@ -114,14 +114,24 @@ class Scorer:
         self.hits: set[str] = set()  # those of them with a hit
         self.held = 0
         self.kinds: dict[str, tuple[bool, tuple[str, ...]] | None] = {}
-        self.lengths = {n + d for n in map(len, words) for d in (-1, 0, 1)}
-        # One letter's difference leaves a term's first or its last two letters as they are.
+        # One letter's difference leaves a term's first or its second half as it is.
+        self.halves: dict[int, tuple[int, set[str]]] = {}
+        for t in words:
+            self.halves.setdefault(len(t), (len(t) // 2, set()))[1].update((t[: len(t) // 2], "$" + t[len(t) - len(t) // 2 :]))
         self.heads, self.tails = {t[:2] for t in words}, {t[-2:] for t in words}
+        self.lengths = {n + d for n in self.halves for d in (-1, 0, 1)}
+
+    def like(self, low: str) -> bool:
+        """Whether a word may be a term or a letter away from one."""
+        n = len(low)
+        if n not in self.lengths or not (low[:2] in self.heads or low[-2:] in self.tails):
+            return False
+        return any((h := self.halves.get(k)) and (low[: h[0]] in h[1] or "$" + low[n - h[0] :] in h[1]) for k in (n - 1, n, n + 1))
 
     def kind(self, word: str) -> tuple[bool, tuple[str, ...]] | None:
         """(whether misspelled, the term and stems that it stands for); None without any."""
         low = word.lower()
-        like = len(low) in self.lengths and (low[:2] in self.heads or low[-2:] in self.tails)
+        like = self.like(low)
         if not like and low[:SHORT] not in self.starts:
             return None
         if low not in self.kinds:
