@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions import kernels as K
+from . import pairs
 from .result import ToolResult, count, need, small
-from .statistics import KM_PER_DEGREE, numeric, pair_blocks
+from .statistics import KM_PER_DEGREE, numeric
 
 LAGS = 12
 MOST_IDW, MOST_KRIGING, MOST_SAMPLES = 200, 150, 400
@@ -76,11 +77,12 @@ def model_value(model: str, h: Column, nugget: Column, sill: Column, reach: Colu
 
 def semivariogram(pts: DataFrame, lags: int = LAGS) -> tuple[DataFrame, float, float]:
     """(bins, largest lag, mean): bins are (bin, h, total, n), half squared differences of pairs by lags up to half the largest distance (at least half a metre), h being the lag's middle; the mean is over all pairs."""
-    later = pair_blocks(pts).where(F.col("a._fid") < F.col("b._fid")).select(G.haversine(F.col("a.x"), F.col("a.y"), F.col("b.x"), F.col("b.y")).alias("d"), (F.pow(F.col("a.v") - F.col("b.v"), F.lit(2.0)) / 2).alias("g"))
-    far, mean = later.agg(F.max("d"), F.avg("g")).first()
+    pts = pts.cache()
+    n, mean = pts.agg(count(), F.var_samp("v")).first()  # the mean of half squared differences is the variance
+    units = pairs.all_units(pts, n)
+    far = pairs.over(units, pairs.farthest, "far double").agg(F.max("far")).first()[0]
     top = max(1.0, far or 0.0) / 2
-    b = F.least(F.lit(lags - 1), F.floor(F.col("d") / top * lags).cast("int"))
-    bins = later.where(F.col("d") <= top).groupBy(b.alias("bin")).agg(F.sum("g").alias("total"), count().alias("n"))
+    bins = pairs.over(units, lambda a, b, same: pairs.lag_sums(a, b, same, top, lags), "bin int, n long, total double").groupBy("bin").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
     return bins.select("bin", ((F.col("bin") + 0.5) / lags * top).alias("h"), "total", "n"), top, mean or 0.0
 
 
