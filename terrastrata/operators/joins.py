@@ -7,11 +7,16 @@ beyond it both sides are, and Spark splits tiles that are hot. A handful of part
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
-from .result import ToolResult, attributes, count, need, parts, polygons, small
+from ..functions import kernels as K
+from .result import ToolResult, attributes, checkpoints, count, need, parts, polygons, small
 
 TILE = 5.0  # degrees
 FEW = 16  # parts that every point may be tested against
@@ -167,10 +172,42 @@ def sample_points(df: DataFrame, *keep: str) -> DataFrame:
     return df.select("_fid", *keep, F.posexplode(vs).alias("place", "v")).select("_fid", *keep, "place", F.col("v.x").alias("x"), F.col("v.y").alias("y")).where("x is not null and y is not null")
 
 
-def nearest(points: DataFrame, targets: DataFrame, same: bool, cell_deg: float = 4.0) -> DataFrame:
+MOST_SHARED = 1_000_000  # targets, of 48 bytes each, that go to every task
+
+
+def nearest_shared(points: DataFrame, t: DataFrame, same: bool) -> DataFrame:
+    """nearest() for targets (t_fid, t_place, tx, ty) that fit a task."""
+    held = t.select(F.col("t_fid").cast("long"), F.col("t_place").cast("long"), "tx", "ty").where("tx is not null and ty is not null and not isnan(tx) and not isnan(ty)").toArrow().to_pandas().sort_values(["t_fid", "t_place"], kind="stable")
+    fid, place, tx, ty = (held[c].to_numpy() for c in ("t_fid", "t_place", "tx", "ty"))
+    shared = points.sparkSession.sparkContext.broadcast((fid, place, tx, ty))
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fid, place, tx, ty = shared.value
+        index = K.Nearest(K.on_sphere(tx, ty)) if len(fid) else None
+        own = {k: i for i, k in enumerate(zip(fid.tolist(), place.tolist(), strict=True))} if same else {}
+        for b in batches:
+            x, y = (b.column(c).to_numpy(zero_copy_only=False) for c in ("x", "y"))
+            got = np.full(b.num_rows, -1)
+            good = np.flatnonzero(np.isfinite(x) & np.isfinite(y))
+            if index is not None and len(good):
+                mine = np.array([own.get(k, -1) for k in zip(b.column("_fid").to_pylist(), b.column("place").to_pylist(), strict=True)])[good] if same else None
+                got[good] = index.places(K.on_sphere(x[good], y[good]), mine)
+            some = np.flatnonzero(got >= 0)
+            at = got[some]
+            kept = b.take(pa.array(some))
+            yield pa.RecordBatch.from_arrays([*kept.columns, *(pa.array(v[at]) for v in (fid, place, tx, ty))], names=[*b.schema.names, "t_fid", "t_place", "tx", "ty"])
+
+    kinds = ", ".join(f"`{n}` {k}" for n, k in points.dtypes)
+    fid_kind, place_kind = (dict(t.dtypes)[c] for c in ("t_fid", "t_place"))
+    found = points.mapInArrow(ask, f"{kinds}, t_fid long, t_place long, tx double, ty double")
+    return found.select(*points.columns, G.haversine(F.col("x"), F.col("y"), F.col("tx"), F.col("ty")).alias("metres"), F.col("t_fid").cast(fid_kind), F.col("t_place").cast(place_kind), "tx", "ty")
+
+
+def nearest(points: DataFrame, targets: DataFrame, same: bool, cell_deg: float = 4.0, most_shared: int = MOST_SHARED) -> DataFrame:
     """(_fid, place, t_fid, t_place, metres): each point's nearest target by great circle, ties to the smallest target.
 
-    Few targets (a checked count) are broadcast. Else both sides go to a grid of cells that halve and double: a point asks
+    Targets of a checked count go to every task, which asks its points of a grid on the sphere (K.Nearest), so that no pair
+    becomes a row. Else both sides go to a grid of cells that double: a point asks
     the three by three cells around it, which settles it if the nearest found is nearer than the ring's edge could be; what
     isn't settled asks again with cells of twice the size, until the cells cover the globe.
     """
@@ -179,8 +216,9 @@ def nearest(points: DataFrame, targets: DataFrame, same: bool, cell_deg: float =
     metres = G.haversine(F.col("x"), F.col("y"), F.col("tx"), F.col("ty"))
     best = F.min(F.struct(metres.alias("metres"), "t_fid", "t_place", "tx", "ty")).alias("b")
     keys = [c for c in points.columns]
-    if small(t, 20_000):
-        return points.join(F.broadcast(t), other).groupBy(*keys).agg(best).select(*keys, "b.*")
+    if small(t, most_shared):
+        return nearest_shared(points, t, same)
+    checkpoints(points.sparkSession)
     done, open_, size = None, points, cell_deg
     while size < 720:
         cx, cy = F.floor(F.col("x") / size), F.floor(F.col("y") / size)
@@ -193,7 +231,7 @@ def nearest(points: DataFrame, targets: DataFrame, same: bool, cell_deg: float =
         edge_x = F.least(F.col("x") - cx * size, (cx + 1) * size - F.col("x")) + size
         top = F.least(F.lit(90.0), F.abs(F.col("y")) + edge_y)
         safe = F.least(edge_y * 110_000.0, F.when(F.col("x").between(-180 + 2 * size, 180 - 2 * size), edge_x * 110_000.0 * F.greatest(F.lit(0.0), F.cos(F.radians(top)))).otherwise(0.0))
-        settled = found.where(F.col("metres") <= safe)
+        settled = found.where(F.col("metres") <= safe).checkpoint()  # else each round would run those before it again
         done = settled if done is None else done.unionByName(settled)
         open_ = open_.join(settled.select("_fid", "place"), ["_fid", "place"], "left_anti")
         size *= 4
