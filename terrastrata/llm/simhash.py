@@ -7,8 +7,10 @@ single fingerprint drop most of the corpus; what is left is verified exactly the
 fingerprints differ by at most two bits exactly if some word lies within one bit of both). Both steps group by a cell, so
 a group of n copies costs n rows times a constant, never n squared pairs.
 
-At a similarity of 0.8 fingerprints lie ten and more bits apart, out of reach of any such grid on 64 bits. For that case
-`similar_components` uses more bits (1024), bands of 16 one-bit segments as grid cells, and Hamming distances (of 512 bits).
+At a similarity of 0.8 fingerprints of 64 bits lie some ten bits apart, too far for such a grid. `similar_components` does the
+same on 12 short words of 21 bits, any of which may lie within two bits: the popcounts of a word's two segments are its grid
+point, points are spread to the cells within one step, and in a cell the words within two bits are found exactly. Their prints
+are compared on 256 other bits, and the links are verified on the sets of shingles.
 
 Nulls and empty texts: no words, fingerprint zero, linked like any other. Equal rows: one class. Documents with a null
 doc_id get their group's component (null where no other is in it). An empty table gives an empty result. Extra columns are ignored.
@@ -17,6 +19,7 @@ doc_id get their group's component (null where no other is in it). An empty tabl
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -70,31 +73,31 @@ def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42) -> DataFrame:
     return map_rows(docs.select("doc_id", "text"), make, "doc_id long, fp long")
 
 
-def widths(bits: int = SEGMENT_BITS) -> list[int]:
-    """The segments' bits: 64 cut into parts of the given size, the last one with what is left."""
-    return [min(bits, 64 - i) for i in range(0, 64, bits)]
+def widths(bits: int = SEGMENT_BITS, of: int = 64) -> list[int]:
+    """The segments' bits: `of` bits cut into parts of the given size, the last one with what is left."""
+    return [min(bits, of - i) for i in range(0, of, bits)]
 
 
-def scale(bits: int) -> list[int]:
+def scale(bits: int, of: int = 64) -> list[int]:
     """What a set bit of each segment adds to a packed point: digits hold a count and a step to either side of it."""
     base = bits + 3
-    if base ** len(widths(bits)) >= 1 << 63:
+    if base ** len(widths(bits, of)) >= 1 << 63:
         raise ValueError("segments are too short for their counts to fit a long")
-    return [base**i for i in range(len(widths(bits)))]
+    return [base**i for i in range(len(widths(bits, of)))]
 
 
-def point(fp: Column, bits: int = SEGMENT_BITS) -> Column:
+def point(fp: Column, bits: int = SEGMENT_BITS, of: int = 64) -> Column:
     """The grid point of a fingerprint: the set bits of each segment, packed into a long."""
     packed, at = None, 0
-    for width, by in zip(widths(bits), scale(bits), strict=True):
+    for width, by in zip(widths(bits, of), scale(bits, of), strict=True):
         count = (F.bit_count(F.shiftrightunsigned(fp, at).bitwiseAND(F.lit((1 << width) - 1).cast("long"))) + 1).cast("long") * by
         packed, at = count if packed is None else packed + count, at + width
     return packed
 
 
-def steps(bits: int = SEGMENT_BITS) -> Column:
+def steps(bits: int = SEGMENT_BITS, of: int = 64) -> Column:
     """What to add to a packed point for it and its neighbours of one step."""
-    return F.array(*(F.lit(x).cast("long") for x in [0] + [sign * by for by in scale(bits) for sign in (1, -1)]))
+    return F.array(*(F.lit(x).cast("long") for x in [0] + [sign * by for by in scale(bits, of) for sign in (1, -1)]))
 
 
 def candidates(fps: DataFrame, bits: int = SEGMENT_BITS) -> DataFrame:
@@ -131,10 +134,12 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- similarity of word shingles -------------------------------------------------------------------------------------
 
-WORDS_64 = 8  # words of 64 bits that are compared
-ALL_WORDS = 16  # words of a long fingerprint, the compared ones first; its bands cover them all
-BAND_BITS = 16
-GROUP = 16_384  # fingerprints that are compared in one place
+WORDS_64 = 4  # words of 64 bits that are compared
+ALL_WORDS = 8  # words of a long fingerprint, the compared ones first; the others are cut into short words
+SHORT_BITS, SHORT_SEGMENT = 21, 11  # bits of a short word and of its segments (11 and 10): three short words in one of 64 bits, five cells each
+GROUP = 1 << 21  # prints that one task holds
+FEW_PRINTS = 512  # prints near a short word that are compared pair by pair; a forest's leaders spare work among more
+CELLS_DEALT = 192  # partitions that cells go to; there is a fixed number of cells, some 300 of them with most prints
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -168,19 +173,27 @@ def long_print(hashes: np.ndarray) -> np.ndarray:
     return majority(mixed(hashes[:, None] + MIX * np.arange(1, ALL_WORDS + 1, dtype=np.uint64)))
 
 
+def short_words(prints: np.ndarray) -> np.ndarray:
+    """The short words of long fingerprints, a row each."""
+    rest, mask = prints[:, WORDS_64:], np.uint64((1 << SHORT_BITS) - 1)
+    return np.stack([rest >> np.uint64(at) & mask for at in range(0, 65 - SHORT_BITS, SHORT_BITS)], axis=2).reshape(len(prints), -1).astype(np.int64)
+
+
 def long_prints(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, key, fp, n): key the same for equal word sequences, fp the long fingerprint's bytes, n the number of distinct shingles."""
+    """(doc_id, key, fp, short, n): key the same for equal word sequences, fp the bytes of the long fingerprint that are compared, short its short words, n the number of distinct shingles."""
 
     def make() -> Callable[[pa.RecordBatch], dict]:
         known: dict[bytes, int] = {}
 
         def f(batch: pa.RecordBatch) -> dict:
             found = [shingle_hashes(t.as_py(), words, known) for t in batch.column(1)]
-            return {"doc_id": batch.column(0), "key": pa.array([k for k, _ in found], type=pa.binary()), "fp": pa.array([long_print(h).tobytes() for _, h in found], type=pa.binary()), "n": pa.array([len(h) for _, h in found], type=pa.int64())}
+            prints = np.stack([long_print(h) for _, h in found])
+            short = pa.array(list(short_words(prints)), type=pa.list_(pa.int64()))
+            return {"doc_id": batch.column(0), "key": pa.array([k for k, _ in found], type=pa.binary()), "fp": pa.array([x.tobytes() for x in prints[:, :WORDS_64]], type=pa.binary()), "short": short, "n": pa.array([len(h) for _, h in found], type=pa.int64())}
 
         return f
 
-    return map_rows(docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null"), make, "doc_id long, key binary, fp binary, n long")
+    return map_rows(docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null"), make, "doc_id long, key binary, fp binary, short array<long>, n long")
 
 
 def limit_of(similarity: float, bits: int = WORDS_64 * 64, spread: float = 3.0) -> int:
@@ -197,6 +210,28 @@ def differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+def forest(n: int, d: np.ndarray, i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
+    """Edges (i, j) of a spanning forest of links among n nodes, those of small d first."""
+    some = i != j
+    d, i, j = d[some], i[some], j[some]
+    parent = list(range(n))
+
+    def root(k: int) -> int:
+        while parent[k] != k:
+            parent[k] = parent[parent[k]]
+            k = parent[k]
+        return k
+
+    out: list[tuple[int, int]] = []
+    order = np.argsort(d, kind="stable")
+    for a, b in zip(i[order].tolist(), j[order].tolist(), strict=True):
+        x, y = root(a), root(b)
+        if x != y:
+            parent[x] = y
+            out.append((a, b))
+    return out
+
+
 def nearest_forest(fps: np.ndarray, most: int) -> list[tuple[int, int]]:
     """Edges (i, j) of a spanning forest of the links of at most `most` bits, near ones first.
 
@@ -231,66 +266,110 @@ def nearest_forest(fps: np.ndarray, most: int) -> list[tuple[int, int]]:
                 i, j = np.nonzero(d <= most)
                 if len(i):
                     links.append((d[i, j], ask[at + i], of[j]))
-    d, i, j = (np.concatenate(x) for x in zip(*links, strict=True))
-    some = i != j
-    d, i, j = d[some], i[some], j[some]
-    parent = list(range(n))
+    return forest(n, *(np.concatenate(x) for x in zip(*links, strict=True)))
 
-    def root(k: int) -> int:
-        while parent[k] != k:
-            parent[k] = parent[parent[k]]
-            k = parent[k]
-        return k
-
-    out: list[tuple[int, int]] = []
-    order = np.argsort(d, kind="stable")
-    for a, b in zip(i[order].tolist(), j[order].tolist(), strict=True):
-        x, y = root(a), root(b)
-        if x != y:
-            parent[x] = y
-            out.append((a, b))
-    return out
 
+def cell_edges(cell: int, words: np.ndarray, fps: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """Edges (i, j) of a forest of a cell's likely links: short words within two bits and prints within `most`.
 
-def banded_edges(classes: DataFrame, most: int, group: int = GROUP) -> DataFrame:
-    """(a, b): likely links of classes (rep, fp) that agree in some band of BAND_BITS bits, one forest for each band and value. Where more than `group` agree, they are split and each two parts are compared."""
-    bands = ALL_WORDS * 64 // BAND_BITS
-    band = F.explode(F.array(*(F.concat(F.lit(bytes([i])), F.substring("fp", i * BAND_BITS // 8 + 1, BAND_BITS // 8)) for i in range(bands))))
-    rows = classes.select("rep", F.substring("fp", 1, WORDS_64 * 8).alias("fp"), band.alias("band"))
-    sizes = rows.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > group).select("band", F.ceil(F.col("n") / (group // 2)).alias("parts"))
-    own = F.pmod(F.xxhash64("rep"), F.col("parts"))
-    spread = rows.join(F.broadcast(sizes) if sizes.count() <= 10_000 else sizes, "band", "left").withColumn("parts", F.coalesce("parts", F.lit(1).cast("long")))
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
-    units = spread.select("rep", "fp", "band", "parts", own.alias("own"), other.alias("other")).select("rep", "fp", F.xxhash64("band", F.least("own", "other"), F.greatest("own", "other")).alias("unit"))
+    Two words lie within two bits exactly if some word lies within a bit of both. Its point is a cell to which both are
+    spread; here are the pairs whose word between has this cell as its point.
+    """
+    between, rows, at = [], [], 0
+    home = np.ones(len(words), dtype=bool)
+    for width, by in zip(widths(SHORT_SEGMENT, SHORT_BITS), scale(SHORT_SEGMENT, SHORT_BITS), strict=True):
+        step = cell // by % (SHORT_SEGMENT + 3) - 1 - np.bitwise_count(words >> at & (1 << width) - 1).astype(np.int64)
+        home &= step == 0
+        for bit in range(at, at + width):
+            set_ = words >> bit & 1
+            k = np.flatnonzero(step == 1 - 2 * set_)
+            between.append(words[k] ^ 1 << bit)
+            rows.append(k)
+        at += width
+    between.append(words[home])
+    rows.append(np.flatnonzero(home))
+    word, row = np.concatenate(between), np.concatenate(rows)
+    order = np.argsort(word, kind="stable")
+    word, row = word[order], row[order]
+    start = np.flatnonzero(np.append(True, word[1:] != word[:-1])) if len(word) else np.empty(0, dtype=np.int64)
+    held = np.diff(np.append(start, len(word)))
+    links = [(np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64))]
+    places = np.flatnonzero(np.repeat((held > 1) & (held <= FEW_PRINTS), held))
+    for by in range(1, FEW_PRINTS):
+        places = places[places + by < len(word)]
+        places = places[word[places] == word[places + by]]
+        if not len(places):
+            break
+        for k in range(0, len(places), 1_000_000):
+            i, j = row[places[k : k + 1_000_000]], row[places[k : k + 1_000_000] + by]
+            d = sum(np.bitwise_count(fps[i, w] ^ fps[j, w]).astype(np.int64) for w in range(fps.shape[1]))
+            near = d <= most
+            links.append((d[near], i[near], j[near]))
+    for k in np.flatnonzero(held > FEW_PRINTS):
+        of = row[start[k] : start[k] + held[k]]
+        if (words[of] == words[of[0]]).all() and words[of[0]] != word[start[k]]:
+            continue  # equal words meet in the cell of their own point
+        edges = np.array(nearest_forest(fps[of], most), dtype=np.int64).reshape(-1, 2)
+        i, j = of[edges[:, 0]], of[edges[:, 1]]
+        links.append((np.bitwise_count(fps[i] ^ fps[j]).sum(axis=1, dtype=np.int64), i, j))
+    return forest(len(words), *(np.concatenate(x) for x in zip(*links, strict=True)))
+
+
+def likely_edges(classes: DataFrame, most: int, group: int | None = None) -> DataFrame:
+    """(a, b): likely links of classes (rep, fp, short): some short word lies within two bits of the other's and the prints within `most`; a forest of them for each cell.
+
+    A range join as in `candidates`: words that are within two bits have points that share a cell once each is spread to the
+    cells within one step. Cells of more than `group` prints are split and each two parts are compared.
+    """
+    group = group or GROUP
+    words = classes.select("rep", "fp", F.posexplode("short").alias("table", "word")).withColumn("point", point(F.col("word"), SHORT_SEGMENT, SHORT_BITS))
+    spread = words.select("rep", "fp", "word", "table", "point", F.explode(steps(SHORT_SEGMENT, SHORT_BITS)).alias("step"))
+    rows = spread.select("rep", "fp", "word", ((F.col("point") + F.col("step")) * 16 + F.col("table")).alias("cell"))
+    held = Counter()  # there are at most 2,500 cells
+    for x in words.groupBy("table", "point").agg(F.count(F.lit(1)).alias("n")).collect():
+        held.update({(x.point + step) * 16 + x.table: x.n for by in scale(SHORT_SEGMENT, SHORT_BITS) for step in (0, by, -by)})
+    sizes = {cell: -(-n // max(1, group // 2)) for cell, n in held.items() if n > group}
+    if sizes:
+        parts = F.coalesce(F.create_map(*(F.lit(x).cast("long") for kv in sizes.items() for x in kv))[F.col("cell")], F.lit(1).cast("long"))
+        split = rows.withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("parts")))
+        split = split.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+        rows = split.select("rep", "fp", "word", (F.col("cell") + F.least("own", "other") * (1 << 20) + F.greatest("own", "other") * (1 << 40)).alias("cell"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, reps, fps = None, [], []
-        out: list[tuple[int, int]] = []
+        last, held = None, []
+        out: list[np.ndarray] = []
 
         def finish() -> None:
-            if len(reps) > 1:
-                x = np.frombuffer(b"".join(fps), dtype="<u8").reshape(-1, WORDS_64)
-                out.extend((max(reps[i], reps[j]), min(reps[i], reps[j])) for i, j in nearest_forest(x, most))
-            reps.clear()
-            fps.clear()
+            rep, fps, word = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            if len(rep) > 1:
+                edges = np.array(cell_edges((last & (1 << 20) - 1) >> 4, word, fps, most), dtype=np.int64).reshape(-1, 2)
+                if len(edges):
+                    out.append(np.sort(rep[edges], axis=1))
 
         def flush() -> Iterator[pa.RecordBatch]:
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64()) for c in zip(*out, strict=True)], names=["a", "b"])
-                out.clear()
+            for x in out:
+                yield pa.RecordBatch.from_arrays([pa.array(x[:, 1]), pa.array(x[:, 0])], names=["a", "b"])
+            out.clear()
 
         for batch in batches:
-            for rep, fp, unit in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if unit != last:
-                    finish()
-                    last = unit
-                reps.append(rep)
-                fps.append(fp)
+            rep, word, cell = (batch.column(k).to_numpy() for k in (0, 2, 3))
+            fps = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype="<u8").reshape(-1, WORDS_64)
+            ends = [*(np.flatnonzero(cell[1:] != cell[:-1]) + 1).tolist(), len(cell)] if len(cell) else []
+            at = 0
+            for end in ends:
+                if cell[at] != last:
+                    if held:
+                        finish()
+                    last = int(cell[at])
+                held.append((rep[at:end], fps[at:end], word[at:end]))
+                at = end
             yield from flush()
-        finish()
+        if held:
+            finish()
         yield from flush()
 
-    return units.repartition("unit").sortWithinPartitions("unit", "rep").mapInArrow(run, "a long, b long").distinct()
+    return rows.repartition(CELLS_DEALT, "cell").sortWithinPartitions("cell").mapInArrow(run, "a long, b long").distinct()
 
 
 def verified(docs: DataFrame, edges: DataFrame, words: int, similarity: float) -> DataFrame:
@@ -402,13 +481,13 @@ def links_within(docs: DataFrame, members: DataFrame, words: int, similarity: fl
 def similar_components(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, key, component_id) for documents with a doc_id: those whose sets of word shingles have the given Jaccard similarity link.
 
-    Bands of a SimHash of 1024 bits find likely links, and the forests' edges are verified on the sets. A forest holds one way
+    The short words of a SimHash of 512 bits find likely links, by a grid of segment popcounts, and the forests' edges are verified on the sets. A forest holds one way
     between two documents and not each link, so where a group of likely links is left in several verified parts, its sets are
     all compared across the parts. Equal word sequences are one class.
     """
     prints = cut(long_prints(docs, words))
-    classes = prints.groupBy("key").agg(F.min("doc_id").alias("rep"), F.min("fp").alias("fp"), F.min("n").alias("n"))
-    likely = cut(banded_edges(classes.select("rep", "fp"), limit_of(similarity)))
+    classes = prints.groupBy("key").agg(F.min("doc_id").alias("rep"), F.min("fp").alias("fp"), F.min("short").alias("short"), F.min("n").alias("n"))
+    likely = cut(likely_edges(classes.select("rep", "fp", "short"), limit_of(similarity)))
     parts = cut(connected_components(verified(docs, likely, words, similarity)))
     groups = connected_components(likely).withColumnRenamed("component", "group")
     labelled = cut(groups.join(parts, "node", "left").select("node", "group", F.coalesce("component", "node").alias("label")))

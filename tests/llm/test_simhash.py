@@ -171,3 +171,40 @@ def test_exact_links_equal_brute_force():
         S.FEW = before
         same = [(i, labels[i]) for i in range(len(sets))]
         assert components(len(sets), got + same) == components(len(sets), near + same) and len(near) > 20
+
+
+def test_likely_edges_are_a_range_join_of_short_words(spark, monkeypatch):
+    r = np.random.default_rng(4)
+    base = r.integers(0, 2**64, (40, S.ALL_WORDS), dtype=np.uint64)
+    prints = base[np.arange(400) % 40]
+    for k in range(400):  # 4 to 20 % of the bits differ; some rows agree in no short word and are within two bits in one
+        for b in r.permutation(S.ALL_WORDS * 64)[: r.integers(20, 100)]:
+            prints[k, b // 64] ^= np.uint64(1) << np.uint64(b % 64)
+    prints = np.concatenate([prints, np.repeat(base[:1], 700, axis=0)])
+    short, most = S.short_words(prints), S.limit_of(0.8)
+    n = len(prints)
+    assert short.shape == (n, 12) and short.min() >= 0 and short.max() < 1 << 21
+    apart = np.bitwise_count(short[:, None] ^ short[None]).min(axis=2)
+    near = (apart <= 2) & (S.differing(prints[:, : S.WORDS_64], prints[:, : S.WORDS_64]) <= most)
+    pairs = lambda m: [(i, j) for i, j in zip(*np.nonzero(np.tril(m, -1)), strict=True)]
+    want = components(n, pairs(near))
+    assert want != components(n, pairs(near & (apart == 0)))
+    df = spark.createDataFrame([(k, prints[k, : S.WORDS_64].tobytes(), short[k].tolist()) for k in range(n)], "rep long, fp binary, short array<long>")
+    for few, group in ((512, None), (3, None), (512, 100)):
+        monkeypatch.setattr(S, "FEW_PRINTS", few)
+        got = [(x.a, x.b) for x in S.likely_edges(df, most, group).collect()]
+        assert components(n, got) == want and all(near[a, b] and a > b for a, b in got)
+
+
+def test_recall_of_likely_links():
+    """Prints of sets at a similarity of exactly 0.8: at least 0.99 are likely links."""
+    r, n = np.random.default_rng(9), 2000
+    a, b = [], []
+    for _ in range(n):
+        x = r.integers(0, 2**63, 100, dtype=np.uint64)
+        a.append(S.long_print(x[:90]))
+        b.append(S.long_print(x[10:]))
+    a, b = np.stack(a), np.stack(b)
+    near = np.bitwise_count(S.short_words(a) ^ S.short_words(b)).min(axis=1) <= 2
+    near &= np.bitwise_count(a[:, : S.WORDS_64] ^ b[:, : S.WORDS_64]).sum(axis=1) <= S.limit_of(0.8)
+    assert near.mean() >= 0.99
