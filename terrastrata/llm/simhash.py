@@ -316,7 +316,7 @@ def cell_edges(cell: int, words: np.ndarray, fps: np.ndarray, most: int) -> list
 
 
 def likely_edges(classes: DataFrame, most: int, group: int | None = None) -> DataFrame:
-    """(a, b): likely links of classes (rep, fp, short): some short word lies within two bits of the other's and the prints within `most`; a forest of them for each cell.
+    """(a, b, d): likely links of classes (rep, fp, short): some short word lies within two bits of the other's and the prints within `most`, in d bits; a forest of them for each cell.
 
     A range join as in `candidates`: words that are within two bits have points that share a cell once each is spread to the
     cells within one step. Cells of more than `group` prints are split and each two parts are compared.
@@ -345,11 +345,12 @@ def likely_edges(classes: DataFrame, most: int, group: int | None = None) -> Dat
             if len(rep) > 1:
                 edges = np.array(cell_edges((last & (1 << 20) - 1) >> 4, word, fps, most), dtype=np.int64).reshape(-1, 2)
                 if len(edges):
-                    out.append(np.sort(rep[edges], axis=1))
+                    d = np.bitwise_count(fps[edges[:, 0]] ^ fps[edges[:, 1]]).sum(axis=1, dtype=np.int64)
+                    out.append(np.column_stack([np.sort(rep[edges], axis=1), d]))
 
         def flush() -> Iterator[pa.RecordBatch]:
             for x in out:
-                yield pa.RecordBatch.from_arrays([pa.array(x[:, 1]), pa.array(x[:, 0])], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(x[:, 1]), pa.array(x[:, 0]), pa.array(x[:, 2])], names=["a", "b", "d"])
             out.clear()
 
         for batch in batches:
@@ -369,7 +370,13 @@ def likely_edges(classes: DataFrame, most: int, group: int | None = None) -> Dat
             finish()
         yield from flush()
 
-    return rows.repartition(CELLS_DEALT, "cell").sortWithinPartitions("cell").mapInArrow(run, "a long, b long").distinct()
+    return rows.repartition(CELLS_DEALT, "cell").sortWithinPartitions("cell").mapInArrow(run, "a long, b long, d long").distinct()
+
+
+def few_edges(likely: DataFrame) -> DataFrame:
+    """(a, b): of each node's likely links to smaller ones, those to the smallest and to the nearest. A pair of cells has forests of its own, whose links would have their sets joined over and over."""
+    ends = likely.groupBy("a").agg(F.min("b").alias("lo"), F.min(F.struct("d", "b")).alias("near"))
+    return ends.select("a", F.explode(F.array_distinct(F.array("lo", "near.b"))).alias("b"))
 
 
 def verified(docs: DataFrame, edges: DataFrame, words: int, similarity: float) -> DataFrame:
@@ -481,14 +488,14 @@ def links_within(docs: DataFrame, members: DataFrame, words: int, similarity: fl
 def similar_components(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, key, component_id) for documents with a doc_id: those whose sets of word shingles have the given Jaccard similarity link.
 
-    The short words of a SimHash of 512 bits find likely links, by a grid of segment popcounts, and the forests' edges are verified on the sets. A forest holds one way
-    between two documents and not each link, so where a group of likely links is left in several verified parts, its sets are
+    The short words of a SimHash of 512 bits find likely links, by a grid of segment popcounts, and two for each document are verified on the sets. These aren't each
+    link, so where a group of likely links is left in several verified parts, its sets are
     all compared across the parts. Equal word sequences are one class.
     """
     prints = cut(long_prints(docs, words))
     classes = prints.groupBy("key").agg(F.min("doc_id").alias("rep"), F.min("fp").alias("fp"), F.min("short").alias("short"), F.min("n").alias("n"))
     likely = cut(likely_edges(classes.select("rep", "fp", "short"), limit_of(similarity)))
-    parts = cut(connected_components(verified(docs, likely, words, similarity)))
+    parts = cut(connected_components(verified(docs, cut(few_edges(likely)), words, similarity)))
     groups = connected_components(likely).withColumnRenamed("component", "group")
     labelled = cut(groups.join(parts, "node", "left").select("node", "group", F.coalesce("component", "node").alias("label")))
     split = labelled.groupBy("group").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("group")

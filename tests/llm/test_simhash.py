@@ -208,3 +208,9 @@ def test_recall_of_likely_links():
     near = np.bitwise_count(S.short_words(a) ^ S.short_words(b)).min(axis=1) <= 2
     near &= np.bitwise_count(a[:, : S.WORDS_64] ^ b[:, : S.WORDS_64]).sum(axis=1) <= S.limit_of(0.8)
     assert near.mean() >= 0.99
+
+
+def test_few_links_of_each_node_are_verified(spark):
+    likely = spark.createDataFrame([(a, b, abs(a - b)) for a in range(300) for b in range(a)], "a long, b long, d long")
+    got = sorted((x.a, x.b) for x in S.few_edges(likely).collect())
+    assert got == sorted({(a, b) for a in range(1, 300) for b in (0, a - 1)})
